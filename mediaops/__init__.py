@@ -9,3 +9,11 @@ and returns a DataFrame (or a Column), so it composes with ordinary Spark SQL.
 * ``plans``      - compositions of operators into whole library and program runs
 * ``streaming``  - watching a library and following job state continuously
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few functions that run inside Python tasks travel with the plan, so the
+# executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

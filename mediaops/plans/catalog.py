@@ -522,7 +522,7 @@ def job_events_append(v: Views) -> DataFrame:
 
 def _stream_settings(spark: SparkSession):
     """RocksDB state, and no more state partitions than the cluster has slots."""
-    watch.use_rocksdb(spark)
+    job_streams.use_rocksdb(spark)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", min(int(before), spark.sparkContext.defaultParallelism))
     return before
@@ -537,43 +537,30 @@ def _to_the_end(spark: SparkSession, start) -> None:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def _snapshots(v: Views) -> DataFrame:
-    """Three snapshots of the library as a stream of files.
+@query
+def changed_files_stream(v: Views) -> DataFrame:
+    """Three snapshots of the library, of which the last two arrive together.
 
     Some files change between the first and second, a third of those change
     again, some appear only in the second.
     """
-    location = work_dir(v.spark, "snapshots")
-    library = v.library()
-    for n in range(3):
-        seen = library if n else library.filter("file_id % 10 <> 3")
-        touched = F.when((F.col("file_id") % 20 == 1) & F.lit(n >= 1), 100).otherwise(0) + F.when(
-            (F.col("file_id") % 60 == 1) & F.lit(n == 2), 50).otherwise(0)
-        seen.withColumns({"mtime": F.col("mtime") + touched, "seen_at": F.lit(n).cast("bigint")}).write.parquet(
-            f"{location}/snapshot={n}"
-        )
-    schema = v.spark.read.parquet(f"{location}/snapshot=0").schema
-    return v.spark.readStream.schema(schema).parquet(f"{location}/snapshot=*")
-
-
-@query
-def changed_files_stream(v: Views) -> DataFrame:
-    snapshots = _snapshots(v).select("path", "file_id", "mtime", "seen_at")
-    out, checkpoint = work_dir(v.spark, "changed"), work_dir(v.spark, "changed-checkpoint")
-    changed = None
+    inbox, out, checkpoint = (work_dir(v.spark, n) for n in ("snapshots", "changes", "changes-checkpoint"))
+    files = v.library().select("path", "file_id", "mtime")
+    schema = files.withColumn("seen_at", F.lit(0).cast("bigint")).schema
 
     def start():
-        nonlocal changed
-        changed = watch.changed_files(snapshots)
-
-        def store(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-        writer = changed.writeStream.outputMode("update").foreachBatch(store)
-        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        snapshots = watch.snapshot_stream(v.spark, f"{inbox}/s=*", schema)
+        return watch.watch_changes(snapshots, out, checkpoint, once=True)
 
-    _to_the_end(v.spark, start)
-    return v.spark.read.schema(changed.schema).parquet(f"{out}/batch_id=*").select("file_id", "mtime", "seen_at", "change")
+    for n in range(3):
+        seen = files if n else files.filter("file_id % 10 <> 3")
+        touched = F.when((F.col("file_id") % 20 == 1) & F.lit(n >= 1), 100).otherwise(0) + F.when(
+            (F.col("file_id") % 60 == 1) & F.lit(n == 2), 50).otherwise(0)
+        snapshot = seen.withColumns({"mtime": F.col("mtime") + touched, "seen_at": F.lit(n).cast("bigint")})
+        snapshot.write.parquet(f"{inbox}/s={n}")
+        if n != 1:
+            _to_the_end(v.spark, start)
+    return watch.read_changes(v.spark, out, schema).select("file_id", "mtime", "seen_at", "change")
 
 
 @query

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import runs
 from ..schemas import with_field
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keep the state of aggregations on disk, so that it may exceed executor memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
 
 def job_state_stream(events: DataFrame, registered: DataFrame | None = None) -> DataFrame:
     """Current state of each job that had events, to be written in update mode.

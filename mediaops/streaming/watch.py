@@ -11,11 +11,9 @@ import logging
 import time
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructType
 
 from ..operators.planning import PlanSettings, plan
@@ -25,14 +23,6 @@ from ..sources import ledger
 
 log = logging.getLogger(__name__)
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keyed state is kept on disk, so it may exceed executor memory."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-
-
 def snapshot_stream(spark: SparkSession, location: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
@@ -40,39 +30,51 @@ def snapshot_stream(spark: SparkSession, location: str, schema: StructType, file
     return reader.parquet(location)
 
 
-class _LastSeen(StatefulProcessor):
-    """Remembers a path's modification time; passes rows on that differ from it."""
+def find_changes(sightings: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Sightings whose mtime differs from the path's previous one, in order of ``seen_at``.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._mtime = handle.getValueState("mtime", "mtime bigint")
+    ``known`` holds the mtime each path had before. Adds ``change`` (new, changed).
+    The window and the join use one partitioning by path.
+    """
+    in_order = Window.partitionBy("path").orderBy("seen_at")
+    ordered = sightings.withColumn("_before", F.lag("mtime").over(in_order))
+    if known is None:
+        before = F.col("_before")
+    else:
+        ordered = ordered.join(known.select("path", F.col("mtime").alias("_known")), "path", "left")
+        before = F.coalesce("_before", "_known")
+    change = F.when(before.isNull(), F.lit("new")).when(before != F.col("mtime"), F.lit("changed"))
+    return ordered.withColumn("change", change).filter(F.col("change").isNotNull()).select(*sightings.columns, "change")
+
+
+def watch_changes(snapshots: DataFrame, location: str, checkpoint: str, *, interval: str = "5 minutes",
+                  once: bool = False) -> StreamingQuery:
+    """Keep a log of new and changed files, one folder per micro-batch.
+
+    A path's last logged mtime is the one it was last seen with, so the log itself
+    is all the memory that is needed. A repeated batch reads only what earlier
+    batches wrote and replaces its own folder.
+    """
+    logged = with_field(with_field(snapshots.schema, "change", StringType()), "batch_id")
 
-    def handleInputRows(self, key, rows, timerValues):
-        # A path has one row per snapshot, so a micro-batch holds few of them.
-        sightings = pd.concat(list(rows)).sort_values("seen_at", kind="stable")
-        known = self._mtime.get()[0] if self._mtime.exists() else None
-        before = sightings["mtime"].shift()
-        if known is not None:
-            before.iloc[0] = known
-        differs = sightings["mtime"].ne(before)
-        if differs.any():
-            self._mtime.update((int(sightings["mtime"].iloc[-1]),))
-            changed = sightings[differs].copy()
-            changed["change"] = before[differs].isna().map({True: "new", False: "changed"})
-            yield changed
+    def store(batch: DataFrame, batch_id: int) -> None:
+        known = None
+        if batch_id > 0:
+            log_so_far = batch.sparkSession.read.schema(logged).parquet(location).filter(F.col("batch_id") < batch_id)
+            known = log_so_far.groupBy("path").agg(F.max_by("mtime", "seen_at").alias("mtime"))
+        find_changes(batch, known).write.mode("overwrite").parquet(f"{location}/batch_id={batch_id}")
 
-    def close(self) -> None:
-        pass
+    return _start(snapshots, store, checkpoint, interval, once)
 
 
-def changed_files(snapshots: DataFrame) -> DataFrame:
-    """Snapshot rows of files that are new or whose mtime differs from when last seen.
+def read_changes(spark: SparkSession, location: str, snapshot_schema: StructType) -> DataFrame:
+    logged = with_field(with_field(snapshot_schema, "change", StringType()), "batch_id")
+    return spark.read.schema(logged).parquet(location)
 
-    Adds ``change`` (new, changed). Streaming only; run with output mode update.
-    """
-    output = with_field(snapshots.schema, "change", StringType())
-    return snapshots.groupBy("path").transformWithStateInPandas(
-        statefulProcessor=_LastSeen(), outputStructType=output, outputMode="Update", timeMode="None"
-    )
+
+def _start(snapshots: DataFrame, store, checkpoint: str, interval: str, once: bool) -> StreamingQuery:
+    timing = {"availableNow": True} if once else {"processingTime": interval}
+    return snapshots.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**timing).start()
 
 
 def latest_sightings(snapshots: DataFrame) -> DataFrame:
@@ -121,9 +123,7 @@ def watch_plan(snapshots: DataFrame, settings: PlanSettings, location: str, chec
     def one_pass(batch: DataFrame, batch_id: int) -> None:
         plan_pass(batch, batch_id, settings, location, history=history, listing=listing, act=act, name=name)
 
-    writer = snapshots.writeStream.foreachBatch(one_pass).option("checkpointLocation", checkpoint)
-    timing = {"availableNow": True} if once else {"processingTime": interval}
-    return writer.trigger(**timing).queryName(name).start()
+    return _start(snapshots, one_pass, checkpoint, interval, once)
 
 
 def keep_watching(start: Callable[[], StreamingQuery], pause_s: float = 300.0,
