@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import as_column, lookup
+from .columns import lookup
 
 # Fixed values -------------------------------------------------------------
 #: codec alias -> name the probe reports, also the stem of hardware encoder names
@@ -106,43 +106,49 @@ def is_denied_codec(codec: Column, denylist) -> Column:
     return (codec != "") & hit
 
 
+def preset_family(backend: Column, encoder: Column) -> Column:
+    """Which preset vocabulary an encoder speaks; ``''`` when it takes no preset."""
+    software = F.when(encoder.isin(X264_FAMILY), F.lit("x264")).when(encoder == "libsvtav1", F.lit("svt"))
+    return F.coalesce(F.when(backend.isin("nvenc", "qsv"), backend).when(backend == "", software), F.lit(""))
+
+
+def _by_family(tables: dict[str, dict[str, str]]) -> dict[str, str]:
+    """One lookup table for all vocabularies, keyed ``family preset``."""
+    return {f"{family} {preset}": value for family, table in tables.items() for preset, value in table.items()}
+
+
+_TRANSLATED = _by_family({"nvenc": NVENC_FROM_X264, "qsv": QSV_FROM_X264, "svt": SVT_FROM_X264})
+_OFFERED = {"nvenc": NVENC_PRESETS, "qsv": QSV_PRESETS, "x264": X264_PRESETS, "svt": SVT_PRESETS}
+_DEFAULTS = {"nvenc": "p5", "qsv": "medium", "x264": "medium", "svt": "8"}
+
+
 def encoder_preset(backend: Column, encoder: Column, preset: Column) -> Column:
-    """Preset in the encoder's own vocabulary; ``''`` means leave the option out."""
-    for_software = (
-        F.when(encoder.isin(X264_FAMILY), preset)
-        .when((encoder == "libsvtav1") & preset.rlike("^[0-9]+$"), preset)
-        .when(encoder == "libsvtav1", lookup(preset, SVT_FROM_X264))
-    )
-    mapped = (
-        F.when(preset == "", F.lit(""))
-        .when(backend == "nvenc", F.coalesce(lookup(preset, NVENC_FROM_X264), preset))
-        .when(backend == "qsv", F.coalesce(lookup(preset, QSV_FROM_X264), preset))
-        .when(backend == "", for_software)
-    )
-    return F.coalesce(mapped, F.lit(""))
+    """Preset in the encoder's own vocabulary; ``''`` means leave the option out.
+
+    Known speed names are translated. Other values pass through, except that SVT-AV1
+    takes numbers only.
+    """
+    return family_preset(preset_family(backend, encoder), preset)
+
+
+def family_preset(family: Column, preset: Column) -> Column:
+    translated = lookup(F.concat_ws(" ", family, preset), _TRANSLATED)
+    passes = family.isin("nvenc", "qsv", "x264") | ((family == "svt") & preset.rlike("^[0-9]+$"))
+    return F.coalesce(translated, F.when(passes, preset), F.lit(""))
 
 
 def preset_choices(backend: Column, encoder: Column) -> Column:
     """Presets offered for an encoder, NULL when it takes none."""
-    return (
-        F.when(backend == "nvenc", as_column(NVENC_PRESETS))
-        .when(backend == "qsv", as_column(QSV_PRESETS))
-        .when((backend == "") & encoder.isin(X264_FAMILY), as_column(X264_PRESETS))
-        .when((backend == "") & (encoder == "libsvtav1"), as_column(SVT_PRESETS))
-    )
+    listed = {family: " ".join(presets) for family, presets in _OFFERED.items()}
+    return F.split(lookup(preset_family(backend, encoder), listed), " ")
 
 
 def default_preset(backend: Column, encoder: Column) -> Column:
-    return (
-        F.when(backend == "nvenc", F.lit("p5"))
-        .when(backend == "qsv", F.lit("medium"))
-        .when((backend == "") & encoder.isin(X264_FAMILY), F.lit("medium"))
-        .when((backend == "") & (encoder == "libsvtav1"), F.lit("8"))
-        .otherwise(F.lit(""))
-    )
+    return F.coalesce(lookup(preset_family(backend, encoder), _DEFAULTS), F.lit(""))
 
 
 def valid_preset(backend: Column, encoder: Column, preset: Column) -> Column:
     """The preset when the encoder offers it, else that encoder's default."""
-    offered = F.array_contains(preset_choices(backend, encoder), preset)
-    return F.when(offered, preset).otherwise(default_preset(backend, encoder))
+    offered = [f"{family} {p}" for family, presets in _OFFERED.items() for p in presets]
+    kept = F.concat_ws(" ", preset_family(backend, encoder), preset).isin(offered)
+    return F.when(kept, preset).otherwise(default_preset(backend, encoder))

@@ -81,8 +81,8 @@ def output_path(path: Column, rel_path: Column, *, inplace: Column, output_dir:
 
 def transient_path(destination: Column, source: Column) -> Column:
     """Name used while encoding: in the destination's directory, after the source's stem."""
-    name = F.concat(stem(source), F.lit(TRANSIENT_MARK), dotted_ext(destination))
-    return join_path(dir_name(destination), name)
+    folder = F.regexp_extract(destination, "^(.*/)", 1)
+    return F.concat(folder, stem(source), F.lit(TRANSIENT_MARK), dotted_ext(destination))
 
 
 def is_own_output(path: Column, suffix: Column) -> Column:

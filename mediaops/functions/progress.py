@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from .columns import parse_decimal
 
 # Fixed patterns of the encoder's progress output.
-TIME_PATTERN = r"time=(\d{2}):(\d{2}):(\d{2})\.(\d{2})"
+TIME_PATTERN = r"time=(\d{2}:\d{2}:\d{2}\.\d{2})"
 SPEED_PATTERN = r"speed=\s*([\d.]+)x"
 
 
-def position_ms(line: Column) -> Column:
-    """Encoded position in milliseconds, NULL on a line without ``time=``."""
-    def part(group: int) -> Column:
-        return F.regexp_extract(line, TIME_PATTERN, group).try_cast("bigint")
+def clock_text(line: Column) -> Column:
+    """``HH:MM:SS.cc`` of a progress line, ``''`` on a line without ``time=``."""
+    return F.regexp_extract(line, TIME_PATTERN, 1)
 
-    clock = part(1) * 3600000 + part(2) * 60000 + part(3) * 1000 + part(4) * 10
-    return F.when(line.rlike(TIME_PATTERN), clock)
+
+def position_ms(clock: Column) -> Column:
+    """Milliseconds of ``HH:MM:SS.cc``, NULL for any other text."""
+    def part(start: int) -> Column:
+        return F.substring(clock, start, 2).try_cast("bigint")
+
+    return part(1) * 3600000 + part(4) * 60000 + part(7) * 1000 + part(10) * 10
 
 
 def realtime_speed(line: Column) -> Column:

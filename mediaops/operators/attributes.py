@@ -7,19 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import probe
 
-ATTR_COLUMNS = [
-    "video_codec", "audio_codec", "profile", "pix_fmt", "bit_depth", "height", "width", "bitrate", "duration",
-]
-
-
-def _with_streams(df: DataFrame, text: str) -> DataFrame:
-    # Separate steps: Spark keeps a costly column that several later ones use
-    # instead of copying its expression into each of them.
-    found = df.withColumn("_streams", probe.streams(F.col(text)))
-    return found.withColumns({
-        "_video": F.filter("_streams", lambda s: s["kind"] == "video"),
-        "_audio": F.filter("_streams", lambda s: s["kind"] == "audio"),
-    }).drop("_streams")
+def _with_landmarks(df: DataFrame, text: str) -> DataFrame:
+    # In steps: Spark keeps a costly column that several later ones use instead of
+    # copying its expression into each of them. NULL text gives NULLs throughout.
+    located = df.withColumn("_lines", F.concat(F.lit("\n"), F.col(text), F.lit("\n")))
+    for step in probe.landmarks(F.col("_lines")):
+        located = located.withColumns(step)
+    return located
 
 
 def parse_attrs(df: DataFrame, text: str = "text") -> DataFrame:
@@ -28,13 +22,22 @@ def parse_attrs(df: DataFrame, text: str = "text") -> DataFrame:
     Adds ``probe_ok``, the attributes (all NULL where the probe failed),
     ``surface_depth`` for the hardware decision and ``dolby_vision``.
     """
-    attrs = probe.attrs_from_streams(F.col("_video"), F.col("_audio"), F.col(text))
-    parsed = _with_streams(df, text).withColumn("_attrs", attrs)
-    return parsed.select(
+    probed = F.col(text).isNotNull()
+    texts = _with_landmarks(df, text).withColumns(
+        {f"_{name}": F.when(probed, value) for name, value in probe.attr_texts(F.col("_lines")).items()}
+    )
+    numbers = {
+        "height": probe.integer_or_zero, "width": probe.integer_or_zero,
+        "bitrate": lambda c: F.call_function("div", probe.integer_or_zero(c), F.lit(1000).cast("bigint")),
+        "duration": probe.decimal_or_zero,
+    }
+    return texts.select(
         *[c for c in df.columns if c != text],
-        F.col(text).isNotNull().alias("probe_ok"),
-        *[F.col("_attrs")[name].alias(name) for name in ATTR_COLUMNS],
-        probe.surface_depth(F.col("_attrs")["pix_fmt"]).alias("surface_depth"),
+        probed.alias("probe_ok"),
+        *[F.col(f"_{name}").alias(name) for name in ("video_codec", "audio_codec", "profile", "pix_fmt")],
+        *[F.when(probed, number(F.col(f"_{name}"))).alias(name) for name, number in numbers.items()],
+        probe.bit_depth(F.col("_pix_fmt")).cast("int").alias("bit_depth"),
+        probe.surface_depth(F.col("_pix_fmt")).alias("surface_depth"),
         F.coalesce(probe.has_dolby_vision(F.col(text)), F.lit(False)).alias("dolby_vision"),
     )
 
@@ -50,13 +53,11 @@ def attach_attrs(inventory: DataFrame, attrs: DataFrame) -> DataFrame:
 
 def parse_health(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per file: ``corrupt``, ``has_video``, ``video_codec``, ``duration``."""
-    checked = _with_streams(df, text).withColumn(
-        "_health", probe.health_from_streams(F.col("_video"), F.col(text))
-    )
-    return checked.select(
-        *[c for c in df.columns if c != text],
-        F.col(text).isNull().alias("corrupt"),
-        *[F.col("_health")[name].alias(name) for name in ("has_video", "video_codec", "duration")],
+    probed = F.col(text).isNotNull()
+    health = probe.health_of(F.col("_lines"))
+    return _with_landmarks(df, text).select(
+        *[c for c in df.columns if c != text], (~probed).alias("corrupt"),
+        *[F.when(probed, value).alias(name) for name, value in health.items()],
     )
 
 

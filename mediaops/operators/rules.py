@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.columns import all_of, as_column, is_true, parse_decimal, parse_integer
+from ..schemas import CONDITIONS
 from .joins import lookup_join
 
 # The comparisons each field supports, and the column it reads.
@@ -132,44 +133,41 @@ def apply_program(files: DataFrame, rules: list[Rule]) -> DataFrame:
     })
 
 
-def _condition_holds(c: Column) -> Column:
-    """A condition that is data, against the attribute columns of the same row."""
-    def choose(names: list[str]) -> Column:
-        picked = None
-        for name in names:
-            column = F.lower(FIELD_COLUMNS[name]) if name == "ext" else F.col(FIELD_COLUMNS[name])
-            picked = F.when(c["field"] == name, column) if picked is None else picked.when(c["field"] == name, column)
-        return picked
+def prepare_rules(rules: Column) -> Column:
+    """Parsed rules with their numbers read once, ready for :func:`apply_rules_column`.
 
-    def compared(attribute: Column, value: Column, ops: list[str]) -> Column:
-        picked = None
-        for op in ops:
-            hit = COMPARISONS[op](attribute, value)
-            picked = F.when(c["op"] == op, hit) if picked is None else picked.when(c["op"] == op, hit)
-        return picked
+    Belongs on the program side of a join, where there is one row per program.
+    """
+    def prepared(c: Column) -> Column:
+        text = F.when(c["field"] == "ext", F.lower(c["value"])).otherwise(c["value"])
+        return F.struct(
+            F.concat_ws(" ", c["field"], c["op"]).alias("test"), text.alias("text"),
+            parse_integer(c["value"]).alias("whole"), parse_decimal(c["value"]).alias("real"),
+        )
 
-    text = F.when(c["field"] == "ext", F.lower(c["value"])).otherwise(c["value"])
-    return (
-        F.when(c["field"].isin(TEXT_FIELDS), compared(choose(TEXT_FIELDS), text, ["eq", "ne"]))
-        .when(c["field"] == "height", compared(F.col("height"), parse_integer(c["value"]), ["gt", "lt", "ge", "le"]))
-        .when(c["field"].isin(INTEGER_FIELDS), compared(choose(INTEGER_FIELDS), parse_integer(c["value"]), ["gt", "lt"]))
-        .when(c["field"] == "duration", compared(F.col("duration"), parse_decimal(c["value"]), ["gt", "lt"]))
-    )
+    return F.transform(rules, lambda rule, ix: F.struct(
+        ix.cast("int").alias("rule_ix"), rule["do"]["cmd"].alias("cmd"),
+        F.coalesce(rule["do"]["args"], F.array().cast("array<string>")).alias("args"),
+        F.transform(F.coalesce(rule["when"], F.array().cast(CONDITIONS)), prepared).alias("tests"),
+    ))
 
 
-def apply_rules_column(files: DataFrame, rules: str = "rules") -> DataFrame:
-    """Like :func:`apply_program`, with each row's program in its own rules array."""
-    def judged(rule: Column, ix: Column) -> Column:
-        conditions = F.coalesce(rule["when"], F.array().cast("array<struct<field:string,op:string,value:string>>"))
-        return F.struct(
-            ix.cast("int").alias("rule_ix"),
-            rule["do"]["cmd"].alias("cmd"),
-            F.coalesce(rule["do"]["args"], F.array().cast("array<string>")).alias("args"),
-            is_true(F.forall(conditions, _condition_holds)).alias("matched"),
-        )
+def _test_holds(c: Column) -> Column:
+    """A prepared condition against the attribute columns of the same row."""
+    picked = None
+    for name, ops in VALID_OPS.items():
+        attribute = F.lower("ext") if name == "ext" else F.col(FIELD_COLUMNS[name])
+        value = c["text"] if name in TEXT_FIELDS else c["whole"] if name in INTEGER_FIELDS else c["real"]
+        for op in ops:
+            this, hit = c["test"] == f"{name} {op}", COMPARISONS[op](attribute, value)
+            picked = F.when(this, hit) if picked is None else picked.when(this, hit)
+    return picked
+
 
-    first = F.get(F.filter(F.transform(F.col(rules), judged), lambda r: r["matched"]), F.lit(0))
-    return files.withColumn("_first", first).select(
+def apply_rules_column(files: DataFrame, rules: str = "rules") -> DataFrame:
+    """Like :func:`apply_program`, with each row's prepared program in its own array."""
+    matching = F.filter(F.col(rules), lambda rule: is_true(F.forall(rule["tests"], _test_holds)))
+    return files.withColumn("_first", F.get(matching, F.lit(0))).select(
         *[c for c in files.columns if c != rules],
         F.col("_first.rule_ix").alias("rule_ix"), F.col("_first.cmd").alias("cmd"), F.col("_first.args").alias("args"),
     )
@@ -251,7 +249,7 @@ def parse_rule_lines(df: DataFrame, line: str = "line") -> DataFrame:
             F.get(w, F.lit(0)).alias("field"), F.get(w, F.lit(1)).alias("op"), F.get(w, F.lit(2)).alias("value")
         ),
     )
-    no_conditions = F.array().cast("array<struct<field:string,op:string,value:string>>")
+    no_conditions = F.array().cast(CONDITIONS)
     good = F.col("error").isNull()
     return parsed.withColumn("error", error).select(
         *df.columns,
@@ -289,7 +287,7 @@ def assign_programs(files: DataFrame, programs: DataFrame) -> DataFrame:
         F.col("id").alias("program_id"),
         paths.normalize_root(F.col("src")).alias("_root"),
         F.transform("ext", lambda e: F.lower(F.ltrim(F.trim(e), F.lit(".")))).alias("_exts"),
-        "rules",
+        prepare_rules(F.col("rules")).alias("rules"),
     )
     placed = files.withColumn("_root", F.explode(paths.ancestors(F.col("path"))))
     paired = lookup_join(placed, roots, ["_root"], spread_by=["path"], how="inner")

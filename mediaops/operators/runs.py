@@ -60,11 +60,11 @@ def parse_progress(lines: DataFrame, total_ms: int | Column, line: str = "line")
     Lines that carry no position are not progress and are left out.
     """
     total = _lit(total_ms).cast("bigint")
-    spotted = lines.withColumns({
-        "current_ms": progress.position_ms(F.col(line)),
-        "speed": F.coalesce(progress.realtime_speed(F.col(line)), F.lit(0.0)),
-    }).filter(F.col("current_ms").isNotNull())
+    spotted = lines.withColumn("_clock", progress.clock_text(F.col(line))).filter(F.col("_clock") != "")
     return spotted.withColumns({
+        "current_ms": progress.position_ms(F.col("_clock")),
+        "speed": F.coalesce(progress.realtime_speed(F.col(line)), F.lit(0.0)),
+    }).drop("_clock").withColumns({
         "total_ms": total,
         "pct": progress.fraction_done(F.col("current_ms"), total),
         "eta_ms": progress.remaining_ms(F.col("current_ms"), total, F.col("speed")),

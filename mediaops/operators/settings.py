@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from .. import schemas
 from ..functions import codecs
@@ -56,8 +57,8 @@ def overlay_profiles(builtin: DataFrame, user: DataFrame) -> DataFrame:
     """
     b, u = builtin.alias("b"), user.alias("u")
 
-    def layered(name: str, kind: str) -> Column:
-        mine = F.nullif(F.col(f"u.{name}"), F.lit("")) if kind == "string" else F.col(f"u.{name}")
+    def layered(name: str, kind: DataType) -> Column:
+        mine = F.nullif(F.col(f"u.{name}"), F.lit("")) if kind == schemas.TEXT else F.col(f"u.{name}")
         return F.coalesce(mine, F.col(f"b.{name}")).alias(name)
 
     source = (
@@ -67,7 +68,7 @@ def overlay_profiles(builtin: DataFrame, user: DataFrame) -> DataFrame:
     )
     return b.join(u, F.col("b.name") == F.col("u.name"), "full").select(
         F.coalesce("b.name", "u.name").alias("name"),
-        *[layered(name, kind) for name, kind in schemas.PROFILE_FIELDS.items()],
+        *[layered(f.name, f.dataType) for f in schemas.PROFILES.fields if f.name != "name"],
         source.alias("source"),
     )
 

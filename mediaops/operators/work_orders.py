@@ -1,4 +1,9 @@
-"""The encoder command line of each planned file, as an array of arguments."""
+"""The encoder command line of each planned file, as an array of arguments.
+
+Every option group is one string of arguments held together by a NUL, which no
+argument can contain, and NULL where the group is absent. They are joined and
+split once per file, which is far cheaper than concatenating a dozen arrays.
+"""
 
 from __future__ import annotations
 
@@ -6,103 +11,117 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codecs, paths
-from ..functions.columns import as_column
-
-# Option groups of the encoder.
-CUDA_DECODE = ["-hwaccel", "cuda", "-hwaccel_output_format", "cuda"]
-QSV_DEVICE = ["-init_hw_device", "qsv=qsv:hw_any"]
-QSV_DECODE = ["-hwaccel", "qsv", "-hwaccel_output_format", "qsv"]
-VAAPI_DECODE = ["-hwaccel", "vaapi", "-hwaccel_output_format", "vaapi"]
-STREAM_MAP = ["-map", "0:v:0", "-map", "0:a"]
-SUBTITLE_COPY = ["-map", "0:s?", "-c:s", "copy"]
-FASTSTART = ["-movflags", "+faststart"]
-APPLE_HEVC_TAG = ["-tag:v", "hvc1"]
-MAIN10 = ["-profile:v", "main10"]
-MP4_FAMILY = ["mp4", "m4v", "mov"]
+from ..functions.columns import lookup
+
+NUL = "\x00"
+
+# Option groups of the encoder, "{device}" and "{crf}" to be filled in.
+DECODE_OPTIONS = {
+    "vaapi": "-vaapi_device {device} -hwaccel vaapi -hwaccel_output_format vaapi",
+    "qsv": "-init_hw_device qsv=qsv:hw_any -hwaccel qsv -hwaccel_output_format qsv",
+    "nvenc": "-hwaccel cuda -hwaccel_output_format cuda",
+}
+ENCODE_DEVICE = {"vaapi": "-vaapi_device {device}", "qsv": "-init_hw_device qsv=qsv:hw_any"}
+QUALITY_OPTIONS = {
+    "nvenc": "-rc vbr -cq {crf}",
+    "qsv": "-q:v {crf}",
+    "vaapi": "-rc_mode CQP -qp {crf}",
+    "amf": "-rc cqp -qp_i {crf} -qp_p {crf}",
+    "videotoolbox": "-q:v {crf}",
+    "": "-crf {crf}",
+}
+STREAMS_WITH_SUBTITLES = "-map 0:v:0 -map 0:a -map 0:s? -c:s copy"
+STREAMS_ONLY = "-map 0:v:0 -map 0:a -sn"
+UPLOAD = {8: "-vf format=nv12,hwupload", 10: "-vf format=p010,hwupload"}
+TEN_BIT_PROFILE = "-profile:v main10"
+VP9_CONSTANT_QUALITY = "-b:v 0"
+AUDIO_COPY = "-c:a copy"
+MP4_OPTIONS = "-movflags +faststart"
+MP4_HEVC_OPTIONS = "-movflags +faststart -tag:v hvc1"
+MP4_FAMILY = [".mp4", ".m4v", ".mov"]
 DEFAULT_DEVICE = "/dev/dri/renderD128"
 
 
-def _none() -> Column:
-    return F.array().cast("array<string>")
+def _words(options: str) -> str:
+    return options.replace(" ", NUL)
 
 
-def _args(*parts) -> Column:
-    return F.array(*[as_column(p).cast("string") for p in parts])
+def _option(options: str) -> Column:
+    return F.lit(_words(options))
 
 
-def _if(condition: Column, args: Column) -> Column:
-    return F.when(condition, args).otherwise(_none())
+def _choose(key: Column, table: dict[str, str], device: str = "") -> Column:
+    """Option group by key; NULL where the table has none."""
+    return lookup(key, {k: _words(v).replace("{device}", device) for k, v in table.items()})
 
 
-def input_args(device: Column) -> Column:
-    """What must stand before the input: decode device, thread cap, encode device."""
-    decode, backend, threads = F.col("decode_backend"), F.col("backend"), F.col("decode_threads")
-    vaapi_device = _args("-vaapi_device", device)
-    cap = _if(threads > 0, _args("-threads", threads))
-    encode_device = F.when(backend == "vaapi", vaapi_device).when(backend == "qsv", as_column(QSV_DEVICE)).otherwise(_none())
-    return (
-        F.when(decode == "vaapi", F.concat(vaapi_device, as_column(VAAPI_DECODE)))
-        .when(decode == "qsv", as_column([*QSV_DEVICE, *QSV_DECODE]))
-        .when(decode == "nvenc", as_column(CUDA_DECODE))
-        .otherwise(F.concat(cap, encode_device))
-    )
+def input_args(device: str) -> Column:
+    """What must stand before the input: decode device, or thread cap and encode device."""
+    threads = F.col("decode_threads")
+    hardware = _choose(F.col("decode_backend"), DECODE_OPTIONS, device)
+    cap = F.when(threads > 0, F.concat_ws(NUL, F.lit("-threads"), threads.cast("string")))
+    software = F.nullif(F.concat_ws(NUL, cap, _choose(F.col("backend"), ENCODE_DEVICE, device)), F.lit(""))
+    return F.coalesce(hardware, software)
 
 
 def filter_args() -> Column:
     """Upload to the device when frames were decoded in memory, keeping 10 bits."""
-    upload = F.when(F.col("source_bit_depth") == 10, F.lit("format=p010,hwupload")).otherwise(F.lit("format=nv12,hwupload"))
-    return _if((F.col("decode_backend") == "") & (F.col("backend") == "vaapi"), _args("-vf", upload))
+    upload = F.when(F.col("source_bit_depth") == 10, _option(UPLOAD[10])).otherwise(_option(UPLOAD[8]))
+    return F.when((F.col("decode_backend") == "") & (F.col("backend") == "vaapi"), upload)
 
 
-def rate_args(encoder: Column) -> Column:
-    """Encoder, quality, 10-bit profile and preset options."""
+def quality_args(encoder: Column) -> Column:
     backend, crf = F.col("backend"), F.col("crf").cast("string")
-    quality = (
-        F.when(backend == "nvenc", _args("-rc", "vbr", "-cq", crf))
-        .when(backend.isin("qsv", "videotoolbox"), _args("-q:v", crf))
-        .when(backend == "vaapi", _args("-rc_mode", "CQP", "-qp", crf))
-        .when(backend == "amf", _args("-rc", "cqp", "-qp_i", crf, "-qp_p", crf))
-        .when(encoder == "libvpx-vp9", _args("-crf", crf, "-b:v", "0"))
-        .otherwise(_args("-crf", crf))
-    )
-    ten_bit = (backend != "") & (F.col("source_bit_depth") == 10) & encoder.startswith("hevc_")
-    preset = codecs.encoder_preset(backend, encoder, F.col("preset"))
-    return F.concat(
-        _args("-c:v", encoder), quality, _if(ten_bit, as_column(MAIN10)), _if(preset != "", _args("-preset", preset))
-    )
+    known = F.coalesce(_choose(backend, QUALITY_OPTIONS), _option(QUALITY_OPTIONS[""]))
+    constant = F.when((backend == "") & (encoder == "libvpx-vp9"), _option(VP9_CONSTANT_QUALITY))
+    return F.concat_ws(NUL, F.replace(known, F.lit("{crf}"), crf), constant)
+
+
+def profile_args(encoder: Column) -> Column:
+    """The 10-bit profile, which only hardware HEVC encoders have to be told."""
+    needed = (F.col("backend") != "") & (F.col("source_bit_depth") == 10) & encoder.startswith("hevc_")
+    return F.when(needed, _option(TEN_BIT_PROFILE))
 
 
 def audio_args() -> Column:
-    codec, rate = F.col("audio_codec"), F.col("audio_bitrate")
-    encode = F.concat(_args("-c:a", codecs.audio_encoder(codec)), _if(rate != "", _args("-b:a", rate)))
-    return F.when(F.lower(codec).isin("", "copy"), _args("-c:a", "copy")).otherwise(encode)
+    codec, rate = F.col("audio_codec"), F.nullif("audio_bitrate", F.lit(""))
+    with_rate = F.concat_ws(NUL, F.lit("-c:a"), codecs.audio_encoder(codec), F.concat(F.lit(_words("-b:a ")), rate))
+    return F.when(F.lower(codec).isin("", "copy"), _option(AUDIO_COPY)).otherwise(with_rate)
 
 
-def container_args(container: Column) -> Column:
-    hevc = codecs.software_encoder(F.col("codec")) == "libx265"
-    return _if(F.lower(container).isin(MP4_FAMILY), F.concat(as_column(FASTSTART), _if(hevc, as_column(APPLE_HEVC_TAG))))
+def container_args(destination: Column) -> Column:
+    hevc = F.lower("codec").isin("h265", "hevc", "libx265")
+    options = F.when(hevc, _option(MP4_HEVC_OPTIONS)).otherwise(_option(MP4_OPTIONS))
+    return F.when(F.lower(paths.dotted_ext(destination)).isin(MP4_FAMILY), options)
 
 
-def work_orders(planned: DataFrame, device: str | Column = DEFAULT_DEVICE) -> DataFrame:
+def work_orders(planned: DataFrame, device: str = DEFAULT_DEVICE) -> DataFrame:
     """Add ``working_path`` and ``args`` to rows of resolved settings.
 
     Expects path, output_path, codec, encoder (``''`` = from the codec), backend,
     crf, preset, audio_codec, audio_bitrate, subs, decode_threads, decode_backend,
     source_bit_depth and extra_args.
     """
-    encoder = F.coalesce(F.nullif("encoder", F.lit("")), codecs.software_encoder(F.col("codec")))
-    subtitles = F.when(F.lower("subs") == "drop", _args("-sn")).otherwise(as_column(SUBTITLE_COPY))
+    chosen = F.coalesce(F.nullif("encoder", F.lit("")), codecs.software_encoder(F.col("codec")))
     destination = F.col("output_path")
-    prepared = planned.withColumn("working_path", paths.transient_path(destination, F.col("path")))
-    return prepared.withColumn("args", F.concat(
-        _args("-hide_banner"),
-        input_args(as_column(device)),
-        _args("-i", F.col("path")),
-        as_column(STREAM_MAP), subtitles,
+    prepared = planned.withColumns({
+        "_encoder": chosen,
+        "working_path": paths.transient_path(destination, F.col("path")),
+    }).withColumn("_family", codecs.preset_family(F.col("backend"), F.col("_encoder")))
+    encoder = F.col("_encoder")
+    command = F.concat_ws(
+        NUL,
+        F.lit("-hide_banner"),
+        input_args(device),
+        F.lit("-i"), F.col("path"),
+        F.when(F.lower("subs") == "drop", _option(STREAMS_ONLY)).otherwise(_option(STREAMS_WITH_SUBTITLES)),
         filter_args(),
-        rate_args(encoder),
+        F.lit("-c:v"), encoder,
+        quality_args(encoder), profile_args(encoder),
+        F.concat(_option("-preset "), F.nullif(codecs.family_preset(F.col("_family"), F.col("preset")), F.lit(""))),
         audio_args(),
-        container_args(F.regexp_replace(paths.dotted_ext(destination), r"^\.", "")),
-        F.coalesce("extra_args", _none()),
-        _args("-y", F.col("working_path")),
-    ))
+        container_args(destination),
+        F.col("extra_args"),
+        F.lit("-y"), F.col("working_path"),
+    )
+    return prepared.withColumn("args", F.split(command, NUL)).drop("_encoder", "_family")

@@ -118,7 +118,9 @@ def rule_counts(v: Views) -> DataFrame:
 @query
 def rule_program_stored(v: Views) -> DataFrame:
     """Each file under its owner's stored program."""
-    programs = read_programs(v.programs()).select(F.col("id").cast("bigint").alias("owner"), "rules")
+    programs = read_programs(v.programs()).select(
+        F.col("id").cast("bigint").alias("owner"), rules.prepare_rules(F.col("rules")).alias("rules")
+    )
     owned = rules.lookup_join(v.library(), programs, ["owner"], spread_by=["path"], how="inner")
     decided = rules.apply_rules_column(owned)
     return decided.select("file_id", "rule_ix", "cmd", _text("args").alias("args"))

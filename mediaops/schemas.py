@@ -6,55 +6,50 @@ failed; ``''`` and 0 mean it succeeded and found no such stream.
 
 from __future__ import annotations
 
-from pyspark.sql.types import DataType, LongType, StructField, StructType
-
-INVENTORY = StructType.fromDDL(
-    "path string, rel_path string, ext string, size bigint, mtime bigint, mode int, links bigint, "
-    "is_symlink boolean"
+from pyspark.sql.types import (
+    ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
 )
 
-PROBE_TEXT = StructType.fromDDL("path string, text string")
+TEXT, BIG, INT, REAL, FLAG = StringType(), LongType(), IntegerType(), DoubleType(), BooleanType()
+TEXTS = ArrayType(TEXT)
 
-CONDITION = "struct<field:string,op:string,value:string>"
-RULES = f"array<struct<when:array<{CONDITION}>,do:struct<cmd:string,args:array<string>>>>"
 
-PROGRAMS = StructType.fromDDL(
-    "id string, name string, schedule string, src string, ext string, rules_json string, "
-    "created_at bigint, updated_at bigint"
-)
+def table(**columns: DataType) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in columns.items()])
+
+
+def with_field(schema: StructType, name: str, kind: DataType = BIG) -> StructType:
+    """A copy of the schema with one more column."""
+    return StructType([*schema.fields, StructField(name, kind)])
 
-HISTORY = StructType.fromDDL(
-    "source_path string, source_mtime bigint, source_size bigint, source_codec string, "
-    "output_path string, output_size bigint, target_codec string, encoder string, backend string, "
-    "crf int, preset string, duration_ms bigint, elapsed_ms bigint, status string, error_msg string, "
-    "completed_at bigint"
+
+INVENTORY = table(
+    path=TEXT, rel_path=TEXT, ext=TEXT, size=BIG, mtime=BIG, mode=INT, links=BIG, is_symlink=FLAG,
 )
 
-RUN_EVENTS = StructType.fromDDL(
-    "run_id string, name string, run_kind string, event string, total bigint, ok bigint, failed bigint, "
-    "skipped bigint, at bigint"
+PROBE_TEXT = table(path=TEXT, text=TEXT)
+
+CONDITION = table(field=TEXT, op=TEXT, value=TEXT)
+CONDITIONS = ArrayType(CONDITION)
+RULES = ArrayType(table(when=CONDITIONS, do=table(cmd=TEXT, args=TEXTS)))
+
+PROGRAMS = table(
+    id=TEXT, name=TEXT, schedule=TEXT, src=TEXT, ext=TEXT, rules_json=TEXT, created_at=BIG, updated_at=BIG,
 )
 
-JOB_EVENTS = StructType.fromDDL(
-    "run_id string, source_path string, status string, pct double, speed string, ts bigint, seq bigint"
+HISTORY = table(
+    source_path=TEXT, source_mtime=BIG, source_size=BIG, source_codec=TEXT, output_path=TEXT, output_size=BIG,
+    target_codec=TEXT, encoder=TEXT, backend=TEXT, crf=INT, preset=TEXT, duration_ms=BIG, elapsed_ms=BIG,
+    status=TEXT, error_msg=TEXT, completed_at=BIG,
 )
 
-PROFILE_FIELDS = {
-    "description": "string",
-    "codec": "string",
-    "crf": "int",
-    "preset": "string",
-    "audio_codec": "string",
-    "audio_bitrate": "string",
-    "container": "string",
-    "subs": "string",
-    "extra_args": "array<string>",
-}
-PROFILES = StructType.fromDDL(
-    "name string, " + ", ".join(f"{name} {kind}" for name, kind in PROFILE_FIELDS.items())
+RUN_EVENTS = table(
+    run_id=TEXT, name=TEXT, run_kind=TEXT, event=TEXT, total=BIG, ok=BIG, failed=BIG, skipped=BIG, at=BIG,
 )
 
+JOB_EVENTS = table(run_id=TEXT, source_path=TEXT, status=TEXT, pct=REAL, speed=TEXT, ts=BIG, seq=BIG)
 
-def with_field(schema: StructType, name: str, kind: DataType | None = None) -> StructType:
-    """A copy of the schema with one more column (BIGINT unless said otherwise)."""
-    return StructType([*schema.fields, StructField(name, kind or LongType())])
+PROFILES = table(
+    name=TEXT, description=TEXT, codec=TEXT, crf=INT, preset=TEXT, audio_codec=TEXT, audio_bitrate=TEXT,
+    container=TEXT, subs=TEXT, extra_args=TEXTS,
+)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions.columns import format_epoch
@@ -41,7 +41,7 @@ def append_history(attempts: DataFrame, location: str) -> None:
 
 
 def read_history(spark: SparkSession, location: str) -> DataFrame:
-    schema = schemas.with_field(schemas.HISTORY, "completed_month", StringType())
+    schema = schemas.with_field(schemas.HISTORY, "completed_month", schemas.TEXT)
     return spark.read.schema(schema).parquet(location)
 
 

@@ -14,11 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StructType
 
 from ..operators.planning import PlanSettings, plan
 from ..operators.runs import register_jobs, start_run
-from ..schemas import with_field
+from ..schemas import TEXT, with_field
 from ..sources import ledger
 
 log = logging.getLogger(__name__)
@@ -55,7 +55,7 @@ def watch_changes(snapshots: DataFrame, location: str, checkpoint: str, *, inter
     is all the memory that is needed. A repeated batch reads only what earlier
     batches wrote and replaces its own folder.
     """
-    logged = with_field(with_field(snapshots.schema, "change", StringType()), "batch_id")
+    logged = with_field(with_field(snapshots.schema, "change", TEXT), "batch_id")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         known = None
@@ -68,7 +68,7 @@ def watch_changes(snapshots: DataFrame, location: str, checkpoint: str, *, inter
 
 
 def read_changes(spark: SparkSession, location: str, snapshot_schema: StructType) -> DataFrame:
-    logged = with_field(with_field(snapshot_schema, "change", StringType()), "batch_id")
+    logged = with_field(with_field(snapshot_schema, "change", TEXT), "batch_id")
     return spark.read.schema(logged).parquet(location)
 
 
