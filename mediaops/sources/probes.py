@@ -16,10 +16,11 @@ def read_probe_text(spark: SparkSession, location: str, fmt: str = "parquet") ->
 def read_probe_files(spark: SparkSession, location: str, suffix: str = ".probe") -> DataFrame:
     """Probe output kept as one text file per media file, named after it.
 
-    An empty file stands for a failed probe.
+    Spark leaves empty files out, so a failed probe has no row here; attaching the
+    attributes to an inventory then marks its file as not probed.
     """
     files = spark.read.text(location, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
-    media = F.regexp_replace(F.url_decode("_file"), r"^file:(//)?", "")
-    return files.select(
-        F.regexp_replace(media, f"\\Q{suffix}\\E$", "").alias("path"), F.nullif("value", F.lit("")).alias("text")
-    )
+    # The path is an encoded URI, in which a plus sign is just a plus sign.
+    decoded = F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B")))
+    media = F.regexp_replace(decoded, r"^file:(//)?", "")
+    return files.select(F.regexp_replace(media, f"\\Q{suffix}\\E$", "").alias("path"), F.col("value").alias("text"))
