@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tasks a single hot key is spread over.
-SPREAD = 16
+#: Sub-keys a single key is dealt over.
+SPREAD = 8
 
 
 def lookup_join(facts: DataFrame, table: DataFrame, on: list[str], *, spread_by: list[str],
@@ -14,10 +14,12 @@ def lookup_join(facts: DataFrame, table: DataFrame, on: list[str], *, spread_by:
     """Join a large table to a lookup table on keys that may be very skewed.
 
     Spark broadcasts ``table`` by itself while its measured size is below the
-    broadcast threshold. Beyond that the rows of one key must still not meet in
-    one task, so the fact rows are dealt over ``spread`` sub-keys (by a hash of
-    ``spread_by``, columns that vary within a key) and each lookup row is
-    repeated once per sub-key. Every match is kept.
+    broadcast threshold (the copies made here are at most ``spread`` times that).
+    Beyond it the rows of one key must still not meet in one task, so the fact rows
+    are dealt over ``spread`` sub-keys (by a hash of ``spread_by``, columns that
+    vary within a key) and each lookup row is repeated once per sub-key; adaptive
+    execution splits what is still too large, which it may for the fact side of an
+    inner or left join. Every match is kept.
     """
     sub_key = F.pmod(F.xxhash64(*spread_by), F.lit(spread)).cast("int")
     dealt = facts.withColumn("_sub_key", sub_key)
@@ -25,6 +27,19 @@ def lookup_join(facts: DataFrame, table: DataFrame, on: list[str], *, spread_by:
     return dealt.join(repeated, [*on, "_sub_key"], how).drop("_sub_key")
 
 
+def owners_with_facts(owners: DataFrame, facts: DataFrame, on: list[str], *, spread_by: list[str]) -> DataFrame:
+    """``owners`` left join ``facts`` where one owner may have most of the facts.
+
+    As a plain left join the facts would be the side that cannot be split. Here
+    they look up their owner, and owners without facts are added from an anti join
+    with the distinct keys.
+    """
+    found = lookup_join(facts, owners, on, spread_by=spread_by, how="inner")
+    missing = owners.join(facts.select(*on).distinct(), on, "left_anti")
+    columns = [*owners.columns, *[c for c in facts.columns if c not in on]]
+    return found.select(*columns).unionByName(missing, allowMissingColumns=True)
+
+
 def mark_present(facts: DataFrame, keys: DataFrame, on: dict[str, Column], name: str) -> DataFrame:
     """Add a boolean column: does ``keys`` hold a row with these values?
 

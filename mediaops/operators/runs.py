@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import progress
 from .capability import earns_retry
-from .joins import lookup_join
+from .joins import lookup_join, owners_with_facts
 
 JOB = ["run_id", "source_path"]
 TERMINAL = ["done", "failed"]
@@ -216,7 +216,7 @@ def run_detail(runs: DataFrame, jobs: DataFrame, run_id=None) -> DataFrame:
                            "source_path")
     if run_id is not None:
         runs, prefixed = (df.filter(F.col("run_id") == run_id) for df in (runs, prefixed))
-    return runs.join(prefixed, "run_id", "left").orderBy("run_id", "source_path")
+    return owners_with_facts(runs, prefixed, ["run_id"], spread_by=["source_path"]).orderBy("run_id", "source_path")
 
 
 def run_documents(runs: DataFrame, jobs: DataFrame, page_size: int = 1000) -> DataFrame:
@@ -235,8 +235,8 @@ def run_documents(runs: DataFrame, jobs: DataFrame, page_size: int = 1000) -> Da
     )
     job = F.struct("source_path", *[c for c in jobs.columns if c not in JOB])
     nested = paged.groupBy("run_id", "page").agg(F.sort_array(F.collect_list(job)).alias("jobs"))
-    empty = F.filter(F.array(F.lit(None).cast(nested.schema["jobs"].dataType.elementType)), lambda j: j.isNotNull())
-    return runs.join(nested, "run_id", "left").withColumns({
+    empty = F.array().cast(nested.schema["jobs"].dataType)
+    return owners_with_facts(runs, nested, ["run_id"], spread_by=["page"]).withColumns({
         "page": F.coalesce("page", F.lit(0).cast("bigint")), "jobs": F.coalesce("jobs", empty),
     })
 

@@ -13,7 +13,7 @@ from ..operators.planning import PlanSettings
 from ..operators.rules import Cond, Rule
 from ..sources import ledger
 from ..sources.inventory import filter_extensions, list_paths
-from ..sources.programs import read_programs
+from ..sources.programs import list_programs, read_programs
 from ..sources.workspace import work_dir
 from ..streaming import jobs as job_streams
 from ..streaming import watch
@@ -128,7 +128,7 @@ def rule_program_stored(v: Views) -> DataFrame:
 
 @query
 def program_list(v: Views) -> DataFrame:
-    return read_programs(v.programs()).select(
+    return list_programs(v.programs()).select(
         "id", "name", "schedule", "src", F.array_join("ext", "|").alias("ext"),
         F.size("rules").alias("n_rules"), F.get("rules", F.lit(0))["do"]["cmd"].alias("first_cmd"), "rules_corrupt",
     )

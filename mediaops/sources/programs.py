@@ -12,7 +12,7 @@ DEFAULT_EXTENSIONS = "mkv,mp4,avi"
 
 
 def read_programs(programs: DataFrame) -> DataFrame:
-    """Programs with ``ext`` and ``rules`` as arrays, ordered by name.
+    """Programs with ``ext`` and ``rules`` as arrays.
 
     Missing rules are an empty list. Text that is not valid JSON gives NULL rules
     and ``rules_corrupt``.
@@ -21,7 +21,12 @@ def read_programs(programs: DataFrame) -> DataFrame:
     rules = F.from_json(text, schemas.RULES)
     extensions = F.split(F.coalesce(F.nullif("ext", F.lit("")), F.lit(DEFAULT_EXTENSIONS)), ",")
     parsed = programs.withColumns({"ext": extensions, "rules": rules}).drop("rules_json")
-    return parsed.withColumn("rules_corrupt", F.col("rules").isNull()).orderBy("name", "id")
+    return parsed.withColumn("rules_corrupt", F.col("rules").isNull())
+
+
+def list_programs(programs: DataFrame) -> DataFrame:
+    """All programs, ordered by name."""
+    return read_programs(programs).orderBy("name", "id")
 
 
 def program_by_id(programs: DataFrame, program_id: str) -> DataFrame:

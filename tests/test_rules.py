@@ -10,7 +10,7 @@ from mediaops import schemas
 from mediaops.operators import rules
 from mediaops.operators.rules import Cond, Rule
 from mediaops.plans.program_run import program_run
-from mediaops.sources.programs import program_by_id, read_programs
+from mediaops.sources.programs import list_programs, program_by_id, read_programs
 
 FILES = ("path string, ext string, video_codec string, audio_codec string, height bigint, width bigint, bitrate bigint,"
          " duration double")
@@ -145,7 +145,7 @@ def test_stored_programs(spark):
         ("1", "zebra", "", "/lib", "mkv,mp4", SKIP), ("2", "ant", "", "/", "", ""), ("3", "bee", "", "/", None, "[]"),
         ("4", "cow", "", "/", "", "{broken"),
     ], PROGRAMS)
-    read = read_programs(stored).collect()
+    read = list_programs(stored).collect()
     assert [r.name for r in read] == ["ant", "bee", "cow", "zebra"]
     assert [r.ext for r in read] == [["mkv", "mp4", "avi"]] * 3 + [["mkv", "mp4"]]
     assert [r.rules_corrupt for r in read] == [False, False, True, False]
