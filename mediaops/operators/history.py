@@ -29,26 +29,39 @@ def with_display(history: DataFrame, zone: str = "UTC") -> DataFrame:
     })
 
 
-def _saved() -> Column:
-    """Bytes an attempt saved; NULL unless it succeeded with a smaller, non-empty output."""
-    saved = F.col("source_size") - F.col("output_size")
-    return F.when((F.col("status") == "done") & (F.col("output_size") > 0) & (saved > 0), saved)
+def _saving() -> Column:
+    """Did an attempt save space: it succeeded with a smaller, non-empty output?"""
+    return (
+        (F.col("status") == "done") & (F.col("output_size") > 0) & (F.col("output_size") < F.col("source_size"))
+    )
+
+
+def _bytes_saved(amounts: Column) -> Column:
+    return F.coalesce(F.sum(amounts), F.lit(0).cast("bigint")).alias("bytes_saved")
 
 
 def space_saved(history: DataFrame) -> DataFrame:
-    """Total bytes saved, 0 when nothing was."""
-    return history.agg(F.coalesce(F.sum(_saved()), F.lit(0).cast("bigint")).alias("bytes_saved"))
+    """Total bytes saved, 0 when nothing was. The status test reaches the scan."""
+    return history.filter(_saving()).agg(_bytes_saved(F.col("source_size") - F.col("output_size")))
+
+
+def _saved_per_attempt() -> Column:
+    return F.when(_saving(), F.col("source_size") - F.col("output_size"))
 
 
 def savings_rollup(history: DataFrame) -> DataFrame:
     """Bytes saved and attempts per encoder and target codec, with subtotals.
 
-    ``level`` tells the rows apart: 0 detail, 1 per encoder, 3 everything.
+    ``level`` tells the rows apart: 0 detail, 1 per encoder, 3 everything. The
+    subtotals are formed from the few detail rows, not from every attempt again.
     """
-    return history.rollup("encoder", "target_codec").agg(
+    detail = history.groupBy("encoder", "target_codec").agg(
+        F.count(F.lit(1)).alias("_attempts"), F.sum(_saved_per_attempt()).alias("_saved")
+    )
+    return detail.rollup("encoder", "target_codec").agg(
         F.grouping_id().cast("int").alias("level"),
-        F.count(F.lit(1)).alias("attempts"),
-        F.coalesce(F.sum(_saved()), F.lit(0).cast("bigint")).alias("bytes_saved"),
+        F.coalesce(F.sum("_attempts"), F.lit(0).cast("bigint")).alias("attempts"),
+        _bytes_saved(F.col("_saved")),
     )
 
 
@@ -57,5 +70,5 @@ def savings_by_day(history: DataFrame) -> DataFrame:
     day = format_epoch(F.col("completed_at"), "yyyy-MM-dd")
     return history.groupBy("encoder", "target_codec", day.alias("day")).agg(
         F.count(F.lit(1)).alias("attempts"),
-        F.coalesce(F.sum(_saved()), F.lit(0).cast("bigint")).alias("bytes_saved"),
+        _bytes_saved(_saved_per_attempt()),
     )

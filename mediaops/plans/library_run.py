@@ -5,32 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codecs import codec_name
 from ..operators.attributes import attach_attrs
 from ..operators.capability import decode_route, resolve_codec, resolve_encoder
+from ..operators.joins import lookup_join
 from ..operators.planning import PlanSettings, plan
 from ..operators.work_orders import work_orders
 
 
+def resolve_jobs(settings: DataFrame, capability: DataFrame, platform: str = "linux") -> DataFrame:
+    """Settings of each job (with its ``host``) with codec, encoder and 10-bit ability settled."""
+    chosen = resolve_codec(settings, capability, platform=platform, key="job_id")
+    chosen = chosen.withColumn("codec", F.col("resolved_codec")).drop("resolved_codec")
+    chosen = resolve_encoder(chosen, capability, platform=platform, key="job_id")
+    ten_bit = capability.filter("main10").select(
+        "host", F.concat_ws("_", codec_name(F.col("codec")), "backend").alias("encoder"), F.lit(True).alias("main10")
+    ).distinct()
+    return lookup_join(chosen, ten_bit, ["host", "encoder"], spread_by=["job_id"])
+
+
 def library_run(inventory: DataFrame, attrs: DataFrame, settings: DataFrame, capability: DataFrame,
                 verdicts: DataFrame, *, history: DataFrame | None = None, listing: DataFrame | None = None,
                 platform: str = "linux") -> DataFrame:
     """Plan every file under the settings of its job and attach the command of each one to do.
 
-    ``settings`` is the output of ``resolve_settings`` for one job (one row, with
-    ``host``); the codec a host can encode in hardware is settled before planning,
-    so that the already-in-target test looks for what would really be produced.
+    ``inventory`` names each file's ``job_id``; ``settings`` is the output of
+    ``resolve_settings`` with the ``host`` of each job. The codec a host can encode
+    in hardware is settled before planning, so that the already-in-target test
+    looks for what would really be produced.
     """
-    resolved = resolve_codec(settings, capability, platform=platform, key="job_id")
-    resolved = resolved.withColumn("codec", F.col("resolved_codec")).drop("resolved_codec")
-    resolved = resolve_encoder(resolved, capability, platform=platform, key="job_id")
-    main10 = capability.filter("main10").select(
-        "host", F.concat_ws("_", "codec", "backend").alias("encoder"), F.lit(True).alias("main10")
-    ).distinct()
-    resolved = resolved.join(main10, ["host", "encoder"], "left").drop("profile", "profile_known")
-    # One row of settings: the join is a broadcast of that row, not a product of tables.
-    files = attach_attrs(inventory, attrs).withColumn("_job", F.lit(1))
-    with_settings = files.join(F.broadcast(resolved.limit(1).withColumn("_job", F.lit(1))), "_job").drop("_job")
-    planned = plan(with_settings, PlanSettings.from_columns(with_settings), history=history, listing=listing)
+    jobs = resolve_jobs(settings, capability, platform)
+    # The files have a column of this name too: the stream's profile, not a settings profile.
+    jobs = jobs.drop("profile", "profile_known")
+    files = lookup_join(attach_attrs(inventory, attrs), jobs, ["job_id"], spread_by=["path"], how="inner")
+    planned = plan(files, PlanSettings.from_columns(files), history=history, listing=listing)
     routed = decode_route(planned, verdicts)
     ready = routed.withColumns({
         "encoder": F.col("route_encoder"), "backend": F.col("route_backend"), "preset": F.col("route_preset"),

@@ -47,18 +47,28 @@ def write_job_state(states: DataFrame, location: str, checkpoint: str, **trigger
 
 
 def write_queue_counters(states: DataFrame, location: str, checkpoint: str, cancelled: DataFrame | None = None,
-                         **trigger) -> StreamingQuery:
-    """Store state updates and, for the runs they touch, the new queue counters."""
+                         compact_every: int = 50, **trigger) -> StreamingQuery:
+    """Store state updates and, for the runs they touch, the new queue counters.
+
+    Every ``compact_every`` micro-batches the updates so far are folded into one
+    row per job, so that a micro-batch reads that and the few updates since, not
+    the whole past. A repeated batch never looks at folders of later ones.
+    """
     schema = with_field(states.schema, "batch_id")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{location}/states/batch_id={batch_id}")
-        stored = spark.read.schema(schema).parquet(f"{location}/states")
-        # A repeated batch must not see folders of later ones.
-        so_far = stored.filter(F.col("batch_id") <= batch_id)
-        touched = so_far.filter(F.col("batch_id") == batch_id).select("run_id").distinct()
-        current = newest_state(so_far.join(touched, "run_id", "left_semi"))
+        folded_at = batch_id // compact_every * compact_every - 1
+        updates = spark.read.schema(schema).parquet(f"{location}/states")
+        recent = updates.filter((F.col("batch_id") > folded_at) & (F.col("batch_id") <= batch_id))
+        if folded_at >= 0:
+            folded = spark.read.schema(states.schema).parquet(f"{location}/folded/batch_id={folded_at}")
+            recent = recent.unionByName(folded.withColumn("batch_id", F.lit(folded_at).cast("bigint")))
+        if (batch_id + 1) % compact_every == 0:
+            newest_state(recent).write.mode("overwrite").parquet(f"{location}/folded/batch_id={batch_id}")
+        touched = updates.filter(F.col("batch_id") == batch_id).select("run_id").distinct()
+        current = newest_state(recent.join(touched, "run_id", "left_semi"))
         counters = runs.queue_counters(current, cancelled)
         counters.write.mode("overwrite").parquet(f"{location}/counters/batch_id={batch_id}")
 

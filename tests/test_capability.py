@@ -162,8 +162,8 @@ def test_arguments_with_blanks_and_line_breaks_stay_whole(spark):
 
 
 def test_a_library_run_end_to_end(spark, tested):
-    inventory = spark.createDataFrame([("/m/a.mkv", "a.mkv", 1, 1), ("/m/b.mkv", "b.mkv", 1, 1), ("/m/c.mkv", "c.mkv", 1, 1)],
-                                      "path string, rel_path string, mtime bigint, links bigint")
+    inventory = spark.createDataFrame([(f"/m/{n}.mkv", f"{n}.mkv", 1, 1, 1) for n in "abc"],
+                                      "path string, rel_path string, mtime bigint, links bigint, job_id bigint")
     attrs = spark.createDataFrame([("/m/a.mkv", True, "h264", "High", "yuv420p", 8, False), ("/m/b.mkv", True, "hevc", "Main", "yuv444p", 0, False)],
                                   "path string, probe_ok boolean, video_codec string, profile string, pix_fmt string, surface_depth int, dolby_vision boolean")
     settings = spark.createDataFrame([{

@@ -109,7 +109,7 @@ def test_streamed_state_equals_batch_state(spark, tmp_path):
     for part in (df.filter("ts >= 3"), df.filter("ts < 2"), df.filter("ts = 2")):
         feed(part)
         run("states", jobs.write_job_state)
-        run("queue", jobs.write_queue_counters)
+        run("queue", jobs.write_queue_counters, compact_every=2)
     streamed = jobs.newest_state(spark.read.option("basePath", str(tmp_path / "states")).parquet(str(tmp_path / "states")))
     batch = runs.latest_job_state(df)
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
