@@ -34,6 +34,8 @@ def session(cpus: int) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+        # The JVM never compiles methods beyond 8000 bytes: rather split a stage than interpret it.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

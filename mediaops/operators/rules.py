@@ -99,7 +99,7 @@ def match_all(conditions: list[Cond]) -> Column:
     return is_true(all_of(cond(c.field, c.op, c.value) for c in conditions))
 
 
-def action_outcome(cmd: Column) -> DataFrame | Column:
+def action_outcome(cmd: Column) -> Column:
     """What becomes of a file's job: run and tracked, run only, or left untouched."""
     return (
         F.when(cmd.isin(TRACKED_ACTIONS), F.lit("tracked"))

@@ -247,13 +247,17 @@ def attempt_outcomes(attempts: DataFrame, keys: list[str] = JOB) -> DataFrame:
     The first attempt alone can earn a retry, and only when hardware decoding was
     on and the encoder itself failed; ``retry_due`` marks those still without one.
     """
-    last = F.col("attempt_no")
+    order = F.col("attempt_no")
+    # Flags and numbers only, so that this is a hash aggregation and needs no sort.
     grouped = attempts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("attempts"),
-        F.max_by("status", last).alias("status"),
-        F.min_by(earns_retry(), last).alias("retry_earned"),
+        F.max_by(F.col("status") == "failed", order).alias("_failed"),
+        F.min_by(earns_retry(), order).alias("retry_earned"),
+    )
+    return grouped.select(
+        *keys, "attempts", F.when(F.col("_failed"), F.lit("failed")).otherwise(F.lit("done")).alias("status"),
+        "retry_earned", (F.col("retry_earned") & (F.col("attempts") == 1)).alias("retry_due"),
     )
-    return grouped.withColumn("retry_due", F.col("retry_earned") & (F.col("attempts") == 1))
 
 
 def exit_outcome(runs: DataFrame) -> DataFrame:

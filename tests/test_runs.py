@@ -132,3 +132,15 @@ def test_history_reports(spark, rows):
     assert history.with_display(df).filter("source_path = '/c'").first().encoder_label == "(unknown)"
     rollup = {(r.encoder, r.target_codec, r.level): (r.attempts, r.bytes_saved) for r in history.savings_rollup(df).collect()}
     assert rollup[(None, None, 3)] == (4, 100) and rollup[("x265", None, 1)] == (3, 100) and len(rollup) == 6
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path, capsys):
+    location = str(tmp_path / "history")
+    spark.createDataFrame([("/a", 1000, 900, "done", "x265", "h265", 1, 300)], HISTORY).write.parquet(location)
+    stored = spark.read.parquet(location)
+    history.space_saved(stored).explain("formatted")
+    saved = capsys.readouterr().out
+    assert "EqualTo(status,done)" in saved and "ReadSchema: struct<source_size:bigint,output_size:bigint,status:string>" in saved
+    history.recent_history(stored, failed_only=True).explain("formatted")
+    recent = capsys.readouterr().out
+    assert "EqualTo(status,failed)" in recent and "TakeOrderedAndProject" in recent
