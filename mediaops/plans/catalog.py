@@ -18,6 +18,7 @@ from ..sources.workspace import work_dir
 from ..streaming import jobs as job_streams
 from ..streaming import watch
 from . import tables as t
+from .library_run import library_run as run_library
 from .program_run import program_run
 from .views import Views
 
@@ -312,6 +313,21 @@ def command_manifest(v: Views) -> DataFrame:
     return work_orders.work_orders(ready).select("file_id", "working_path", _text("args").alias("command"))
 
 
+@query
+def library_run(v: Views) -> DataFrame:
+    """Whole runs: probe text parsed, jobs settled on their hosts, files planned and routed, commands built."""
+    inventory = v.library().select("file_id", "path", "rel_path", "mtime", "links", (F.col("file_id") % 10).alias("job_id"))
+    attrs = attributes.parse_attrs(v.probe_text())
+    done = run_library(
+        inventory, attrs, v.host_jobs(), v.capability(), capability.shape_verdict(v.evidence()),
+        history=v.transcodes(), listing=v.listing(),
+    )
+    return done.select(
+        "file_id", "job_id", "codec", "output_path", "decision", "reason", "encoder", "backend", "decode_backend",
+        "source_bit_depth", F.get("args", F.size("args") - 1).alias("last_arg"),
+    )
+
+
 # --- runs and jobs ---------------------------------------------------------
 
 @query

@@ -12,6 +12,8 @@ from ..operators.joins import lookup_join
 from ..operators.planning import PlanSettings, plan
 from ..operators.work_orders import work_orders
 
+DECIDING_ATTRS = ["probe_ok", "video_codec", "profile", "pix_fmt", "surface_depth", "dolby_vision"]
+
 
 def resolve_jobs(settings: DataFrame, capability: DataFrame, platform: str = "linux") -> DataFrame:
     """Settings of each job (with its ``host``) with codec, encoder and 10-bit ability settled."""
@@ -35,9 +37,11 @@ def library_run(inventory: DataFrame, attrs: DataFrame, settings: DataFrame, cap
     looks for what would really be produced.
     """
     jobs = resolve_jobs(settings, capability, platform)
-    # The files have a column of this name too: the stream's profile, not a settings profile.
+    # Files and settings both have an audio_codec and a profile. Of the files only what the
+    # decisions need is taken, of the settings all but the name of their profile.
     jobs = jobs.drop("profile", "profile_known")
-    files = lookup_join(attach_attrs(inventory, attrs), jobs, ["job_id"], spread_by=["path"], how="inner")
+    known = attach_attrs(inventory, attrs.select("path", *DECIDING_ATTRS))
+    files = lookup_join(known, jobs, ["job_id"], spread_by=["path"], how="inner")
     planned = plan(files, PlanSettings.from_columns(files), history=history, listing=listing)
     routed = decode_route(planned, verdicts)
     ready = routed.withColumns({

@@ -35,6 +35,24 @@ _VIEWS = {
         CASE WHEN pix_fmt IN ('yuv420p', 'yuvj420p', 'nv12', 'nv21') THEN 8
              WHEN pix_fmt IN ('yuv420p10le', 'p010le') THEN 10 WHEN pix_fmt IS NOT NULL THEN 0 END AS surface_depth
         FROM routed_base r JOIN codec_alias a ON a.alias = r.codec""",
+    "host_jobs": t.sql_select(t.HOST_JOBS, "supplier"),
+    "usable": "SELECT *, CASE codec WHEN 'av1' THEN 0 WHEN 'hevc' THEN 1 ELSE 2 END AS place FROM capability WHERE works",
+    "recoded": """SELECT j.* REPLACE (CASE WHEN hwaccel = 'auto' THEN coalesce((SELECT min_by(u.codec, place) FROM usable u
+          WHERE u.host = j.host AND u.backend <> 'videotoolbox' AND place >= j.job_id % 3), j.codec) ELSE j.codec END AS codec) FROM host_jobs j""",
+    "settled": """SELECT r.*, a.probe_name, a.software, coalesce(b.backend, '') AS job_backend, coalesce(b.main10, false) AS main10
+        FROM recoded r JOIN codec_alias a ON a.alias = r.codec
+        LEFT JOIN (SELECT host, codec, mode, min_by(backend, rank) AS backend, min_by(main10, rank) AS main10 FROM
+          (SELECT host, codec, 'auto' AS mode, backend, main10, CASE backend WHEN 'nvenc' THEN 0 WHEN 'qsv' THEN 1 WHEN 'vaapi' THEN 2 ELSE 3 END AS rank
+             FROM usable WHERE backend <> 'videotoolbox'
+           UNION ALL SELECT host, codec, backend, backend, main10, 0 FROM usable) GROUP BY ALL) b
+          ON b.host = r.host AND b.codec = a.probe_name AND b.mode = r.hwaccel""",
+    "job_files": f"""SELECT s.file_id, s.path, s.stem, s.links, s.mtime, s.video_codec, s.dolby_vision, s.profile, s.pix_fmt,
+          j.job_id, j.codec, j.inplace, j.skip_hardlinked, j.allow_hdr_loss, j.hwdecode, j.main10, j.job_backend, j.probe_name, j.software,
+          CASE WHEN pix_fmt IN ('yuv420p', 'nv12') THEN 8 WHEN pix_fmt = 'yuv420p10le' THEN 10 WHEN pix_fmt IS NOT NULL THEN 0 END AS depth,
+          coalesce(j.job_backend <> '' AND s.pix_fmt <> '', false) AS known, dotted,
+          CASE WHEN inplace THEN path ELSE regexp_replace(path, '\\.[^./]*$', '') || '.out'
+            || CASE WHEN container = '' THEN dotted ELSE '.' || container END END AS output_path
+        FROM stems s JOIN settled j ON j.job_id = s.file_id % 10""",
     # planning
     "stems": """SELECT *, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^./]*$', '') AS stem,
         regexp_extract(path, '(\\.[^./]*)$', 1) AS dotted FROM library""",
@@ -100,6 +118,8 @@ _VIEWS = {
 _NEEDS = {
     "probe_text": ["library"], "transcodes": ["library"], "listing": ["library"], "jobs": ["library"],
     "routed_base": ["library"], "routed": ["routed_base", "codec_alias"], "stems": ["library"],
+    "usable": ["capability"], "recoded": ["host_jobs", "usable"], "settled": ["recoded", "codec_alias", "usable"],
+    "job_files": ["stems", "settled"],
     "verdicts": ["evidence"], "parsed_progress": ["progress"], "job_log": ["parsed_progress"], "job_state": ["job_log"],
     "closed": ["runs", "jobs"], "raw_counts": ["runs", "jobs"], "profiles": ["builtin_profiles", "user_profiles"],
     "settings": ["job_specs", "env_layer", "config_layer", "profiles"],
@@ -340,6 +360,20 @@ def oracle_sql() -> dict[str, str]:
         (SELECT *, {_mapped('route_backend', 'route_encoder', 'route_preset')} AS mapped, regexp_extract(path, '(\\.[^./]*)$', 1) AS dotted,
           regexp_replace(path, '\\.[^./]*$', '') || '.transcoded' || regexp_extract(path, '(\\.[^./]*)$', 1) AS working_path FROM routes)""", _ROUTE)
 
+    add("library_run", ["job_files", "transcodes", "listing", "verdicts"], f"""SELECT file_id, job_id, codec, output_path, {_DECISION}, reason,
+        CASE WHEN sw OR job_backend = '' THEN software ELSE probe_name || '_' || job_backend END AS encoder,
+        CASE WHEN sw THEN '' ELSE job_backend END AS backend,
+        CASE WHEN known AND NOT sw AND hwdecode = 'auto' AND verdict THEN job_backend ELSE '' END AS decode_backend,
+        CASE WHEN known AND NOT sw THEN depth ELSE 0 END AS source_bit_depth,
+        CASE WHEN reason IS NULL THEN regexp_replace(path, '[^/]*$', '') || stem || '.transcoded' || regexp_extract(output_path, '(\\.[^./]*)$', 1) END AS last_arg
+        FROM (SELECT f.*, v.verdict, known AND (depth = 0 OR (depth = 10 AND NOT main10)) AS sw, coalesce(CASE
+            WHEN inplace THEN CASE WHEN skip_hardlinked AND links > 1 THEN 'hardlinked'
+              WHEN EXISTS (SELECT 1 FROM transcodes h WHERE h.source_path = f.path AND h.source_mtime = f.mtime AND h.status = 'done') THEN 'history_done'
+              WHEN f.video_codec = probe_name THEN 'already_target' END
+            WHEN {_OWN} THEN 'own_output'
+            WHEN EXISTS (SELECT 1 FROM listing x WHERE x.path = f.output_path) THEN 'output_exists' END,
+            CASE WHEN dolby_vision AND NOT allow_hdr_loss THEN 'dolby_vision' END) AS reason
+          FROM job_files f LEFT JOIN verdicts v ON v.backend = f.job_backend AND v.codec = f.video_codec AND v.profile = f.profile AND v.pix_fmt = f.pix_fmt)""")
     add("run_register", ["stems", "listing"], "SELECT 'run-1' AS run_id, path AS source_path, 'queued' AS status, 0.0::DOUBLE AS pct, '' AS speed, 1000000000::BIGINT AS ts, (-1)::BIGINT AS seq FROM alongside WHERE reason IS NULL", _ALONGSIDE)
     add("run_start", ["stems", "listing"], """SELECT 'run-1' AS run_id, 'nightly' AS name, 'transcode' AS run_kind, 'running' AS event, count(*) AS total,
         0::BIGINT AS ok, 0::BIGINT AS failed, 0::BIGINT AS skipped, 1000000000::BIGINT AS at FROM alongside WHERE reason IS NULL""", _ALONGSIDE)

@@ -251,6 +251,18 @@ ROUTED = [
     ("extra_text", "CASE WHEN file_id % 4 = 1 THEN '-tune film' ELSE '' END"),
 ]
 
+#: settled settings of one job per host
+HOST_JOBS = [
+    ("job_id", "s_suppkey"), ("host", "s_suppkey"),
+    ("codec", "CASE s_suppkey % 3 WHEN 0 THEN 'av1' WHEN 1 THEN 'h265' ELSE 'h264' END"),
+    ("hwaccel", "CASE s_suppkey % 4 WHEN 1 THEN 'none' WHEN 2 THEN 'vaapi' ELSE 'auto' END"),
+    ("hwdecode", "CASE WHEN s_suppkey % 7 = 0 THEN 'off' ELSE 'auto' END"),
+    ("crf", "CAST(20 + s_suppkey % 10 AS INT)"), ("preset", "'medium'"), ("audio_codec", "'copy'"), ("audio_bitrate", "''"),
+    ("subs", "'copy'"), ("decode_threads", "0"), ("inplace", "s_suppkey % 2 = 1"), ("skip_hardlinked", "s_suppkey % 3 = 1"),
+    ("force", "false"), ("allow_hdr_loss", "s_suppkey % 10 = 9"), ("output_dir", "''"), ("suffix", "'.out'"),
+    ("container", "CASE WHEN s_suppkey % 10 = 4 THEN 'mkv' ELSE '' END"),
+]
+
 _SPARK_EPOCH = ("(CAST(unix_date(CAST({x} AS DATE)) AS BIGINT) * 86400 + hour({x}) * 3600 + minute({x}) * 60"
                 " + CAST(floor(second({x})) AS BIGINT))")
 _SQL_EPOCH = "CAST(floor(epoch({x})) AS BIGINT)"

@@ -85,6 +85,9 @@ class Views:
             "(host * 7 + codec_ix * 3 + backend_ix * 5) % 6 = 0 AS works", "(host + codec_ix + backend_ix) % 3 = 0 AS main10",
         )
 
+    def host_jobs(self) -> DataFrame:
+        return t.select(self.table("supplier"), t.HOST_JOBS).withColumn("extra_args", F.array().cast("array<string>"))
+
     def requests(self) -> DataFrame:
         return t.select(self.table("lineitem"), t.REQUESTS)
 
