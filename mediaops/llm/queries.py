@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import jaccard_join
+from . import jaccard_join, quality_rules
+from .sql import oracle_sql  # noqa: F401
 from .work import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,8 +17,8 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_jaccard_join,)}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_jaccard_join, op7_quality_rules)}
