@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, quality_rules
+from . import jaccard_join, personal_data, quality_rules, secrets
 from .sql import oracle_sql  # noqa: F401
 from .work import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = secrets.default_models(spark, secrets.ordinary_strings(table(spark, sf_dir, "benchmark")))
+    return secrets.digest(table(spark, sf_dir, "documents"), models)
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -21,4 +30,5 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_jaccard_join, op7_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_secrets, op2_personal_data, op4_jaccard_join, op7_quality_rules)}
