@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, personal_data, quality_rules, secrets
+from . import jaccard_join, personal_data, pieces, quality_rules, secrets, source_mix, token_files
 from .sql import oracle_sql  # noqa: F401
-from .work import table
+from .work import table, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is, on this machine as on the executors."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = secrets.default_models(spark, secrets.ordinary_strings(table(spark, sf_dir, "benchmark")))
     return secrets.digest(table(spark, sf_dir, "documents"), models)
@@ -30,5 +36,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "tokens")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    return token_files.read_documents(spark, path)
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_secrets, op2_personal_data, op4_jaccard_join, op7_quality_rules)}
+    op1_secrets, op2_personal_data, op4_jaccard_join, op5_token_files, op7_quality_rules,
+    op8_source_mix, op9_pieces)}
