@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join, personal_data, pieces, quality_rules, secrets, source_mix, token_files
+from . import jaccard_join, personal_data, pieces, quality_rules, secrets, source_mix, token_files, vector_search
 from .sql import oracle_sql  # noqa: F401
 from .work import table, work_dir
 
@@ -50,6 +51,12 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(vector_search.usable(F.col("embedding"))).select(
+        F.col("vec_id").cast("long").alias("id"), vector_search.quantized(F.col("embedding")).alias("vector"))
+    return vector_search.top_k(rows, rows.where("id % 50 = 0"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_secrets, op2_personal_data, op4_jaccard_join, op5_token_files, op7_quality_rules,
-    op8_source_mix, op9_pieces)}
+    op8_source_mix, op9_pieces, op10_vector_search)}

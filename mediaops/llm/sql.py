@@ -48,5 +48,19 @@ WITH base AS (
 SELECT *, NOT base_failed AND n_removed_words <= CAST({depleted} AS DOUBLE) * n_words AS kept FROM judged"""
 
 
+def vector_search() -> str:
+    return """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules()}
+    return {"op7_quality_rules": quality_rules(), "op10_vector_search": vector_search()}
