@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, main_text, personal_data, pieces, quality_rules, secrets, source_mix, token_files, vector_search
+from . import jaccard_join, main_text, personal_data, pieces, quality_rules, repeats, secrets, source_mix, token_files, vector_search
 from .sql import oracle_sql  # noqa: F401
 from .work import table, work_dir
 
@@ -61,6 +61,10 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_secrets, op2_personal_data, op4_jaccard_join, op5_token_files, op6_main_text, op7_quality_rules,
+    op1_secrets, op2_personal_data, op3_repeats, op4_jaccard_join, op5_token_files, op6_main_text, op7_quality_rules,
     op8_source_mix, op9_pieces, op10_vector_search)}
