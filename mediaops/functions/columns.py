@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-INTEGER_TEXT = r"^[+-]?[0-9]{1,18}$"
+INTEGER_TEXT = r"^[+-]?[0-9]+$"
 DECIMAL_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -41,7 +41,7 @@ def is_true(condition: Column) -> Column:
 
 
 def parse_integer(text: Column) -> Column:
-    """BIGINT of a plain decimal integer, NULL for any other text.
+    """BIGINT of a plain decimal integer, NULL for any other text and beyond 64 bits.
 
     A bare cast would also take surrounding blanks, so the text is tested first.
     """

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import INTEGER_TEXT, parse_decimal, parse_integer
+from .columns import parse_decimal, parse_integer
 
 # Picture formats the hardware surfaces carry without loss.
 EIGHT_BIT_FORMATS = ["yuv420p", "yuvj420p", "nv12", "nv21"]
@@ -138,10 +138,12 @@ def _named(items: Column) -> Column:
 
 
 def _last_integer(lines: Column, key: str) -> Column:
-    """Value of the last ``key=`` line that holds an integer; others are passed over."""
+    """Value of the last ``key=`` line that holds a 64-bit integer; others are passed over."""
     last = _last_value(lines, key)
-    searched = F.regexp_extract(lines, rf"(?s)\A.*\n{key}=([+-]?[0-9]{{1,18}})\n", 1)
-    return F.when((last == "") | last.rlike(INTEGER_TEXT), last).otherwise(searched)
+    values = F.regexp_extract_all(lines, F.lit(rf"(?<=\n){key}=([+-]?[0-9]+)(?=\n)"), F.lit(1))
+    fitting = F.filter(values, lambda v: v.try_cast("bigint").isNotNull())
+    searched = F.coalesce(F.try_element_at(fitting, F.lit(-1)), F.lit(""))
+    return F.when((last == "") | parse_integer(last).isNotNull(), last).otherwise(searched)
 
 
 def integer_or_zero(text: Column) -> Column:

@@ -67,13 +67,23 @@ def resolve_codec(requests: DataFrame, capability: DataFrame, *, platform: str =
     return joined.select(*requests.columns, resolved.alias("resolved_codec"))
 
 
-def distinct_shapes(files: DataFrame) -> DataFrame:
-    """Work list for decode probing: one sample path and the file count per shape."""
-    return (
-        files.filter(F.col("probe_ok") & (F.col("pix_fmt") != ""))
-        .groupBy("backend", F.col("video_codec").alias("codec"), "profile", "pix_fmt")
+def distinct_shapes(files: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """Work list for decode probing: one sample path and the file count per shape.
+
+    Only shapes whose answer would be used: the backend decodes, hardware decoding is not switched off, the
+    pipeline carries the format (10 bits only where the encoder takes them), and no verdict is known yet.
+    """
+    depth = F.col("surface_depth")
+    asked = (
+        F.col("probe_ok") & (F.col("pix_fmt") != "") & F.col("backend").isin(codecs.DECODE_BACKENDS)
+        & (F.lower(F.coalesce("hwdecode", F.lit(""))) != "off")
+        & ((depth == 8) | ((depth == 10) & F.coalesce("main10", F.lit(False))))
+    )
+    shapes = (
+        files.filter(asked).groupBy("backend", F.col("video_codec").alias("codec"), "profile", "pix_fmt")
         .agg(F.min("path").alias("sample_path"), F.count(F.lit(1)).alias("files"))
     )
+    return shapes if verdicts is None else shapes.join(verdicts.filter("verdict IS NOT NULL"), SHAPE, "left_anti")
 
 
 def shape_verdict(evidence: DataFrame) -> DataFrame:

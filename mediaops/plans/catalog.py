@@ -40,6 +40,7 @@ CONDITIONS = {
     "ext_eq": ("ext", "eq", "MP4"), "ext_ne": ("ext", "ne", "MP4"),
     "height_gt": ("height", "gt", "720"), "height_lt": ("height", "lt", "720"),
     "height_ge": ("height", "ge", "720"), "height_le": ("height", "le", "720"),
+    "height_long": ("height", "lt", "0000000000000000001080"), "bitrate_long": ("bitrate", "lt", "1000000000000000000"),
     "width_gt": ("width", "gt", "1280"), "width_lt": ("width", "lt", "1280"),
     "bitrate_gt": ("bitrate", "gt", "10000"), "bitrate_lt": ("bitrate", "lt", "10000"),
     "duration_gt": ("duration", "gt", "3600"), "duration_lt": ("duration", "lt", "3600"),
@@ -272,7 +273,7 @@ def codec_pick(v: Views) -> DataFrame:
 
 @query
 def shape_worklist(v: Views) -> DataFrame:
-    return capability.distinct_shapes(v.routed())
+    return capability.distinct_shapes(v.routed(), capability.shape_verdict(v.evidence()))
 
 
 @query

@@ -260,7 +260,7 @@ def oracle_sql() -> dict[str, str]:
     add("probe_attrs", ["library"], """SELECT file_id, path, probe_ok, video_codec, audio_codec,
         CASE WHEN probe_ok THEN profile END AS profile, pix_fmt,
         CASE WHEN pix_fmt = '' THEN 0 WHEN pix_fmt LIKE '%10le' THEN 10 WHEN pix_fmt IS NOT NULL THEN 8 END AS bit_depth,
-        height, width, CASE WHEN probe_ok THEN CASE WHEN file_id % 23 = 0 THEN 0 ELSE bitrate END END AS bitrate,
+        height, width, CASE WHEN probe_ok THEN CASE WHEN file_id % 23 = 0 THEN 0 WHEN file_id % 37 = 0 THEN 1000000000000000 ELSE bitrate END END AS bitrate,
         CASE WHEN probe_ok THEN CASE WHEN file_id % 19 = 0 THEN 0.0::DOUBLE ELSE duration + 0.5 END END AS duration,
         CASE WHEN pix_fmt IN ('yuv420p', 'nv12') THEN 8 WHEN pix_fmt = 'yuv420p10le' THEN 10 WHEN pix_fmt IS NOT NULL THEN 0 END AS surface_depth,
         dolby_vision FROM library""")
@@ -271,6 +271,7 @@ def oracle_sql() -> dict[str, str]:
         CASE pix_fmt WHEN '' THEN 0 WHEN 'yuv420p10le' THEN 10 WHEN 'yuv422p10le' THEN 10 ELSE CASE WHEN pix_fmt IS NOT NULL THEN 8 END END AS bit_depth,
         CASE pix_fmt WHEN 'yuv420p' THEN 8 WHEN 'nv12' THEN 8 WHEN 'yuv420p10le' THEN 10 ELSE CASE WHEN pix_fmt IS NOT NULL THEN 0 END END AS surface_depth FROM library""")
     tests = {
+        "height_long": "height < 1080", "bitrate_long": "bitrate < 1000000000000000000",
         "codec_eq": "video_codec = 'hevc'", "codec_ne": "video_codec <> 'hevc'", "audio_eq": "audio_codec = 'aac'", "audio_ne": "audio_codec <> 'aac'",
         "ext_eq": "ext = 'mp4'", "ext_ne": "ext <> 'mp4'", "height_gt": "height > 720", "height_lt": "height < 720", "height_ge": "height >= 720",
         "height_le": "height <= 720", "width_gt": "width > 1280", "width_lt": "width < 1280", "bitrate_gt": "bitrate > 10000",
@@ -348,7 +349,12 @@ def oracle_sql() -> dict[str, str]:
           WHERE u.host = r.host AND u.place >= CASE probe_name WHEN 'av1' THEN 0 WHEN 'hevc' THEN 1 ELSE 2 END), codec) ELSE codec END AS resolved_codec
         FROM (SELECT * FROM requests LEFT JOIN codec_alias ON alias = lower(codec)) r""",
         "usable AS (SELECT DISTINCT host, codec, CASE codec WHEN 'av1' THEN 0 WHEN 'hevc' THEN 1 ELSE 2 END AS place FROM capability WHERE works AND backend <> 'videotoolbox')")
-    add("shape_worklist", ["routed"], "SELECT backend, video_codec AS codec, profile, pix_fmt, min(path) AS sample_path, count(*) AS files FROM routed WHERE probe_ok AND pix_fmt <> '' GROUP BY ALL")
+    add("shape_worklist", ["routed", "verdicts"], """SELECT backend, video_codec AS codec, profile, pix_fmt, min(path) AS sample_path, count(*) AS files FROM routed r
+        WHERE probe_ok AND backend IN ('nvenc', 'qsv', 'vaapi') AND upper(hwdecode) <> 'OFF'
+          AND (pix_fmt IN ('yuv420p', 'nv12') OR (pix_fmt = 'yuv420p10le' AND main10))
+          AND NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.backend = r.backend AND v.codec = r.video_codec AND v.profile = r.profile
+            AND v.pix_fmt = r.pix_fmt AND v.verdict IS NOT NULL)
+        GROUP BY ALL""")
     add("shape_verdict", ["verdicts"], "SELECT * FROM verdicts")
     add("encoder_verdict", ["evidence"], "SELECT DISTINCT backend, codec, true AS works FROM evidence WHERE outcome = 'positive'")
     add("decode_route", ["routed", "verdicts"], "SELECT file_id, route_encoder, route_backend, decode_backend, source_bit_depth, route_preset FROM routes", _ROUTE)

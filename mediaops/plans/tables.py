@@ -54,13 +54,14 @@ PROBE_TEXT = [
     ("text", """CASE WHEN probe_ok THEN
         CASE WHEN video_codec <> '' THEN
             'codec_name=' || video_codec || chr(10) || 'profile=' || profile || chr(10) || 'codec_type=video' || chr(10)
-            || 'width=' || CAST(width AS STRING) || chr(10) || 'height=' || CAST(height AS STRING) || chr(10)
+            || 'width=' || CAST(width AS STRING) || chr(10) || 'height=' || CASE WHEN file_id % 31 = 0 THEN '0000000000000000' ELSE '' END || CAST(height AS STRING) || chr(10)
             || 'pix_fmt=' || pix_fmt || chr(10)
             || CASE WHEN dolby_vision THEN 'side_data_type=DOVI configuration record' || chr(10) ELSE '' END
         ELSE '' END
         || 'codec_name=' || audio_codec || chr(10) || 'profile=LC' || chr(10) || 'codec_type=audio' || chr(10)
         || 'duration=' || CASE WHEN file_id % 19 = 0 THEN 'N/A' ELSE CAST(CAST(duration AS BIGINT) AS STRING) || '.5' END || chr(10)
-        || 'bit_rate=' || CASE WHEN file_id % 23 = 0 THEN 'N/A' ELSE CAST(bitrate * 1000 + 999 AS STRING) END || chr(10)
+        || 'bit_rate=' || CASE WHEN file_id % 23 = 0 THEN 'N/A' WHEN file_id % 37 = 0 THEN '1000000000000000999'
+            ELSE CAST(bitrate * 1000 + 999 AS STRING) END || chr(10)
     END"""),
 ]
 

@@ -99,7 +99,7 @@ def _describe(entry):
     directory = stat.S_ISDIR(info.st_mode)
     if linked and directory:
         return None
-    return (entry.path, directory, linked, info.st_size, int(info.st_mtime // 1), info.st_mode, info.st_nlink)
+    return (entry.path, directory, linked, info.st_size, info.st_mtime_ns // 1_000_000_000, info.st_mode, info.st_nlink)
 
 
 def _frame(rows):

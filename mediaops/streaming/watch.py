@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.planning import PlanSettings, plan
-from ..operators.runs import register_jobs, start_run
+from ..operators.runs import COUNTERS, finish_run, register_jobs, start_run
 from ..schemas import TEXT, with_field
 from ..sources import ledger
 
@@ -87,33 +87,51 @@ def latest_sightings(snapshots: DataFrame) -> DataFrame:
 
 def plan_pass(batch: DataFrame, batch_id: int, settings: PlanSettings, location: str, *,
               history: Callable[[], DataFrame | None], listing: Callable[[], DataFrame | None],
-              act: Callable[[DataFrame, int], None] | None = None, name: str = "watch") -> None:
-    """One pass: plan the files seen, store the plan, register a run over what is to do.
+              act: Callable[[DataFrame, int], DataFrame | None] | None = None, name: str = "watch") -> None:
+    """One pass: plan the files seen, store the plan, register a run over what is to do, and close it.
 
-    Everything is written under the batch's own folder, so a repeated batch
-    replaces its earlier writes. ``act`` receives the files to do once they are stored.
+    A plan that was stored completely is not made again: when a batch is repeated, the history may hold what its first try
+    did. ``act`` receives the files to do once they are stored, and may return how they ended (path, status done, failed or
+    skipped); files it says nothing of count as done. The closing event has their numbers, skipped ones with those the plan skipped.
+    Everything else is written under the batch's own folder, so a repetition replaces it.
     """
     spark = batch.sparkSession
     target = f"{location}/plans/batch_id={batch_id}"
-    planned = plan(latest_sightings(batch), settings, history=history(), listing=listing())
-    planned.write.mode("overwrite").parquet(target)
-    stored = spark.read.schema(planned.schema).parquet(target)
+    seen = latest_sightings(batch)
+    schema = plan(seen, settings).schema
+    if not _complete(spark, target):
+        plan(seen, settings, history=history(), listing=listing()).write.mode("overwrite").parquet(target)
+    stored = spark.read.schema(schema).parquet(target)
     todo = stored.filter(F.col("decision") == "todo")
-    if todo.isEmpty():
-        return
     # The pass is dated by its snapshot, so that a repetition writes the same rows.
-    seen_at = todo.agg(F.max("seen_at")).first()[0]
+    facts = stored.agg(F.max(F.when(F.col("decision") == "todo", F.col("seen_at"))).alias("at"),
+                       F.count_if(F.col("decision") == "todo").alias("todo"), F.count_if(F.col("decision") == "skipped").alias("skipped")).first()
+    if not facts.todo:
+        return
     run_id = f"{name}-{batch_id}"
-    ledger.append_run_events(start_run(todo, run_id, name, seen_at, "watch"), f"{location}/run_events", batch_id)
-    ledger.append_job_events(register_jobs(todo, run_id, seen_at), f"{location}/job_events", batch_id)
-    if act is not None:
-        act(todo, batch_id)
+    opened = start_run(todo, run_id, name, facts.at, "watch")
+    ledger.append_run_events(opened, f"{location}/run_events", batch_id)
+    ledger.append_job_events(register_jobs(todo, run_id, facts.at), f"{location}/job_events", batch_id)
+    ended = act(todo, batch_id) if act is not None else None
+    failed = left = 0
+    if ended is not None:
+        failed, left = ended.agg(F.count_if(F.col("status") == "failed"), F.count_if(F.col("status") == "skipped")).first()
+    numbers = {"ok": facts.todo - failed - left, "failed": failed, "skipped": facts.skipped + left}
+    counts = spark.range(1).select(F.lit(run_id).alias("run_id"), *[F.lit(numbers[c]).cast("bigint").alias(c) for c in COUNTERS])
+    closed = finish_run(counts, facts.at)
+    ledger.append_run_events(opened.unionByName(closed, allowMissingColumns=True), f"{location}/run_events", batch_id)
+
+
+def _complete(spark: SparkSession, folder: str) -> bool:
+    """A write to this folder was committed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def watch_plan(snapshots: DataFrame, settings: PlanSettings, location: str, checkpoint: str, *,
                history: Callable[[], DataFrame | None] = lambda: None,
                listing: Callable[[], DataFrame | None] = lambda: None,
-               act: Callable[[DataFrame, int], None] | None = None, name: str = "watch",
+               act: Callable[[DataFrame, int], DataFrame | None] | None = None, name: str = "watch",
                interval: str = "5 minutes", once: bool = False) -> StreamingQuery:
     """Plan every snapshot as it arrives; with ``once`` only what is there now.
 

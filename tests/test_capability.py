@@ -61,10 +61,17 @@ def test_encoder_evidence_keeps_successes_only(spark, rows):
 
 def test_shapes_are_probed_once(spark, rows):
     files = spark.createDataFrame([
-        ("/b", "vaapi", True, "hevc", "Main", "nv12"), ("/a", "vaapi", True, "hevc", "Main", "nv12"), ("/c", "nvenc", True, "hevc", "Main", "nv12"),
-        ("/d", "vaapi", True, "", "", ""), ("/e", "vaapi", False, None, None, None),
-    ], "path string, backend string, probe_ok boolean, video_codec string, profile string, pix_fmt string")
-    assert sorted(rows(cap.distinct_shapes(files))) == [("nvenc", "hevc", "Main", "nv12", "/c", 1), ("vaapi", "hevc", "Main", "nv12", "/a", 2)]
+        ("/b", "vaapi", True, "hevc", "Main", "nv12", 8, "auto", False), ("/a", "vaapi", True, "hevc", "Main", "nv12", 8, "auto", False),
+        ("/c", "nvenc", True, "hevc", "Main", "nv12", 8, "", False), ("/d", "vaapi", True, "", "", "", 0, "auto", True),
+        ("/e", "vaapi", False, None, None, None, None, "auto", True), ("/f", "", True, "hevc", "Main", "nv12", 8, "auto", True),
+        ("/g", "amf", True, "hevc", "Main", "nv12", 8, "auto", True), ("/h", "qsv", True, "hevc", "Main", "nv12", 8, "Off", True),
+        ("/i", "qsv", True, "hevc", "Rext", "yuv444p", 0, "auto", True), ("/j", "qsv", True, "hevc", "Main 10", "p010", 10, "auto", False),
+        ("/k", "qsv", True, "hevc", "Main 10", "p010", 10, "auto", True), ("/l", "qsv", True, "av1", "Main", "nv12", 8, "auto", True),
+    ], "path string, backend string, probe_ok boolean, video_codec string, profile string, pix_fmt string, surface_depth int, hwdecode string, main10 boolean")
+    verdicts = spark.createDataFrame([("qsv", "av1", "Main", "nv12", False), ("nvenc", "hevc", "Main", "nv12", None)],
+                                     "backend string, codec string, profile string, pix_fmt string, verdict boolean")
+    expected = [("nvenc", "hevc", "Main", "nv12", "/c", 1), ("qsv", "hevc", "Main 10", "p010", "/k", 1), ("vaapi", "hevc", "Main", "nv12", "/a", 2)]
+    assert sorted(rows(cap.distinct_shapes(files, verdicts))) == expected
 
 
 ROUTE = ("path string, codec string, encoder string, backend string, preset string, hwdecode string, main10 boolean, probe_ok boolean,"

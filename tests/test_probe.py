@@ -17,7 +17,7 @@ def read_lines(text):
     """What the text says, one line after the other."""
     a = dict.fromkeys(COLUMNS[:4], "") | {"bit_depth": 0, "height": 0, "width": 0, "bitrate": 0, "duration": 0.0}
     kind, name, profile = "", "", ""
-    integer = lambda v: int(v) if re.fullmatch(r"[+-]?\d{1,18}", v) else None
+    integer = lambda v: int(v) if re.fullmatch(r"[+-]?\d+", v) and abs(int(v)) < 2**63 else None
     for line in text.split("\n"):
         key, eq, value = line.partition("=")
         if not eq:

@@ -101,3 +101,10 @@ def test_work_folders_lie_under_the_shared_one(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     one, two = workspace.work_dir(spark, "x"), workspace.work_dir(spark, "x")
     assert one != two and one.startswith(f"{shared}/x-")
+
+
+def test_mtime_is_cut_not_rounded(spark, tmp_path):
+    file = tmp_path / "late.mkv"
+    file.write_bytes(b"x")
+    os.utime(file, ns=(0, 1_700_000_000_999_999_999))
+    assert inventory.scan_inventory(spark, str(tmp_path), ["mkv"]).first().mtime == 1_700_000_000

@@ -55,19 +55,37 @@ def test_watching_twice_does_nothing_the_second_time(spark, tmp_path):
     events = ledger.read_job_events(spark, f"{out}/job_events")
     assert sorted((r.run_id, r.source_path, r.ts) for r in events.collect()) == [("watch-0", "/a", 1), ("watch-0", "/b", 1), ("watch-2", "/b", 3)]
     opened = {r.run_id: (r.total, r.status) for r in runs.fold_run_events(ledger.read_run_events(spark, f"{out}/run_events")).collect()}
-    assert opened == {"watch-0": (2, "running"), "watch-2": (1, "running")}
+    assert opened == {"watch-0": (2, "done"), "watch-2": (1, "done")}
+    closed = ledger.read_run_events(spark, f"{out}/run_events").filter("event = 'done'")
+    assert sorted((r.run_id, r.ok, r.failed, r.skipped) for r in closed.collect()) == [("watch-0", 2, 0, 0), ("watch-2", 1, 0, 1)]
     assert runs.latest_job_state(events).count() == 3
 
 
 def test_a_repeated_pass_writes_the_same(spark, tmp_path):
-    out = str(tmp_path / "out")
+    out, done = str(tmp_path / "out"), str(tmp_path / "done")
     snapshot(spark, str(tmp_path / "in"), 1, {"/a": 1})
     snapshot(spark, str(tmp_path / "in"), 2, {"/a": 1, "/b": 1})
     batch = spark.read.schema(SNAPSHOT).parquet(str(tmp_path / "in"))
+    history = spark.createDataFrame([], "source_path string, source_mtime bigint, status string")
+    history.write.parquet(done)
+
+    def act(todo, batch_id):
+        """Records its work where the next pass looks, and one of two files fails."""
+        ended = todo.selectExpr("path", "mtime", "if(path = '/b', 'failed', 'done') AS status")
+        ended.selectExpr("path AS source_path", "mtime AS source_mtime", "status").write.mode("append").parquet(done)
+        return ended
+
+    seen = []
     for _ in range(2):
-        watch.plan_pass(batch, 4, PlanSettings(), out, history=lambda: None, listing=lambda: None)
-    assert sorted((r.source_path, r.run_id) for r in ledger.read_job_events(spark, f"{out}/job_events").collect()) == [("/a", "watch-4"), ("/b", "watch-4")]
-    assert ledger.read_run_events(spark, f"{out}/run_events").first().total == 2
+        watch.plan_pass(batch, 4, PlanSettings(inplace=True), out, history=lambda: spark.read.schema(history.schema).parquet(done),
+                        listing=lambda: None, act=act)
+        plans = sorted((r.path, r.decision) for r in spark.read.parquet(f"{out}/plans").collect())
+        events = sorted(tuple(r) for r in ledger.read_run_events(spark, f"{out}/run_events").select("run_id", "event", "total", "ok", "failed", "skipped").collect())
+        jobs_ = sorted((r.source_path, r.run_id) for r in ledger.read_job_events(spark, f"{out}/job_events").collect())
+        seen.append((plans, events, jobs_))
+    assert seen[0] == seen[1]
+    assert seen[0][0] == [("/a", "todo"), ("/b", "todo")]
+    assert ("watch-4", "failed", 1, 1) in [(e[0], e[1], e[3], e[4]) for e in seen[0][1]]
 
 
 def test_a_failed_pass_is_taken_up_again(spark, tmp_path):
