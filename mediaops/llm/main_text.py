@@ -182,13 +182,17 @@ def main_text(html: str | None, rules: Rules = Rules()) -> str:
 
 
 def _inherited(blocks: list[Block], labels: list[bool | None], i: int) -> bool:
-    """Second pass: the label of the nearest decided neighbours; within an article only those of the article count."""
+    """Second pass: the label of the nearest decided neighbours.
+
+    Within an article only those of the article count, and blocks of menus and the like never do: their elements
+    say where they end.
+    """
     region = blocks[i].region
 
     def nearest(step: int) -> tuple[int, bool | None]:
         k = i + step
         while 0 <= k < len(blocks) and not (region and blocks[k].region != region):
-            if labels[k] is not None and not (region and blocks[k].outside):
+            if labels[k] is not None and not blocks[k].outside:
                 return abs(k - i), labels[k]
             k += step
         return len(blocks), None

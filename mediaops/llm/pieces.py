@@ -81,8 +81,9 @@ def pieces(path: str) -> Pieces:
 def encode_pieces(documents: DataFrame, model: str, *, text_column: str = "text") -> DataFrame:
     """``documents`` with ``ids``, the piece ids of each whole text, and ``decoded``, the text they decode to.
 
-    A null text is empty and has no ids; every row is kept.
+    A null text is empty and has no ids; every row is kept, columns of these names are replaced.
     """
+    documents = documents.drop("ids", "decoded")
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in documents.schema)}, ids array<int>, decoded string"
 
     def run(batches):

@@ -90,8 +90,8 @@ def quality_verdicts(documents: DataFrame, *, id_column: str = "doc_id", text_co
     """
     removals = line_removals(documents, id_column=id_column, text_column=text_column, host_column=host_column,
                              share=share, least=least)
-    measured = text_statistics(_row_key(documents, id_column, text_column, host_column), text_column)
-    measured = measured.select(F.col(id_column), *KEY, *STATISTICS)
+    keyed = _row_key(documents, id_column, text_column, host_column).select(F.col(id_column), *KEY, _text(text_column).alias("_body"))
+    measured = text_statistics(keyed, "_body").select(id_column, *KEY, *STATISTICS)
     return _judged(measured.join(removals.select(*KEY, "n_removed_words"), KEY, "left"), depleted).drop(*KEY)
 
 
@@ -100,11 +100,13 @@ def quality_filter(documents: DataFrame, *, id_column: str = "doc_id", text_colu
     """The rows of ``documents`` that are kept, without the lines their host repeats too often."""
     removals = line_removals(documents, id_column=id_column, text_column=text_column, host_column=host_column,
                              share=share, least=least)
-    keyed = _row_key(documents, id_column, text_column, host_column).join(removals, KEY, "left")
-    kept = _judged(text_statistics(keyed, text_column), depleted).where("kept")
-    rest = F.filter(F.split(text_column, "\n"), lambda x: ~F.array_contains("lines", F.xxhash64(normal_line(x))))
-    text = F.when(F.col("lines").isNull(), F.col(text_column)).otherwise(F.array_join(rest, "\n"))
-    return kept.withColumn(text_column, text).select(*documents.columns)
+    # The rows travel as one column, so that no column of theirs meets one of the statistics.
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    keyed = _row_key(documents, id_column, text_column, host_column).select(*KEY, row, _text(text_column).alias("text"))
+    kept = _judged(text_statistics(keyed.join(removals, KEY, "left"), "text"), depleted).where("kept")
+    rest = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("lines", F.xxhash64(normal_line(x))))
+    text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    return kept.select(*[text.alias(c) if c == text_column else F.col("row")[c].alias(c) for c in documents.columns])
 
 
 def _judged(measured: DataFrame, depleted: float) -> DataFrame:

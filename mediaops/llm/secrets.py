@@ -18,8 +18,9 @@ from .hashing import slices
 _ASSIGN = re.compile(r"(?a)(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-#: What the models judge; a candidate also needs a digit and a letter.
+#: What the models judge; a candidate also needs a digit and four letters.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SMOOTHING = 0.2
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -48,22 +49,25 @@ def random_strings(count: int, seed: int = 7) -> Iterator[str]:
 
 
 def ordinary_strings(texts: DataFrame, text_column: str = "text", rows: int = 20_000) -> DataFrame:
-    """(token): identifiers and words of at most ``rows`` rows, as examples that are no secrets."""
+    """(token): words of at most ``rows`` rows and identifiers made of them, as examples that are no secrets."""
     words = F.regexp_extract_all(F.col(text_column).cast("string"), F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))
-    return texts.limit(rows).select(F.explode(words).alias("token"))
+    word = F.col("word")
+    number = F.pmod(F.xxhash64(word), F.lit(2100)).cast("string")
+    made = F.array(word, F.upper(word), F.concat(word, F.initcap(word)), F.concat(word, F.lit("_"), number), F.concat(F.upper(word), F.lit("-"), number))
+    return texts.limit(rows).select(F.explode(words).alias("word")).select(F.explode(made).alias("token"))
 
 
-def train(samples: DataFrame, threshold: float = 0.9) -> Models:
+def train(samples: DataFrame, threshold: float = 0.8) -> Models:
     """Fit the two models to labelled ``samples`` (token string, random boolean).
 
     Transitions are counted by Spark; what the driver sees is at most one count per label and
-    pair of characters. Counts start at one, so without samples all ratios are 0.
+    pair of characters. Counts start at a small number, so without samples all ratios are 0.
     """
     size = len(ALPHABET)
     token = F.concat(F.lit("^"), F.col("token"))
     pairs = samples.where("token is not null and random is not null").select(
         "random", F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substr(token, i, F.lit(2)))).alias("pair"))
-    counts = np.ones((2, size + 1, size))
+    counts = np.full((2, size + 1, size), SMOOTHING)
     for label, pair, n in pairs.groupBy("random", "pair").count().collect():
         if len(pair) == 2 and pair[1] in _AT and (pair[0] in _AT or pair[0] == "^"):
             counts[int(label), _AT.get(pair[0], size), _AT[pair[1]]] += n
@@ -91,7 +95,7 @@ def spans_of(text: str, models: Models | None) -> list[tuple[int, str, int]]:
                 k += 1
             token = m[0]
             free = k == len(taken) or taken[k][0] >= m.end()
-            if free and any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and models.score(token) > models.threshold:
+            if free and sum(c.isalpha() for c in token) >= 4 and any(c.isdigit() for c in token) and models.score(token) > models.threshold:
                 found.append((m.start(), 3, m.end()))
     return [(a, KINDS[kind], b) for a, kind, b in sorted(found)]
 
@@ -101,8 +105,9 @@ def find_secrets(documents: DataFrame, models: Models | None, *, text_column: st
 
     Kinds ``assign``, ``access`` and ``hex`` are fixed patterns; ``markov`` are further tokens of at least
     16 characters, outside those, that the random-string model explains better by more than the
-    threshold per character. A null text has no secrets; every row is kept, whatever its other columns.
+    threshold per character. A null text has no secrets; every row is kept, a column named ``secrets`` is replaced.
     """
+    documents = documents.drop("secrets")
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in documents.schema)}, secrets {SPAN_TYPES}"
 
     def run(batches):

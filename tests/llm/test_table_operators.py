@@ -1,0 +1,210 @@
+"""Jaccard join, repeats, token files, search and mixing against plain versions."""
+
+import re
+import zlib
+from collections import Counter, defaultdict
+from hashlib import sha256
+
+import numpy as np
+import pytest
+from mediaops.llm import components, jaccard_join, repeats, source_mix, token_files, vector_search
+from mediaops.llm.hashing import SLICE_BYTES, Spans
+from mediaops.llm.queries import tokenizer_path
+from pyspark.sql import functions as F
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return frozenset(tuple(words[k:k + 5]) for k in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
+
+
+def plain_components(rows):
+    """{id: (set size, smallest id linked)} by comparing all pairs."""
+    sets = [(i, shingle_set(t)) for i, t, *_ in rows if i is not None]
+    root = {i: i for i, _ in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, x in sets:
+        for b, y in sets:
+            if a < b and x and y and 100 * len(x & y) >= 80 * len(x | y):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return {i: (len(x), find(i)) for i, x in sets}
+
+
+def near_copies():
+    """A group of copies edited in different places, some of them linked only through others, and unlike texts sharing a passage."""
+    draw = np.random.Generator(np.random.PCG64(5))
+    base = [f"v{k}" for k in range(100)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for k in draw.choice(100, int(draw.integers(0, 4)), replace=False):
+            words[k] = f"edit{i}"
+        rows.append((1000 + i, " ".join(words), "near"))
+    rows += [(1100 + i, " ".join(base[:30] + [f"t{i}x{k}" for k in range(40)]), "near") for i in range(30)]
+    # A chain: each text drops some more of the one before.
+    rows += [(1200 + i, " ".join(f"c{k}" for k in range(2 * i, 2 * i + 60)), "near") for i in range(12)]
+    return rows
+
+
+def test_jaccard_classes(spark, odd_documents, odd_rows):
+    rows = odd_rows + near_copies()
+    docs = odd_documents.select("doc_id", "text", "source").unionByName(spark.createDataFrame(near_copies(), "doc_id long, text string, source string"))
+    out = jaccard_join.jaccard_classes(docs.withColumns({"node": F.lit("x"), "token": F.lit("y")})).collect()
+    expected = plain_components(rows)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out if r.doc_id is not None)) == sorted((i, *expected[i]) for i, *_ in rows if i is not None)
+    assert Counter(r.component_id for r in out if r.doc_id is None) == {None: 2}
+    assert expected[1011][1] == 1000 and expected[1211][1] == 1200 and expected[7][1] == 4
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(7, 7), (None, 3)], "a long, b long")
+    found = {r.node: r.component for r in components.components(links).collect()}
+    assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 120)}
+    assert components.components(links.limit(0)).count() == 0
+
+
+def plain_repeats(texts, length):
+    raws = [(t or "").encode() for t in texts]
+    seen = Counter(r[k:k + length] for r in raws for k in range(len(r) - length + 1))
+    out = []
+    for r in raws:
+        covered = np.zeros(len(r) + 1, bool)
+        for k in range(len(r) - length + 1):
+            if seen[r[k:k + length]] > 1:
+                covered[k:k + length] = True
+        covered = covered[:len(r)]
+        out.append((len(r), int(covered.sum()), int((covered & ~np.append(False, covered[:-1])[:len(r)]).sum()),
+                    sha256(bytes(np.frombuffer(r, np.uint8)[~covered])).hexdigest() if len(r) else sha256(b"").hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("large", [256, 3])
+def test_repeats(spark, odd_documents, odd_rows, monkeypatch, large):
+    """Also with large groups cut into parts and windows."""
+    monkeypatch.setattr(repeats, "LARGE", large)
+    passage = "".join(f"passage {k} é; " for k in range(40))
+    many = [(300 + i, f"{'ab' * i} start {i} {passage[i % 3:]} end {i * 7}", "p") for i in range(14)]
+    many += [(330, passage[:399], "p"), (331, passage[:400] + passage[:400], "p"), (332, "z" * 399, "p"), (333, "y" * 401, "p"), (334, "y" * 400, "p")]
+    rows = [r for r in odd_rows if len(r[1] or "") < 20_000] + many
+    docs = odd_documents.select("doc_id", "text", "source").where("length(coalesce(text, '')) < 20000").unionByName(
+        spark.createDataFrame(many, "doc_id long, text string, source string"))
+    out = repeats.remove_repeats(docs.withColumn("mark", F.lit(1)), length=400).collect()
+    expected = plain_repeats([t for _, t, _ in rows], 400)
+    assert sorted((tuple(r) for r in out), key=str) == sorted(((i, *x) for (i, _, _), x in zip(rows, expected, strict=True)), key=str)
+
+
+def test_anchors_do_not_depend_on_slices():
+    data = np.frombuffer(bytes(np.random.Generator(np.random.PCG64(1)).integers(97, 100, 5000, dtype=np.uint8)), np.uint8)
+    whole = repeats.runs(data, np.array([0, 5000]), 400)
+    shifted = repeats.runs(np.concatenate([data[:777], data]), np.array([0, 777, 5777]), 400)
+    later = shifted[0] == 1
+    assert [x[later].tolist() for x in shifted[4:]] == [x.tolist() for x in whole[4:]]
+    spans = Spans(np.zeros(SLICE_BYTES + 10, np.uint8))
+    assert len({int(spans.hash(np.array([a]), np.array([a + 5]))[0]) for a in (0, 9, SLICE_BYTES)}) == 1
+
+
+def test_token_files(spark, odd_documents, odd_rows, tmp_path):
+    from tokenizers import Tokenizer
+    path = tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    hard = ["", " ", "  a", "a  b", "a \n b", "\n\n", "it's we'll", "a  b c", "x <|endoftext|> y", "tab\t t", "é ü\x85 z", "end "]
+    encoder = token_files.Encoder(path)
+    for text in hard + [t for _, t, _ in odd_rows if t]:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text[:40])
+    out = str(tmp_path / "tokens")
+    token_files.write_token_files(odd_documents, out, path, shard_ids=500)
+    assert spark.read.parquet(out).count() > 5
+    rows = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    start, expected = 0, []
+    for i, text, _ in rows:
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
+        expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((tuple(r) for r in token_files.read_documents(spark, out).collect()), key=lambda r: r[1]) == expected
+    some = {r.id: r.tokens for r in token_files.read_tokens(spark, out, [4, 10, 13, 999]).collect()}
+    texts = {i: t for i, t, _ in rows}
+    assert some == {i: [*library.encode(texts[i], add_special_tokens=False).ids, 0] for i in (4, 10, 13)}
+
+
+def test_perfect_hash():
+    keys = np.unique(np.random.Generator(np.random.PCG64(3)).integers(0, 2**63, 5000, dtype=np.uint64))
+    assert sorted(token_files.PerfectHash.build(keys)(keys).tolist()) == list(range(len(keys)))
+    assert token_files.PerfectHash.build(keys[:0])(keys[:3]).tolist() == [-1] * 3
+
+
+def test_search(spark):
+    draw = np.random.Generator(np.random.PCG64(4))
+    vectors = {i: draw.integers(-3, 4, 4).astype(float).tolist() for i in range(1, 400)}
+    vectors |= {i: [1.0, 1.0, 1.0, 1.0] for i in range(400, 460)} | {500: [2.0**70, 1.0, 1.0, 1.0], 501: [1.0, 2.0]}
+    df = spark.createDataFrame([(i, v) for i, v in vectors.items()] + [(None, [1.0, 1.0, 1.0, 1.0])], "id long, vector array<double>").repartition(5)
+    asked = [50, 400, 450, 501]
+    out = defaultdict(list)
+    for r in vector_search.top_k(df, df.where(F.col("id").isin(asked)), k=5).orderBy("query_id", "rank").collect():
+        out[r.query_id].append((r.rank, r.vec_id, r.score))
+    for q in asked:
+        scored = sorted((-max(-(2**63), min(2**63 - 1, int(sum(int(a) * int(b) for a, b in zip(vectors[q], v, strict=True))))), i)
+                        for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))[:5]
+        assert out.get(q, []) == [(k + 1, i, -s) for k, (s, i) in enumerate(scored)], q
+    odd = spark.createDataFrame([(1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [0.26, -0.26])], "id long, v array<float>")
+    assert [(r.id, r.q) for r in odd.where(vector_search.usable(F.col("v"))).select("id", vector_search.quantized(F.col("v")).alias("q")).collect()] == [(5, [66.0, -67.0])]
+    assert vector_search.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def plain_targets(sizes, weights=(5, 2, 1), most=3):
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    full, total = set(), sum(sizes.values())
+    while True:
+        rest, open_ = total - sum(most * sizes[s] for s in full), sum(weight[s] for s in names if s not in full)
+        over = {s for s in names if s not in full and weight[s] * rest > most * sizes[s] * open_}
+        if not over:
+            return {s: most * sizes[s] if s in full else weight[s] * rest / open_ for s in names}
+        full |= over
+
+
+def test_mixing(spark, odd_documents, odd_rows):
+    filler = [(500 + i, " ".join(["w"] * (i % 90)), f"s{i % 5}") for i in range(400)]
+    docs = odd_documents.select("doc_id", "text", "source").unionByName(spark.createDataFrame(filler, "doc_id long, text string, source string"))
+    first, second = (sorted((tuple(r) for r in source_mix.mix_sources(docs.withColumn("shard", F.lit(1)), block=4).collect()), key=str) for _ in range(2))
+    assert first == second and len(first) == len(odd_rows) + len(filler)
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    rows = odd_rows + filler
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += count(t)
+    targets = plain_targets(sizes)
+    assert sorted((i, n) for i, n, *_ in first if i is not None) == sorted((i, count(t)) for i, t, _ in rows if i is not None)
+    assert all(0 <= taken <= 3 * n for _, n, _, _, taken in first)
+    source_of = {i: s for i, _, s in rows if i is not None}
+    taken = defaultdict(int)
+    for i, _, source_size, target, got in first:
+        if i is not None:
+            assert source_size == sizes[source_of[i]] and target == pytest.approx(targets[source_of[i]])
+            taken[source_of[i]] += got
+    assert all(abs(taken[s] - targets[s]) <= 0.05 * targets[s] + 40 for s in ("a", "b", "s1", "s2", "s3"))
+
+
+def test_sainte_lague(spark):
+    votes = [53_000, 24_000, 23_000, 1, 0]
+    df = spark.createDataFrame([(k, float(v), n) for n in (1, 7, 100) for k, v in enumerate(votes)], "party int, votes double, seats long")
+    out = {(r.seats, r.party): r.won for r in source_mix.sainte_lague(df, "seats", "votes", ["seats"], "won", [F.col("party")]).collect()}
+    for seats in (1, 7, 100):
+        best = sorted(((-v / (k + 0.5), p) for p, v in enumerate(votes) if v for k in range(seats + 1)))[:seats]
+        assert [out[seats, p] for p in range(len(votes))] == [Counter(p for _, p in best)[p] for p in range(len(votes))]
+
+
+def test_empty_tables(spark, no_documents, tmp_path):
+    assert jaccard_join.jaccard_classes(no_documents).count() == 0
+    assert repeats.remove_repeats(no_documents).count() == 0
+    assert source_mix.mix_sources(no_documents).count() == 0
+    token_files.write_token_files(no_documents, str(tmp_path / "none"), tokenizer_path("byte_bpe_50k.json"))
+    assert token_files.read_documents(spark, str(tmp_path / "none")).count() == 0
