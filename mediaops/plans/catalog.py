@@ -539,21 +539,18 @@ def job_events_append(v: Views) -> DataFrame:
 
 # --- streaming -------------------------------------------------------------
 
-def _stream_settings(spark: SparkSession):
-    """RocksDB state, and no more state partitions than the cluster has slots."""
-    job_streams.use_rocksdb(spark)
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", min(int(before), spark.sparkContext.defaultParallelism))
-    return before
-
-
 def _to_the_end(spark: SparkSession, start) -> None:
-    """Run a stream over everything that is there."""
-    before = _stream_settings(spark)
+    """Run a stream over everything that is there, with its state on disk, and leave the session as it was."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    job_streams.use_rocksdb(spark)
     try:
         start().awaitTermination()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 @query
@@ -597,8 +594,7 @@ def watch_twice(v: Views) -> DataFrame:
         )
         finished.write.mode("overwrite").parquet(f"{done}/batch_id={batch_id}")
 
-    seeded = v.transcodes().select("source_path", "source_mtime", "status").filter("status = 'failed'")
-    seeded.write.parquet(f"{done}/batch_id=-1")
+    v.transcodes().select("source_path", "source_mtime", "status").write.parquet(f"{done}/batch_id=-1")
 
     def attempts() -> DataFrame:
         return spark.read.parquet(done)

@@ -86,11 +86,11 @@ _VIEWS = {
           count(*) FILTER (WHERE j.status = 'skipped') AS skipped
         FROM runs r LEFT JOIN jobs j ON r.run_id = j.run_id GROUP BY ALL""",
     "builtin_profiles": """SELECT * FROM (VALUES
-        ('web', 'H.264 MP4 for broad browser/device compatibility (faststart).', 'h264', 23, 'fast', 'aac', '160k', 'mp4', NULL, '-movflags +faststart'),
-        ('web-hevc', 'H.265 MP4, ~half the size of web; hvc1 tag for Apple/Safari playback.', 'h265', 26, 'medium', 'aac', '160k', 'mp4', NULL, '-tag:v hvc1 -movflags +faststart'),
-        ('archive', 'High-quality H.265 for long-term storage; audio kept untouched.', 'h265', 18, 'slow', 'copy', NULL, NULL, NULL, NULL),
-        ('av1', 'AV1 for maximum compression; slow encode, smallest files.', 'av1', 30, 'slow', 'opus', '128k', NULL, NULL, NULL),
-        ('mobile', '720p H.264 MP4 for phones/tablets; downscales, small files.', 'h264', 26, 'fast', 'aac', '96k', 'mp4', NULL, '-vf scale=-2:720 -movflags +faststart')
+        ('web', 'Plays nearly everywhere: H.264 in MP4 that starts before it is loaded.', 'h264', 23, 'fast', 'aac', '160k', 'mp4', NULL, '-movflags +faststart'),
+        ('web-hevc', 'H.265 in MP4, tagged hvc1 so that Apple players take it.', 'h265', 26, 'medium', 'aac', '160k', 'mp4', NULL, '-tag:v hvc1 -movflags +faststart'),
+        ('archive', 'H.265 at a low CRF to keep for good; sound is copied.', 'h265', 18, 'slow', 'copy', NULL, NULL, NULL, NULL),
+        ('av1', 'AV1: long to encode, least to store.', 'av1', 30, 'slow', 'opus', '128k', NULL, NULL, NULL),
+        ('mobile', 'H.264 in MP4 scaled to 720 lines for small screens.', 'h264', 26, 'fast', 'aac', '96k', 'mp4', NULL, '-vf scale=-2:720 -movflags +faststart')
         ) p(name, description, codec, crf, preset, audio_codec, audio_bitrate, container, subs, extra_args)""",
     "profiles": """SELECT coalesce(u.name, b.name) AS name,
           coalesce(nullif(u.description, ''), b.description) AS description,
@@ -102,10 +102,10 @@ _VIEWS = {
         FROM builtin_profiles b FULL JOIN user_profiles u ON b.name = u.name""",
     "settings": """SELECT j.job_id, j.owner, j.site, coalesce(j.profile, '') AS profile, p.name IS NOT NULL AS profile_known,
           coalesce(j.codec, nullif(p.codec, ''), 'h265') AS codec,
-          coalesce(j.preset, c.preset, nullif(p.preset, ''), 'medium') AS preset,
+          coalesce(j.preset, nullif(e.preset, ''), c.preset, nullif(p.preset, ''), 'medium') AS preset,
           coalesce(nullif(coalesce(j.audio_codec, c.audio_codec, p.audio_codec, 'copy'), ''), 'copy') AS audio_codec,
           coalesce(p.audio_bitrate, '') AS audio_bitrate, coalesce(j.subs, p.subs, 'copy') AS subs,
-          coalesce(e.hwaccel, 'auto') AS hwaccel, coalesce(c.hwdecode, 'auto') AS hwdecode, '.out' AS suffix,
+          coalesce(nullif(e.hwaccel, ''), 'auto') AS hwaccel, coalesce(c.hwdecode, 'auto') AS hwdecode, '.out' AS suffix,
           coalesce(j.output_dir, '') AS output_dir,
           ltrim(coalesce(j.container, c.container, nullif(p.container, ''), ''), '.') AS container,
           coalesce(j.crf, e.crf, p.crf, 23) AS crf, coalesce(j.decode_threads, 0) AS decode_threads,
@@ -446,10 +446,12 @@ def oracle_sql() -> dict[str, str]:
             + CASE WHEN file_id % 60 = 1 AND s.n = 2 THEN 50 ELSE 0 END AS mtime
           FROM library, (VALUES (0), (1), (2)) s(n) WHERE s.n > 0 OR file_id % 10 <> 3)""")
     first = "CASE WHEN video_codec = 'hevc' THEN 'already_target' WHEN dolby_vision THEN 'dolby_vision' END"
-    add("watch_twice", ["library"], f"""SELECT file_id, pass, mtime, {_DECISION}, reason FROM (
-        SELECT file_id, 0::BIGINT AS pass, mtime, {first} AS reason FROM library UNION ALL
-        SELECT file_id, 1, mtime + CASE WHEN file_id % 20 = 1 THEN 7 ELSE 0 END,
-          CASE WHEN {first} IS NULL AND file_id % 20 <> 1 THEN 'history_done' ELSE {first} END FROM library)""")
+    add("watch_twice", ["library", "transcodes"], f"""SELECT file_id, pass, mtime, {_DECISION}, reason FROM (
+        SELECT file_id, pass, mtime, CASE
+            WHEN EXISTS (SELECT 1 FROM transcodes h WHERE h.source_path = s.path AND h.source_mtime = s.mtime AND h.status = 'done') THEN 'history_done'
+            WHEN pass = 1 AND file_id % 20 <> 1 AND {first} IS NULL THEN 'history_done' ELSE {first} END AS reason
+          FROM (SELECT l.* REPLACE (l.mtime + CASE WHEN n = 1 AND file_id % 20 = 1 THEN 7 ELSE 0 END AS mtime), n::BIGINT AS pass
+                FROM library l, (VALUES (0), (1)) p(n)) s)""")
     add("job_state_stream", ["job_state"], "SELECT * FROM job_state")
     add("queue_counters_stream", ["job_state"], """SELECT run_id, count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'failed') AS errors, 0::BIGINT AS cancelled,
         count(*) FILTER (WHERE status = 'running') AS active, 0::BIGINT AS pending, 0::BIGINT AS skipped FROM job_state GROUP BY run_id""")

@@ -217,8 +217,9 @@ JOB_SPECS = [
 ]
 ENV_LAYER = [
     ("owner", "c_custkey"),
-    ("hwaccel", "CASE c_nationkey % 4 WHEN 0 THEN 'nvenc' WHEN 2 THEN 'none' WHEN 3 THEN 'cuda' END"),
+    ("hwaccel", "CASE c_nationkey % 4 WHEN 0 THEN 'nvenc' WHEN 1 THEN '' WHEN 2 THEN 'none' WHEN 3 THEN 'cuda' END"),
     ("crf", "CASE WHEN c_nationkey % 5 = 0 THEN CAST(20 + c_nationkey AS INT) END"),
+    ("preset", "CASE c_nationkey % 5 WHEN 1 THEN '' WHEN 2 THEN 'slow' END"),
 ]
 CONFIG_LAYER = [
     ("site", "CAST(n_nationkey AS BIGINT)"),
