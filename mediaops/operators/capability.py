@@ -94,11 +94,12 @@ def shape_verdict(evidence: DataFrame) -> DataFrame:
     nothing. Backends that only encode never decode.
     """
     decisive = evidence.filter(F.col("outcome").isin("positive", "negative", "evict"))
-    latest = decisive.groupBy(*SHAPE).agg(F.max_by("outcome", "seq").alias("_outcome"))
+    # As a number the outcome fits a hash aggregation, which a text does not.
+    code = F.when(F.col("outcome") == "positive", 1).when(F.col("outcome") == "negative", 0).otherwise(-1)
+    latest = decisive.groupBy(*SHAPE).agg(F.max_by(code, "seq").alias("_outcome"))
     verdict = (
         F.when(~F.col("backend").isin(codecs.DECODE_BACKENDS), F.lit(False))
-        .when(F.col("_outcome") == "positive", F.lit(True))
-        .when(F.col("_outcome") == "negative", F.lit(False))
+        .when(F.col("_outcome") >= 0, F.col("_outcome") == 1)
     )
     return latest.select(*SHAPE, verdict.alias("verdict"))
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Sub-keys a single key is dealt over.
 SPREAD = 8
+#: Sub-keys that rows without key are dealt over.
+NULL_SPREAD = 1 << 20
 
 
 def lookup_join(facts: DataFrame, table: DataFrame, on: list[str], *, spread_by: list[str],
@@ -21,7 +26,9 @@ def lookup_join(facts: DataFrame, table: DataFrame, on: list[str], *, spread_by:
     execution splits what is still too large, which it may for the fact side of an
     inner or left join. Every match is kept.
     """
-    sub_key = F.pmod(F.xxhash64(*spread_by), F.lit(spread)).cast("int")
+    # A row without key finds nothing wherever it is, so such rows need not share a few sub-keys.
+    no_key = reduce(or_, [F.col(k).isNull() for k in on])
+    sub_key = F.pmod(F.xxhash64(*spread_by), F.when(no_key, F.lit(NULL_SPREAD)).otherwise(F.lit(spread))).cast("int")
     dealt = facts.withColumn("_sub_key", sub_key)
     repeated = table.withColumn("_sub_key", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return dealt.join(repeated, [*on, "_sub_key"], how).drop("_sub_key")

@@ -103,7 +103,7 @@ def test_compiled_and_stored_programs_agree(spark, library):
     ("when audio eq flac do check --deep", 1, "check"),
     ("when ext ne mkv and duration lt 90.5 and width gt 640 do transcode --crf 19", 3, "transcode"),
     ("do transcode", 0, "transcode"), ("   do    skip  now ", 0, "skip"),
-    ("when  audio   eq do do do do", 1, "do"),
+    ("when  audio   eq ac3 do do now do", 1, "do"),
 ])
 def test_valid_rule_lines(spark, line, conditions, cmd):
     row = rules.parse_rule_lines(spark.createDataFrame([(line,)], "line string")).first()

@@ -6,7 +6,7 @@ Broadcasts and adaptive execution are off, so that what is seen is the plan's ow
 import pytest
 from pyspark.sql import functions as F
 
-from mediaops.operators import joins, runs
+from mediaops.operators import capability, joins, runs
 
 N = 40_000
 
@@ -74,3 +74,16 @@ def test_job_with_most_of_the_events(spark):
     # reduced before the shuffle: the exchange sits above a partial aggregation
     plan = state._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in plan
+
+
+def test_rows_without_key_are_spread(spark):
+    facts = spark.range(N).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("key"), F.concat(F.lit("/f/"), "id").alias("path"))
+    table = spark.range(N).select(F.col("id").alias("key"), F.lit(1).alias("value"))
+    spread = joins.lookup_join(facts, table, ["key"], spread_by=["path"])
+    assert spread.count() == N and spread.filter("value = 1").count() == N // 10
+    assert largest_share(spread) < 0.12
+
+
+def test_verdicts_are_hashed_not_sorted(spark):
+    evidence = spark.range(10).selectExpr("'qsv' AS backend", "'h264' AS codec", "'Main' AS profile", "'nv12' AS pix_fmt", "'positive' AS outcome", "id AS seq")
+    assert "SortAggregate" not in capability.shape_verdict(evidence)._jdf.queryExecution().executedPlan().toString()
