@@ -23,7 +23,7 @@ from mediaops.plans.catalog import QUERIES  # noqa: E402
 HEADLINE = [
     "probe_attrs", "rule_program", "rule_program_stored", "program_assign", "plan_alongside", "plan_inplace",
     "settings_resolve", "encoder_pick", "decode_route", "command_manifest", "progress_parse", "job_latest",
-    "run_reconcile", "run_detail", "attempts_final", "recent_history", "space_saved", "savings_rollup",
+    "run_reconcile", "run_detail", "run_documents", "attempts_final", "recent_history", "space_saved", "savings_rollup", "library_run",
 ]
 
 

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import codecs, paths, probe, progress
 from ..operators import attributes, capability, history, planning, rules, runs, settings, work_orders
 from ..operators.planning import PlanSettings
 from ..operators.rules import Cond, Rule
-from ..sources import ledger
+from ..sources import inventory, ledger, probes
 from ..sources.inventory import filter_extensions, list_paths
 from ..sources.programs import list_programs, read_programs
 from ..sources.workspace import work_dir
@@ -66,6 +67,15 @@ def inventory_filter(v: Views) -> DataFrame:
     return filter_extensions(v.library(), ["MKV", ".mp4"]).select("file_id", "path", "ext", "size", "mtime", "links")
 
 
+@query
+def inventory_read(v: Views) -> DataFrame:
+    """The library stored as a manifest and read back."""
+    location = work_dir(v.spark, "inventory")
+    columns = {f.name for f in schemas.INVENTORY.fields}
+    v.library().select(*[c for c in v.library().columns if c in columns]).write.parquet(location)
+    return inventory.read_inventory(v.spark, location, extensions=["MKV", ".mp4"]).select("path", "ext", "size", "mtime", "links")
+
+
 @query
 def each_path(v: Views) -> DataFrame:
     return list_paths(filter_extensions(v.library(), ["mkv", "mp4", "avi"]))
@@ -76,6 +86,15 @@ def probe_attrs(v: Views) -> DataFrame:
     return attributes.parse_attrs(v.probe_text())
 
 
+@query
+def probe_read(v: Views) -> DataFrame:
+    """Probe text stored and read back."""
+    location = work_dir(v.spark, "probe-text")
+    v.probe_text().select("path", "text").write.parquet(location)
+    attrs = attributes.parse_attrs(probes.read_probe_text(v.spark, location))
+    return attrs.select("path", "probe_ok", "video_codec", "audio_codec", "height", "bitrate")
+
+
 @query
 def health_report(v: Views) -> DataFrame:
     return attributes.health_report(attributes.parse_health(v.probe_text()))
@@ -406,7 +425,9 @@ def run_ledger(v: Views) -> DataFrame:
     closed = runs.finish_run(_counts(v).join(closing, "run_id"), F.col("_at"))
     cancelled = runs.cancel_run(known.filter("status = 'cancelled'"), NOW)
     events = opened.unionByName(closed, allowMissingColumns=True).unionByName(cancelled, allowMissingColumns=True)
-    return runs.fold_run_events(events)
+    location = work_dir(v.spark, "run-events")
+    ledger.append_run_events(events, location)
+    return runs.fold_run_events(ledger.read_run_events(v.spark, location))
 
 
 @query

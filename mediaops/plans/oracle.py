@@ -256,6 +256,9 @@ def oracle_sql() -> dict[str, str]:
         sql[name] = f"{head}{', ' if head and ctes else ('WITH ' if ctes else '')}{ctes} {body}"
 
     add("inventory_filter", ["library"], "SELECT file_id, path, ext, size, mtime, links FROM library WHERE ext IN ('mkv', 'mp4')")
+    add("inventory_read", ["library"], "SELECT path, ext, size, mtime, links FROM library WHERE ext IN ('mkv', 'mp4')")
+    add("probe_read", ["library"], """SELECT path, probe_ok, video_codec, audio_codec, height,
+        CASE WHEN probe_ok THEN CASE WHEN file_id % 23 = 0 THEN 0 WHEN file_id % 37 = 0 THEN 1000000000000000 ELSE bitrate END END AS bitrate FROM library""")
     add("each_path", ["library"], "SELECT path FROM library WHERE ext IN ('mkv', 'mp4', 'avi')")
     add("probe_attrs", ["library"], """SELECT file_id, path, probe_ok, video_codec, audio_codec,
         CASE WHEN probe_ok THEN profile END AS profile, pix_fmt,
@@ -396,7 +399,7 @@ def oracle_sql() -> dict[str, str]:
         CASE WHEN before = 'cancelled' THEN 0 ELSE ok END AS ok, CASE WHEN before = 'cancelled' THEN 0 ELSE failed END AS failed,
         CASE WHEN before = 'cancelled' THEN 0 ELSE skipped END AS skipped FROM closed""")
     add("run_finish", ["raw_counts"], "SELECT run_id, CASE WHEN failed > 0 THEN 'failed' ELSE 'done' END AS event, ok, failed, skipped, 1000000000::BIGINT AS at FROM raw_counts")
-    add("run_ledger", ["raw_counts"], """SELECT run_id, name, 'program' AS run_kind, started_at,
+    add("run_ledger", ["raw_counts"], """SELECT CAST(run_id AS VARCHAR) AS run_id, name, 'program' AS run_kind, started_at,
         CASE run_status WHEN 'cancelled' THEN 1000000000 WHEN 'running' THEN NULL ELSE started_at + 50 END AS finished_at,
         CASE WHEN run_status IN ('cancelled', 'running') THEN run_status WHEN failed > 0 THEN 'failed' ELSE 'done' END AS status, run_id % 17 AS total,
         CASE WHEN run_status IN ('cancelled', 'running') THEN 0 ELSE ok END AS ok, CASE WHEN run_status IN ('cancelled', 'running') THEN 0 ELSE failed END AS failed,

@@ -75,6 +75,8 @@ def test_probe_files(spark, tmp_path):
     make(tmp_path / "p/c.mkv.probe", "")
     read = {r.path.rsplit("/", 1)[1]: r.text for r in probes.read_probe_files(spark, str(tmp_path / "p")).collect()}
     assert read == {"a b+c%.mkv": "codec_name=h264\n"}
+    for location in (str(tmp_path / "p"), f"file://{tmp_path}/p/"):
+        assert [r.path for r in probes.read_probe_files(spark, location, root="/mnt/media").collect()] == ["/mnt/media/a b+c%.mkv"]
 
 
 def test_history_is_appended(spark, tmp_path):
