@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ SPACES = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def evaluated_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once: inside a lambda, a computed column would be computed anew."""
+    return F.transform(F.array(value), use)[0]
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .native_text import evaluated_once
+
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id")
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -63,11 +65,6 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _with(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _spans(kind: str, text: Column) -> Column:
     """Confirmed spans of one kind: (kind, start, end, value, score), end exclusive, in code points.
 
@@ -79,15 +76,15 @@ def _spans(kind: str, text: Column) -> Column:
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,score:double>>")
 
     def located(parts: Column) -> Column:
-        ends = _with(F.transform(parts, lambda p: F.length(p)), lambda lengths: F.aggregate(
+        ends = evaluated_once(F.transform(parts, lambda p: F.length(p)), lambda lengths: F.aggregate(
             lengths, F.array(F.lit(0)), lambda seen, n: F.concat(seen, F.array(F.element_at(seen, -1) + n))))
-        return _with(ends, lambda at: F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), lambda i: F.struct(
+        return evaluated_once(ends, lambda at: F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), lambda i: F.struct(
             F.lit(kind).alias("kind"), at[i].alias("start"), at[i + 1].alias("end"), parts[i].alias("value"),
             (F.lit(SCORES[kind]) + F.when(F.lower(F.right(parts[i - 1], F.lit(CONTEXT_CHARACTERS))).rlike(CONTEXT[kind]), CONTEXT_BONUS)
              .otherwise(0.0)).alias("score"))))
 
     kept = lambda s: _valid(kind, s.value) & (s.score >= LEAST_SCORE)
-    spans = _with(pieces, lambda parts: F.when(F.size(parts) > 1, F.filter(located(parts), kept)).otherwise(none))
+    spans = evaluated_once(pieces, lambda parts: F.when(F.size(parts) > 1, F.filter(located(parts), kept)).otherwise(none))
     return F.when(F.contains(text, F.lit(_NEEDS[kind])), spans).otherwise(none) if kind in _NEEDS else spans
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .native_text import SPACES, count_of, normal_line, word_array, word_count
+from .native_text import SPACES, count_of, evaluated_once, normal_line, word_array, word_count
 from .work import keep
 
 SYMBOLS = "#*$%&|<>"
@@ -17,31 +17,26 @@ def _text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def _with(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once: inside a lambda, a computed column would be computed anew."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _repeated_words(words: Column) -> Column:
     """Words lying in a 3-word window that occurs at least twice in ``words``."""
     def covered(windows: Column) -> Column:
         sort = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        twice = _with(sort, lambda placed: F.filter(placed, lambda x, k: (
+        twice = evaluated_once(sort, lambda placed: F.filter(placed, lambda x, k: (
             (k > 0) & (x.h == F.get(placed, k - 1).h)) | F.coalesce(x.h == F.get(placed, k + 1).h, F.lit(False))))
         return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x.i, x.i + 1, x.i + 2)))))
 
     windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
     # Most texts repeat no window: only those that do pay for sorting their windows by position.
-    return F.when(F.size(words) > 3, _with(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(0))).otherwise(0)
+    return F.when(F.size(words) > 3, evaluated_once(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(0))).otherwise(0)
 
 
 def text_statistics(documents: DataFrame, text_column: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words. A null text has none of anything."""
     text = _text(text_column)
-    of_words = _with(word_array(text), lambda w: F.struct(
+    of_words = evaluated_once(word_array(text), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"), _repeated_words(w).cast("long").alias("n_repeat_words")))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    of_lines = _with(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    of_lines = evaluated_once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     return documents.withColumns({"_words": of_words, "n_dup_lines": of_lines.cast("long")}).withColumns({
         "n_words": F.col("_words.n_words"),
         "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),

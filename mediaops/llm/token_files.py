@@ -103,12 +103,10 @@ class PerfectHash:
 def document_keys(ids: np.ndarray, missing: np.ndarray) -> np.ndarray:
     """Keys of documents in file order: the id, and for repeated rows of an id how often it came before."""
     values = np.where(missing, _NONE, ids)
-    same = np.zeros(len(values), np.int64)
     repeat = np.zeros(len(values), bool)
     repeat[1:] = (values[1:] == values[:-1]) & (missing[1:] == missing[:-1])
-    starts = np.maximum.accumulate(np.where(repeat, 0, np.arange(len(values))))
-    same = np.arange(len(values)) - starts
-    return mix(mix(values.view(np.uint64)) + same.astype(np.uint64)) ^ missing.astype(np.uint64)
+    before = np.arange(len(values)) - np.maximum.accumulate(np.where(repeat, 0, np.arange(len(values))))
+    return mix(mix(values.view(np.uint64)) + before.astype(np.uint64)) ^ missing.astype(np.uint64)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
