@@ -17,11 +17,15 @@ from .work import spread
 #: Token ids a shard holds before the next one begins (a longer document is a shard of its own).
 SHARD_IDS = 1 << 20
 END_ID = 0
-#: Chunks remembered by a worker; the memory is emptied when it is full.
-REMEMBERED = 200_000
+#: Chunks after which a worker begins a new table; the one before is still asked.
+REMEMBERED = 150_000
 
 _BREAKS = re.compile(r"\s\x20")
 _CHUNKS = re.compile(r"\s*\S+|\s+")
+_MARKS = r"[.,;:!?#*$%&|()]"
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+#: A word with marks after it, perhaps a line end, and a word with marks again.
+_PARTED = re.compile(rf"({_LETTERS}+)({_MARKS}+)(?:(\n)({_LETTERS}*)({_MARKS}*))?")
 _GAMMA = 2
 _NONE = np.int64(-0x6A09E667F3BCC909)
 
@@ -29,8 +33,9 @@ _NONE = np.int64(-0x6A09E667F3BCC909)
 class Encoder:
     """Ids of texts, as little-endian 32-bit bytes.
 
-    The tokenizer cuts texts where white space follows other characters before it merges anything, so the chunks
-    between such places are encoded each on its own, by the library, once as long as they are remembered.
+    The tokenizer cuts texts before it merges anything: where white space follows other characters, between
+    letters and marks, and around a lone line end. The chunks between such places are encoded each on its own, by the library,
+    once as long as they are remembered; a chunk is forgotten when it was not used while the table was filled anew.
     """
 
     def __init__(self, path: str) -> None:
@@ -38,22 +43,60 @@ class Encoder:
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True
         self._known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
+        words = self._library.get_vocab()
+        self._begins = np.zeros(max(words.values()) + 1, bool)
+        self._begins[[i for word, i in words.items() if word.startswith("Ġ")]] = True
 
-    def encode(self, text: str) -> bytes:
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
         if _BREAKS.search(text):
-            chunks = _CHUNKS.findall(text)
-        else:
-            first, *rest = text.split(" ")
-            chunks = [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
-        known = self._known
-        missing = list({c for c in chunks if c not in known})
-        if missing:
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = list(set(chunks))
-            for chunk, found in zip(missing, self._library.encode_batch(missing, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, chunks))
+            return _CHUNKS.findall(text)
+        first, *rest = text.split(" ")
+        out = [first] if first else []
+        for word in rest:
+            if word.isalpha():
+                out.append(" " + word)
+            elif parted := _PARTED.fullmatch(word):
+                out.append(" " + parted[1])
+                out += [x for x in parted.groups()[1:] if x]
+            else:
+                out.append(" " + word)
+        return out
+
+    def _look_up(self, chunks: set[str]) -> None:
+        """Put the chunks into the table, from the one before or by the library."""
+        known, before = self._known, self._before
+        missing = []
+        for chunk in chunks:
+            if (ids := before.get(chunk)) is not None:
+                known[chunk] = ids
+            else:
+                missing.append(chunk)
+        # Words with their space can be encoded as one text: each begins with the only tokens that hold a space.
+        words = [c for c in missing if c[0] == " " and c[1:].isalpha()]
+        ids = np.array(self._library.encode("".join(words), add_special_tokens=False).ids, "<u4") if words else np.zeros(0, "<u4")
+        at = np.flatnonzero(self._begins[ids])
+        others = missing
+        if words and len(at) == len(words):
+            raw = ids.tobytes()
+            known.update((c, raw[4 * a:4 * b]) for c, a, b in zip(words, at.tolist(), [*at[1:].tolist(), len(ids)], strict=True))
+            others = [c for c in missing if c not in known]
+        for chunk, found in zip(others, self._library.encode_batch(others, add_special_tokens=False), strict=True):
+            known[chunk] = np.array(found.ids, "<u4").tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        parts = [self._chunks(t) for t in texts]
+        if missing := set().union(*parts) - self._known.keys():
+            self._look_up(missing)
+        look = self._known.__getitem__
+        out = [b"".join(map(look, p)) for p in parts]
+        if len(self._known) > REMEMBERED:
+            self._before, self._known = self._known, {}
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -165,7 +208,7 @@ FILE_TYPES = "part int, shard int, first_id long, last_id long, n_docs long, n_i
 def _shards(path: str, shard_ids: int, end_id: int):
     def run(batches):
         from pyspark import TaskContext
-        encode, part, shard = encoder(path).encode, TaskContext.get().partitionId(), 0
+        encode, part, shard = encoder(path).encode_all, TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         ids: list[int | None] = []
         texts: list[bytes] = []
@@ -179,9 +222,10 @@ def _shards(path: str, shard_ids: int, end_id: int):
             kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in FILE_TYPES.split(", ")])
 
-        for batch in slices(batches, "text"):
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                blob = encode(text or "") + end
+        for batch in slices(batches, "text", 1 << 20):
+            blobs = encode([t or "" for t in batch.column("text").to_pylist()])
+            for i, ids_of in zip(batch.column("id").to_pylist(), blobs, strict=True):
+                blob = ids_of + end
                 # Rows of one id stay together, so that their keys can count them.
                 if ids and size + len(blob) // 4 > shard_ids and i != ids[-1]:
                     yield written()
