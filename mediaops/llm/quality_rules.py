@@ -54,14 +54,8 @@ def _row_key(documents: DataFrame, id_column: str, text_column: str, host_column
     })
 
 
-def line_removals(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
-                  host_column: str = "source", share: float = 0.01, least: int = 20) -> DataFrame:
-    """(_host, _id, _hash, lines, n_removed_words): what documents lose to lines their host repeats.
-
-    A line (normalised: spaces squeezed, A-Z lowered, compared by a 64-bit hash) goes when more than
-    ``share`` of the host's documents hold it and more than ``least`` do. Documents are counted as
-    distinct texts, so copies of a text count once. Rows without host are a host of their own.
-    """
+def _found_lines(documents: DataFrame, id_column: str, text_column: str, host_column: str, share: float, least: int) -> DataFrame:
+    """(_host, _id, _hash, at, line, words): the lines of documents that their host repeats."""
     keyed = _row_key(documents, id_column, text_column, host_column)
     rows = keyed.select(*KEY, F.posexplode(F.split(_text(text_column), "\n")).alias("at", "line"))
     lines = keep(rows.select(*KEY, "at", normal_line(F.col("line")).alias("line")).where("line <> ''")
@@ -71,10 +65,42 @@ def line_removals(documents: DataFrame, *, id_column: str = "doc_id", text_colum
     common = (spread.where(F.col("in_texts") > least).join(hosts, "_host")
               .where(F.col("in_texts") > share * F.col("texts")).select("_host", "line"))
     # Repeated rows of a document bring the same lines at the same places.
-    found = lines.join(common, ["_host", "line"]).dropDuplicates([*KEY, "at"])
+    return lines.join(common, ["_host", "line"]).dropDuplicates([*KEY, "at"])
+
+
+def _removals(found: DataFrame) -> DataFrame:
     return found.groupBy(*KEY).agg(F.collect_set("line").alias("lines"), F.sum("words").alias("n_removed_words"))
 
 
+def line_removals(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
+                  host_column: str = "source", share: float = 0.01, least: int = 20) -> DataFrame:
+    """(_host, _id, _hash, lines, n_removed_words): what documents lose to lines their host repeats.
+
+    A line (normalised: spaces squeezed, A-Z lowered, compared by a 64-bit hash) goes when more than
+    ``share`` of the host's documents hold it and more than ``least`` do. Documents are counted as
+    distinct texts, so copies of a text count once. Rows without host are a host of their own.
+    """
+    return _removals(_found_lines(documents, id_column, text_column, host_column, share, least))
+
+
+def _spared(documents: DataFrame, found: DataFrame, id_column: str, text_column: str, host_column: str, depleted: float) -> DataFrame:
+    """(_host, _id, _hash, line): lines that stay in a depleted document because no earlier depleted one holds them.
+
+    Near copies deplete each other. Of each common line the depleted document of the smallest id is the first
+    holder; a document that its first-held lines lift to the limit again keeps those. So the smallest id of a
+    group of near copies survives, and what it shares with earlier, unlike documents still counts against it.
+    """
+    lost = found.groupBy(*KEY).agg(F.sum("words").alias("n_removed_words"))
+    order = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "_hash").alias("_order")
+    keyed = _row_key(documents, id_column, text_column, host_column).select(*KEY, order, _text(text_column).alias("text"))
+    measured = _judged(text_statistics(keyed.join(lost, KEY)), depleted).where("not base_failed and not kept")
+    held = keep(found.join(measured.select(*KEY, "_order", "n_words", "n_removed_words").dropDuplicates(KEY), KEY), "depleted")
+    first = held.groupBy("_host", "line").agg(F.min("_order").alias("_first"))
+    own = held.join(first, ["_host", "line"]).where(F.col("_order") == F.col("_first"))
+    lifted = own.groupBy(*KEY, "n_words", "n_removed_words").agg(F.sum("words").alias("own"), F.collect_set("line").alias("lines"))
+    return lifted.where(F.col("n_removed_words") - F.col("own") <= depleted * F.col("n_words")).select(*KEY, F.explode("lines").alias("line"))
+
+
 def quality_verdicts(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source",
                      share: float = 0.01, least: int = 20, depleted: float = 0.7) -> DataFrame:
     """Per row: the id, the statistics, ``base_failed``, ``n_removed_words`` and ``kept``.
@@ -92,9 +118,13 @@ def quality_verdicts(documents: DataFrame, *, id_column: str = "doc_id", text_co
 
 def quality_filter(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source",
                    share: float = 0.01, least: int = 20, depleted: float = 0.7) -> DataFrame:
-    """The rows of ``documents`` that are kept, without the lines their host repeats too often."""
-    removals = line_removals(documents, id_column=id_column, text_column=text_column, host_column=host_column,
-                             share=share, least=least)
+    """The rows of ``documents`` that are kept, without the lines their host repeats too often.
+
+    One more document of each group of near copies than ``quality_verdicts`` keeps stays: see ``_spared``.
+    """
+    found = keep(_found_lines(documents, id_column, text_column, host_column, share, least), "found")
+    spared = _spared(documents, found, id_column, text_column, host_column, depleted)
+    removals = _removals(found.join(spared, [*KEY, "line"], "left_anti"))
     # The rows travel as one column, so that no column of theirs meets one of the statistics.
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
     keyed = _row_key(documents, id_column, text_column, host_column).select(*KEY, row, _text(text_column).alias("text"))

@@ -107,3 +107,15 @@ def test_pipeline_of_odd_and_no_documents(spark, odd_documents, no_documents):
             docs = corpus_pipeline.keep(stage(spark, docs, SF), "odd")
             assert docs.columns == columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_one_of_many_near_copies_passes_quality_and_join(spark):
+    """30 near copies of several lines each: their lines are common, but one document of the group goes on."""
+    line = lambda name, k: " ".join(f"{name}{k}w{j}" for j in range(12))
+    rows = [(100 + i, "\n".join(line(f"edit{i}x", k) if k == i % 20 else line("same", k) for k in range(20)), "a") for i in range(30)]
+    rows += [(500 + i, "\n".join(line(f"own{i}x", k) for k in range(8)), "a") for i in range(40)]
+    docs = spark.createDataFrame([(*r, "en", 1) for r in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    quality = stages.quality(spark, docs, SF).cache()
+    out = {r.doc_id: r.text for r in stages.one_of_each(spark, quality, SF).collect()}
+    assert sorted(out) == [100, *range(500, 540)]
+    assert out[100] == rows[0][1]
