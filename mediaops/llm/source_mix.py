@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .native_text import word_count
@@ -69,8 +69,15 @@ def mix_sources(documents: DataFrame, *, id_column: str = "doc_id", text_column:
     words of it that lie in those blocks. Reruns agree. Null and wordless texts have size 0 and give
     nothing; null sources are a source; repeated rows count each. Without any words all targets are 0.
     """
+    return _taken(documents, id_column, text_column, source_column, weights, most, block, seed).select(
+        F.col("id").alias(id_column), "size", "source_size", "target", "taken")
+
+
+def _taken(documents: DataFrame, id_column: str, text_column: str, source_column: str, weights: tuple[int, ...],
+           most: int, block: int, seed: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """(id, source, shard, key, size, source_size, target, taken, *ties) per row; ``ties`` are columns that order rows of one key."""
     sizes = keep(documents.select(F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"),
-                                  word_count(F.coalesce(F.col(text_column).cast("string"), F.lit(""))).alias("size")), "sizes")
+                                  word_count(F.coalesce(F.col(text_column).cast("string"), F.lit(""))).alias("size"), *ties), "sizes")
     sources = sainte_lague(
         source_targets(sizes, weights, most).withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")),
         "blocks", "target", [], "quota", [F.col("source").asc_nulls_last()])
@@ -91,7 +98,7 @@ def mix_sources(documents: DataFrame, *, id_column: str = "doc_id", text_column:
             "rest": F.when((F.col("n") > 0) & (F.col("passes") < most), F.least(
                 F.round((F.col("words") - F.col("passes") * F.col("shard_size")) / block), F.col("n"))).otherwise(0),
             "first": F.when(F.col("n") > 0, F.pmod(number(F.md5(F.concat_ws(":", F.lit(str(seed)), "_source", F.col("_shard").cast("string")))), F.col("n"))).otherwise(0)})
-    line = Window.partitionBy("source", "shard").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("source", "shard").orderBy("key", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lined = placed.withColumn("end", F.sum("size").over(line)).withColumn("begin", F.col("end") - F.col("size"))
     joined = lined.join(shards, (lined["source"].eqNullSafe(shards["_source"])) & (lined["shard"] == shards["_shard"]))
     common = lambda a, b: F.greatest(F.least("end", b) - F.greatest("begin", a), F.lit(0))
@@ -99,4 +106,46 @@ def mix_sources(documents: DataFrame, *, id_column: str = "doc_id", text_column:
     # The run of blocks goes on at the front when it passes the end.
     over = F.greatest(F.col("first") + F.col("rest") - F.col("n"), F.lit(0)) * block
     taken = F.col("passes") * F.col("size") + common(since, F.least(until, F.col("shard_size"))) + common(F.lit(0), over)
-    return joined.select(F.col("id").alias(id_column), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return joined.select("id", "source", "shard", "key", "size", "source_size", "target", taken.cast("long").alias("taken"), *ties)
+
+
+def _dealt(rows: Column, start: Column, most: int) -> Column:
+    """Copies of each of ``rows`` (size, taken), in order: what a row is due and what the rows before it were left owing, to the nearest whole."""
+    def deal(state: Column, x: Column) -> Column:
+        due = state.owed + x.taken
+        n = F.greatest(F.least(F.floor(due / x.size + 0.5), F.lit(most)), F.lit(0)).cast("long")
+        return F.struct((due - n * x.size).alias("owed"), F.concat(state.copies, F.array(n)).alias("copies"))
+
+    begin = F.struct(start.cast("long").alias("owed"), F.array().cast("array<bigint>").alias("copies"))
+    return F.aggregate(rows, begin, deal)
+
+
+def mixed_documents(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+                    weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES, block: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
+    """The rows of ``documents``, each as a whole number of copies, ``most`` at most, so that each source gives about its words of the mix.
+
+    A shard's documents are dealt copies from the longest to the shortest (then by the seeded line): a document gets what
+    ``mix_sources`` takes of it and what was left owing before it, to the nearest copy. What a shard cannot give or
+    take back goes to the source's other shards by what they can, so a source misses its words by about half
+    a short document, unless even ``most`` copies of its other documents cannot make up for a long one. Rows without
+    id take part like others; wordless rows give nothing. Reruns agree.
+    """
+    # The number only joins copies to rows again; places in line come from id, size and text.
+    row, tie = "_mix_row", "_mix_tie"
+    held = keep(documents.withColumns({row: F.monotonically_increasing_id(), tie: F.xxhash64(F.col(text_column).cast("string"))}), "mix")
+    taken = _taken(held, id_column, text_column, source_column, weights, most, block, seed, (tie, row)).where("size > 0")
+    line = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("less"), "key", tie, row, "size", "taken")))
+    shards = keep(taken.groupBy("source", "shard").agg(line.alias("rows"), F.sum("size").alias("words"), F.sum("taken").alias("due")), "line")
+    first = shards.withColumn("owed", _dealt(F.col("rows"), F.lit(0), most)["owed"])
+    given = F.col("due") - F.col("owed")
+    source = Window.partitionBy("source")
+    open_ = first.withColumn("rest", F.sum("owed").over(source)).withColumn(
+        "room", F.when(F.col("rest") > 0, most * F.col("words") - given).otherwise(given))
+    # A shard's part of the rest replaces what it was left owing itself.
+    share = F.coalesce(F.round(F.col("rest") * F.col("room") / F.nullif(F.sum("room").over(source), F.lit(0))), F.lit(0))
+    dealt = open_.withColumn("start", share - F.col("owed")).select(
+        F.col(f"rows.{row}").alias("row"), _dealt(F.col("rows"), F.col("start"), most)["copies"].alias("times"))
+    times = dealt.select(F.explode(F.arrays_zip("row", "times")).alias("x")).select(
+        F.col("x.row").alias(row), F.col("x.times").cast("int").alias("_mix_times")).where("_mix_times > 0")
+    copy = F.explode(F.sequence(F.lit(1), F.col("_mix_times"))).alias("_mix_copy")
+    return held.join(times, row).select(*[F.col(f"`{c}`") for c in documents.columns], copy).drop("_mix_copy")

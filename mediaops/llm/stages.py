@@ -35,11 +35,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the words the mix takes of it make it whole, to the nearest (halves up)."""
-    taken = source_mix.mix_sources(docs, seed=0).where("size > 0 and doc_id is not null")
-    times = taken.groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_times")).where("_times > 0")
-    copies = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return docs.join(times, "doc_id").withColumn("_copy", copies).select(*docs.columns)
+    """Each document in whole copies, dealt so that each source gives about its words of the mix; rows without id take part."""
+    return source_mix.mixed_documents(docs, seed=0)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,3 +119,18 @@ def test_one_of_many_near_copies_passes_quality_and_join(spark):
     out = {r.doc_id: r.text for r in stages.one_of_each(spark, quality, SF).collect()}
     assert sorted(out) == [100, *range(500, 540)]
     assert out[100] == rows[0][1]
+
+
+def test_mixing_keeps_rows_without_id_and_sources_near_target(spark):
+    """Documents without id are mixed like others, and short documents make up for what a long one gives too much or too little."""
+    words = lambda n, k: " ".join([f"w{k}"] * n)
+    rows = [(None, words(40 + k % 7, k), "a") for k in range(60)] + [(1, words(4000, "long"), "b")] + [(100 + k, words(30, k), "b") for k in range(100)]
+    rows += [(300 + k, words(50, k), "c") for k in range(200)] + [(900, "", "c"), (None, None, "c")]
+    docs = spark.createDataFrame([(*r, "en", 1) for r in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    first, second = (sorted((tuple(r) for r in stages.mixed(spark, d, SF).collect()), key=str) for d in (docs, docs.repartition(5)))
+    assert first == second
+    sizes = spark.createDataFrame([(s, len((t or "").split())) for _, t, s in rows], "source string, size long")
+    targets = {r.source: r.target for r in stages.source_mix.source_targets(sizes).collect()}
+    for source, target in targets.items():
+        assert abs(sum(len(r[1].split()) for r in first if r[2] == source) - target) <= 60, source
+    assert {r[2] for r in first if r[0] is None} == {"a"} and max(first.count(r) for r in set(first)) <= 3
