@@ -33,15 +33,17 @@ _NONE = np.int64(-0x6A09E667F3BCC909)
 class Encoder:
     """Ids of texts, as little-endian 32-bit bytes.
 
+    The string of a special token in a text is ordinary text, or with ``special_as_text`` off, the library's default, that token.
+
     The tokenizer cuts texts before it merges anything: where white space follows other characters, between
     letters and marks, and around a lone line end. The chunks between such places are encoded each on its own, by the library,
     once as long as they are remembered; a chunk is forgotten when it was not used while the table was filled anew.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = True) -> None:
         from tokenizers import Tokenizer
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True
+        self._library.encode_special_tokens = special_as_text
         self._known: dict[str, bytes] = {}
         self._before: dict[str, bytes] = {}
         words = self._library.get_vocab()
@@ -103,9 +105,9 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file: tasks of the same worker share it."""
+    """The worker's encoder for a tokenizer file, by the library's defaults: tasks of the same worker share it."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, special_as_text=False)
     return _encoders[path]
 
 

@@ -208,3 +208,15 @@ def test_empty_tables(spark, no_documents, tmp_path):
     assert source_mix.mix_sources(no_documents).count() == 0
     token_files.write_token_files(no_documents, str(tmp_path / "none"), tokenizer_path("byte_bpe_50k.json"))
     assert token_files.read_documents(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_token_files_hold_special_tokens_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+    path = tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    end = "<|endoftext|>"
+    texts = [end, f"a {end} b", f"a{end}b", f"a,{end}", f"a  {end}\n b", f"a\n{end}\n\nb {end}{end} c.", f"it's {end[:-1]} > {end} \n", "x y"]
+    token_files.write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "tokens"), path)
+    ids = {r.id: r.tokens for r in token_files.read_tokens(spark, str(tmp_path / "tokens"), list(range(len(texts)))).collect()}
+    assert ids == {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert ids[0] == [library.token_to_id(end), 0]
