@@ -18,8 +18,9 @@ from .hashing import slices
 _ASSIGN = re.compile(r"(?a)(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-#: What the models judge; a candidate also needs a digit and four letters.
+#: What the models judge, whatever it is made of; rules drawn with a repeated mark count as one mark.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_DRAWN = re.compile(r"([+/_=-])\1+")
 SMOOTHING = 0.2
 KINDS = ("assign", "access", "hex", "markov")
 
@@ -93,9 +94,10 @@ def spans_of(text: str, models: Models | None) -> list[tuple[int, str, int]]:
         for m in _CANDIDATE.finditer(text):
             while k < len(taken) and taken[k][1] <= m.start():
                 k += 1
-            token = m[0]
+            token = _DRAWN.sub(r"\1", m[0])
             free = k == len(taken) or taken[k][0] >= m.end()
-            if free and sum(c.isalpha() for c in token) >= 4 and any(c.isdigit() for c in token) and models.score(token) > models.threshold:
+            # A token of four or fewer different characters repeats itself: chance makes one in millions.
+            if free and len(set(token)) > 4 and models.score(token) > models.threshold:
                 found.append((m.start(), 3, m.end()))
     return [(a, KINDS[kind], b) for a, kind, b in sorted(found)]
 
