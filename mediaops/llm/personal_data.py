@@ -10,6 +10,15 @@ from .native_text import evaluated_once
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id")
 
 _LOCAL = "[A-Za-z0-9._%+-]"
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_COUNTRIES = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+_SIZED = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 #: Java patterns. Possessive loops keep long runs off the stack, and a match begins only where a run
 #: does (or where the last match ended), so a long run is not scanned again from each of its characters.
 PATTERNS = {
@@ -17,7 +26,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_SIZED}|(?!{_COUNTRIES})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A character every match holds: texts without it are not searched.
@@ -33,6 +42,10 @@ CONTEXT = {
     "national_id": "ssn|social security|insurance|identity",
 }
 CONTEXT_BONUS, CONTEXT_CHARACTERS, LEAST_SCORE = 0.3, 48, 0.5
+#: Characters between ids of one list or table, which share their context.
+NEIGHBOUR_CHARACTERS = 128
+#: Pieces that hold at least so many characters on one side of an id: ids have 11, and so do two pieces.
+_NEAR_PIECES = 2 * -(-CONTEXT_CHARACTERS // 11) + 1
 _MARK, _OTHER = "\x01", "\x02"
 
 
@@ -83,8 +96,27 @@ def _spans(kind: str, text: Column) -> Column:
             (F.lit(SCORES[kind]) + F.when(F.lower(F.right(parts[i - 1], F.lit(CONTEXT_CHARACTERS))).rlike(CONTEXT[kind]), CONTEXT_BONUS)
              .otherwise(0.0)).alias("score"))))
 
+    def in_lists(parts: Column) -> Column:
+        """Spans whose context is on either side, in the text with its matches, and goes to all ids of a list."""
+        before = lambda i: F.right(F.array_join(F.slice(parts, F.greatest(i - _NEAR_PIECES, F.lit(0)) + 1, F.least(i, F.lit(_NEAR_PIECES))), ""), F.lit(CONTEXT_CHARACTERS))
+        after = lambda i: F.left(F.array_join(F.slice(parts, i + 2, F.lit(_NEAR_PIECES)), ""), F.lit(CONTEXT_CHARACTERS))
+        told = lambda i: F.lower(before(i)).rlike(CONTEXT[kind]) | F.lower(after(i)).rlike(CONTEXT[kind])
+        number = lambda spans: F.aggregate(
+            F.sequence(F.lit(1), F.size(spans)), F.array(F.lit(0)), lambda seen, k: F.concat(seen, F.array(F.element_at(seen, -1) + F.when(
+                F.element_at(spans, k).start - F.get(spans, k - 2).end > NEIGHBOUR_CHARACTERS, 1).otherwise(0))))
+        spans = F.transform(located(parts), lambda s, k: s.withField("told", told(2 * k + 1)))
+
+        def shared(spans: Column, lists: Column) -> Column:
+            confirmed = F.array_distinct(F.filter(F.transform(spans, lambda s, k: F.when(s.told, lists[k + 1])), lambda x: x.isNotNull()))
+            return evaluated_once(confirmed, lambda sure: F.transform(spans, lambda s, k: F.struct(
+                s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"), s.value.alias("value"),
+                (F.lit(SCORES[kind]) + F.when(F.array_contains(sure, lists[k + 1]), CONTEXT_BONUS).otherwise(0.0)).alias("score"))))
+
+        return evaluated_once(spans, lambda found: evaluated_once(number(found), lambda lists: shared(found, lists)))
+
+    scored = in_lists if kind == "national_id" else located
     kept = lambda s: _valid(kind, s.value) & (s.score >= LEAST_SCORE)
-    spans = evaluated_once(pieces, lambda parts: F.when(F.size(parts) > 1, F.filter(located(parts), kept)).otherwise(none))
+    spans = evaluated_once(pieces, lambda parts: F.when(F.size(parts) > 1, F.filter(scored(parts), kept)).otherwise(none))
     return F.when(F.contains(text, F.lit(_NEEDS[kind])), spans).otherwise(none) if kind in _NEEDS else spans
 
 
