@@ -27,12 +27,21 @@ OUTSIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments comentarios kommentare cookie cookies consent disqus "
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo related replies reply "
     "respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: Names of what consists of small articles itself: an article element within is no reason to leave it.
+SMALL_ARTICLES = frozenset("ad ads adv advert adverts advertisement comment comments comentarios kommentare disqus promo related replies reply respond sponsored".split())
+#: Parts of a name that say what holds the named thing, and first parts by which a name is about something else.
+_HOLDERS = frozenset("area bar block body box container content group inner items links list section wrap wrapper".split())
+_ABOUT = frozenset("has have hide is no not show with without".split())
+_OWN_HEADERS = frozenset("article content entry news page post story title".split())
 #: Frequent words of the languages at hand.
-STOP_WORDS = frozenset(
-    "a an and are as at be by for from had has have he her his i in is it its not of on or she that the their they this to was were which will with you "
-    "au aux avec ce dans de des du elle en est et il la le les mais ne nous ou par pas pour qui que se son sur un une vous "
-    "als auch auf aus bei das dem den der die durch ein eine er es für ich im ist mit nach nicht sich sie sind so und von war wie zu "
-    "al como con del el esta este fue ha las lo los más no para pero por si sin su sus y".split())
+_LANGUAGES = [frozenset(words.split()) for words in (
+    "a an and are as at be by for from had has have he her his i in is it its not of on or she that the their they this to was were which will with you",
+    "au aux avec ce dans de des du elle en est et il la le les mais ne nous ou par pas pour qui que se son sur un une vous",
+    "als auch auf aus bei das dem den der die durch ein eine er es für ich im ist mit nach nicht sich sie sind so und von war wie zu",
+    "al como con del el esta este fue ha las lo los más no para pero por si sin su sus y de en es la que se un")]
+STOP_WORDS = frozenset().union(*_LANGUAGES)
+
+NAMED, OUT = 1, 2
 
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)/?>|<!--(.*?)-->|<[!?][^>]*>", re.S)
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -60,11 +69,24 @@ class Block:
     text: str = ""
 
 
+def _names(value: str) -> set[str]:
+    """The outside names that are the main part of a class or id: its first part, or its last that is no holder."""
+    found = set()
+    for name in value.lower().split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+        while len(parts) > 1 and parts[-1] in _HOLDERS:
+            parts.pop()
+        if not parts or parts[0] in _ABOUT or (parts[-1] == "header" and not _OWN_HEADERS.isdisjoint(parts[:-1])):
+            continue
+        found |= {parts[0], parts[-1]} & OUTSIDE_NAMES
+    return found
+
+
 def blocks_of(html: str) -> list[Block]:
     """The non-empty blocks of a page in order. ``region`` numbers the article a block lies in, 0 outside."""
     out: list[Block] = []
-    # Open elements that matter: (name, outside, region, hidden, heading).
-    open_: list[tuple[str, bool, int, bool, bool]] = [("", False, 0, False, False)]
+    # Open elements that matter: (name, outside, region, hidden, heading). Outside by a wrapper's name alone is NAMED.
+    open_: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
     block = Block(False, 0, False)
     at, links, regions = 0, 0, 0
 
@@ -74,7 +96,7 @@ def blocks_of(html: str) -> list[Block]:
         if block.text:
             out.append(block)
         _, outside, region, _, heading = open_[-1]
-        block = Block(outside, region, heading)
+        block = Block(bool(outside), region, heading)
 
     def add(piece: str) -> None:
         if piece and not open_[-1][3]:
@@ -130,12 +152,15 @@ def blocks_of(html: str) -> list[Block]:
             if name in ARTICLES and not region:
                 regions += 1
                 region = regions
-            outside = outside or name in OUTSIDE or (name == "header" and not region)
+                outside = 0 if outside == NAMED else outside
+            if name in OUTSIDE or (name == "header" and not region):
+                outside = OUT
             if tag[3]:
                 said = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(tag[3])}
-                names = {w for v in (said.get("class", ""), said.get("id", "")) for w in re.split(r"[^a-z0-9]+", v.lower())}
-                outside = outside or said.get("role", "").lower() in OUTSIDE_ROLES or (
-                    name not in ("html", "body", *ARTICLES) and not names.isdisjoint(OUTSIDE_NAMES))
+                if said.get("role", "").lower() in OUTSIDE_ROLES:
+                    outside = OUT
+                elif name not in ("html", "body", *ARTICLES) and (names := _names(f"{said.get('class', '')} {said.get('id', '')}")):
+                    outside = max(outside, NAMED if names.isdisjoint(SMALL_ARTICLES) else OUT)
                 hidden = hidden or "hidden" in said or said.get("aria-hidden") == "true"
             open_.append((name, outside, region, hidden or name in HIDDEN, heading or name in ("h1", "h2", "h3", "h4", "h5", "h6")))
             if name in BLOCKS:
@@ -150,8 +175,14 @@ def _unfinished(text: str) -> str:
     return text[:broken.start()] if broken else text
 
 
-def decided(block: Block, rules: Rules) -> bool | None:
-    """First pass: article or not, or None for blocks too short or mixed to tell."""
+def known_language(blocks: list[Block], rules: Rules) -> bool:
+    """The longer blocks inside hold stop words of one of the languages as its prose does, or there are none."""
+    words = [w for b in blocks if not b.outside and len(b.text) >= rules.short and b.linked <= rules.links * len(b.text) for w in _WORDS.findall(b.text.lower())]
+    return not words or max(sum(w in language for w in words) for language in _LANGUAGES) >= rules.few_stop_words * len(words)
+
+
+def decided(block: Block, rules: Rules, known: bool = True) -> bool | None:
+    """First pass: article or not, or None for blocks too short or mixed to tell. Length and links decide where no language is ``known``."""
     if block.outside:
         return False
     size = len(block.text)
@@ -159,6 +190,8 @@ def decided(block: Block, rules: Rules) -> bool | None:
         return None if block.heading and block.region else False
     if size < rules.short:
         return None
+    if not known:
+        return True if size >= rules.long else None
     words = _WORDS.findall(block.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stops >= rules.stop_words or (stops >= rules.few_stop_words and size >= rules.long):
@@ -171,7 +204,8 @@ def decided(block: Block, rules: Rules) -> bool | None:
 def main_text(html: str | None, rules: Rules = Rules()) -> str:
     """The article of a page, its blocks joined by newlines; empty if there is none."""
     blocks = blocks_of(html or "")
-    labels = [decided(b, rules) for b in blocks]
+    known = known_language(blocks, rules)
+    labels = [decided(b, rules, known) for b in blocks]
     kept = []
     for i, (block, label) in enumerate(zip(blocks, labels, strict=True)):
         if label is None:
