@@ -83,9 +83,9 @@ class Spans:
         return mix(self.raw(start, end) + (end - start).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word ``[^\\x20\\x09-\\x0D]+``, and each row's first word (with an end)."""
-    space = _SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and each row's first word (with an end). Bytes ``between`` words: ``[\\x20\\x09-\\x0D]``."""
+    space = between[data]
     first = ~space
     last = first.copy()
     begins = offsets[:-1][offsets[:-1] < offsets[1:]]

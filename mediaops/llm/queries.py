@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, main_text, personal_data, pieces, quality_rules, repeats, secrets, source_mix, token_files, vector_search
+from . import (jaccard_join, lexical_search, main_text, minhash, personal_data, pieces, quality_rules, repeats, secrets, source_mix, token_files,
+               vector_search, whitening)
 from .sql import oracle_sql  # noqa: F401
 from .work import table, work_dir
 
@@ -65,6 +66,18 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_classes(table(spark, sf_dir, "documents"), width=4)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_secrets, op2_personal_data, op3_repeats, op4_jaccard_join, op5_token_files, op6_main_text, op7_quality_rules,
-    op8_source_mix, op9_pieces, op10_vector_search)}
+    op8_source_mix, op9_pieces, op10_vector_search, op11_whitening, op12_lexical_search, op13_minhash)}

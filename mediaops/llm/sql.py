@@ -62,5 +62,34 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
 
 
+def lexical_search() -> str:
+    terms = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {terms} AS t FROM documents
+), sized AS (
+  SELECT r, doc_id, t, CAST(len(t) AS BIGINT) AS n FROM docs WHERE len(t) > 0
+), corpus AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sized
+), asked AS (
+  SELECT item_id, t, count(*) AS times FROM (
+    SELECT item_id, unnest({terms}) AS t FROM (SELECT item_id, max(text) AS text FROM benchmark GROUP BY item_id)
+  ) GROUP BY item_id, t
+), held AS (
+  SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(t) AS t FROM sized) WHERE t IN (SELECT t FROM asked) GROUP BY r, t
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM held, corpus GROUP BY t, docs
+), scored AS (
+  SELECT a.item_id, s.r, s.doc_id,
+         CAST(sum(a.times * w.w * ((1000000000 * h.tf) // (1000 * h.tf + 12 * (75 + (25 * s.n * c.docs) // c.terms)))) AS BIGINT) AS score
+  FROM held h JOIN asked a USING (t) JOIN weights w USING (t) JOIN sized s ON s.r = h.r, corpus c GROUP BY a.item_id, s.r, s.doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules(), "op10_vector_search": vector_search()}
+    return {"op7_quality_rules": quality_rules(), "op10_vector_search": vector_search(), "op12_lexical_search": lexical_search()}
