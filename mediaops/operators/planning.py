@@ -50,12 +50,13 @@ def with_output_path(inventory: DataFrame, settings: PlanSettings) -> DataFrame:
 
 
 def plan(inventory: DataFrame, settings: PlanSettings, *, history: DataFrame | None = None,
-         listing: DataFrame | None = None) -> DataFrame:
+         listing: DataFrame | None = None, present: Column | None = None) -> DataFrame:
     """Add ``output_path``, ``decision`` (todo, skipped, blocked) and ``reason``.
 
     ``inventory`` carries the attribute columns (NULL after a failed probe).
     ``listing`` is every existing path, not filtered by extension; ``history`` the
-    stored attempts. No row is dropped: callers filter ``decision = 'todo'``.
+    stored attempts. Where the rows themselves know whether their output exists (alongside) or they are done (in place),
+    ``present`` says so and neither is needed. No row is dropped: callers filter ``decision = 'todo'``.
 
     Alongside the source, files are skipped for own_output, output_exists (not
     when forced) and source_denylist. In place, force keeps everything; otherwise
@@ -65,7 +66,7 @@ def plan(inventory: DataFrame, settings: PlanSettings, *, history: DataFrame | N
     inplace, force = settings.column("inplace"), settings.column("force")
     planned = with_output_path(inventory, settings)
 
-    exists = done = F.lit(False)
+    exists = done = F.lit(False) if present is None else is_true(present)
     if listing is not None and settings.inplace is not True and settings.force is not True:
         planned = mark_present(planned, listing.select("path"), {"path": F.col("output_path")}, "_exists")
         exists = F.col("_exists")

@@ -246,9 +246,10 @@ def attempt_outcomes(attempts: DataFrame, keys: list[str] = JOB) -> DataFrame:
 
     The first attempt alone can earn a retry, and only when hardware decoding was
     on and the encoder itself failed; ``retry_due`` marks those still without one.
+    ``attempt_no`` is a number (``packed_order`` makes one of several columns): with
+    flags and numbers alone this is a hash aggregation and needs no sort.
     """
     order = F.col("attempt_no")
-    # Flags and numbers only, so that this is a hash aggregation and needs no sort.
     grouped = attempts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("attempts"),
         F.max_by(F.col("status") == "failed", order).alias("_failed"),
@@ -277,14 +278,18 @@ def queue_counters(jobs: DataFrame, cancelled: DataFrame | None = None) -> DataF
     part of the cancellation, not an error. The moment is looked up per run after
     the jobs were counted per (run, status, second), not per job.
     """
+    failed_at = F.when(F.col("status") == "failed", F.col("updated_at")) if cancelled is not None else F.lit(None).cast("bigint")
+    grouped = jobs.groupBy("run_id", "status", failed_at.alias("failed_at")).agg(F.count(F.lit(1)).alias("n"))
+    return counters_of(grouped, cancelled)
+
+
+def counters_of(counts: DataFrame, cancelled: DataFrame | None = None) -> DataFrame:
+    """The queue counters out of job counts (run_id, status, failed_at, n); ``failed_at`` matters for failures only."""
     if cancelled is None:
-        after = F.lit(False)
-        counted = jobs.groupBy("run_id", "status").agg(F.count(F.lit(1)).alias("n"))
+        after, counted = F.lit(False), counts
     else:
-        failed_at = F.when(F.col("status") == "failed", F.col("updated_at"))
-        grouped = jobs.groupBy("run_id", "status", failed_at.alias("_at")).agg(F.count(F.lit(1)).alias("n"))
-        counted = lookup_join(grouped, cancelled.select("run_id", "cancelled_at"), ["run_id"], spread_by=["_at", "status"])
-        after = F.coalesce(F.col("_at") >= F.col("cancelled_at"), F.lit(False))
+        counted = lookup_join(counts, cancelled.select("run_id", "cancelled_at"), ["run_id"], spread_by=["failed_at", "status"])
+        after = F.coalesce(F.col("failed_at") >= F.col("cancelled_at"), F.lit(False))
     failed = F.col("status") == "failed"
     total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0).cast("bigint"))
     return counted.groupBy("run_id").agg(

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.planning import PlanSettings, plan
+from ..operators.planning import PlanSettings, plan, with_output_path
 from ..operators.runs import COUNTERS, finish_run, register_jobs, start_run
-from ..schemas import TEXT, with_field
+from ..schemas import FLAG, TEXT, with_field
 from ..sources import ledger
+from . import state
 
 log = logging.getLogger(__name__)
 
@@ -47,24 +48,29 @@ def find_changes(sightings: DataFrame, known: DataFrame | None) -> DataFrame:
     return ordered.withColumn("change", change).filter(F.col("change").isNotNull()).select(*sightings.columns, "change")
 
 
+def changed_files(snapshots: DataFrame) -> DataFrame:
+    """The sightings of a stream whose mtime differs from the path's previous one, with ``change`` (new, changed).
+
+    The memory is keyed state, one row per path on disk: a micro-batch reads its own rows and the state of
+    their paths, however long the stream has run. Rows without path are nobody's and are left out.
+    """
+    out = with_field(snapshots.schema, "change", TEXT)
+    return snapshots.filter("path is not null").groupBy("path").transformWithState(
+        state.Sightings(snapshots.columns), out, outputMode="append", timeMode="none")
+
+
 def watch_changes(snapshots: DataFrame, location: str, checkpoint: str, *, interval: str = "5 minutes",
                   once: bool = False) -> StreamingQuery:
     """Keep a log of new and changed files, one folder per micro-batch.
 
-    A path's last logged mtime is the one it was last seen with, so the log itself
-    is all the memory that is needed. A repeated batch reads only what earlier
-    batches wrote and replaces its own folder.
+    A repeated batch starts from the state before it and replaces its own folder. The log itself is never read.
     """
-    logged = with_field(with_field(snapshots.schema, "change", TEXT), "batch_id")
+    state.use_rocksdb(snapshots.sparkSession)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        known = None
-        if batch_id > 0:
-            log_so_far = batch.sparkSession.read.schema(logged).parquet(location).filter(F.col("batch_id") < batch_id)
-            known = log_so_far.groupBy("path").agg(F.max_by("mtime", "seen_at").alias("mtime"))
-        find_changes(batch, known).write.mode("overwrite").parquet(f"{location}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{location}/batch_id={batch_id}")
 
-    return _start(snapshots, store, checkpoint, interval, once)
+    return _start(changed_files(snapshots), store, checkpoint, interval, once)
 
 
 def read_changes(spark: SparkSession, location: str, snapshot_schema: StructType) -> DataFrame:
@@ -101,7 +107,12 @@ def plan_pass(batch: DataFrame, batch_id: int, settings: PlanSettings, location:
     schema = plan(seen, settings).schema
     if not _complete(spark, target):
         plan(seen, settings, history=history(), listing=listing()).write.mode("overwrite").parquet(target)
-    stored = spark.read.schema(schema).parquet(target)
+    _run_pass(spark.read.schema(schema).parquet(target), batch_id, location, act, name)
+
+
+def _run_pass(stored: DataFrame, batch_id: int, location: str, act: Callable[[DataFrame, int], DataFrame | None] | None, name: str) -> None:
+    """Register a run over the ``todo`` files of a stored plan, have it done, and close it."""
+    spark = stored.sparkSession
     todo = stored.filter(F.col("decision") == "todo")
     # The pass is dated by its snapshot, so that a repetition writes the same rows.
     facts = stored.agg(F.max(F.when(F.col("decision") == "todo", F.col("seen_at"))).alias("at"),
@@ -144,6 +155,55 @@ def watch_plan(snapshots: DataFrame, settings: PlanSettings, location: str, chec
     return _start(snapshots, one_pass, checkpoint, interval, once)
 
 
+def maintain_plan(snapshots: DataFrame, settings: PlanSettings, location: str, checkpoint: str, *,
+                  history: DataFrame | None = None, listing: DataFrame | None = None,
+                  act: Callable[[DataFrame, int], DataFrame | None] | None = None, name: str = "watch",
+                  interval: str = "5 minutes", once: bool = False) -> StreamingQuery:
+    """Keep the plan of a library up to date from what changes: a pass plans new and changed files, and files whose facts changed.
+
+    ``snapshots``, ``history`` (source_path, source_mtime, status) and ``listing`` (path; the snapshots themselves if none is given)
+    are streams. In place, a done attempt of a file's mtime is a fact about the file; alongside, the existence of its
+    output is. Both are kept as state by key, next to the file, so nothing is joined and a pass reads and stores only the files
+    it plans. ``read_current_plan`` gives the plan of all files. Runs are opened and closed as ``watch_plan`` does.
+    Mode and force are plain values here. Files that vanish keep their last plan.
+    """
+    if not isinstance(settings.inplace, bool) or not isinstance(settings.force, bool):
+        raise ValueError("mode and force must be the same for all files")
+    state.use_rocksdb(snapshots.sparkSession)
+    seen = snapshots.filter("path is not null")
+    if settings.inplace:
+        keyed = seen.withColumns({"_key": F.col("path"), "_mark": F.col("mtime")})
+        marks = None if history is None else history.filter("status = 'done' and source_path is not null and source_mtime is not null").select(
+            F.col("source_path").alias("_key"), F.col("source_mtime").alias("_mark"))
+    else:
+        keyed = with_output_path(seen, settings).withColumns({"_key": F.col("output_path"), "_mark": F.lit(0).cast("bigint")})
+        marks = (seen if listing is None else listing.filter("path is not null")).select(F.col("path").alias("_key"), F.lit(0).cast("bigint").alias("_mark"))
+    asked = keyed.select("_key", "_mark", F.lit(True).alias("_is_file"), *snapshots.columns)
+    if marks is not None and not settings.force:
+        asked = asked.unionByName(marks.withColumn("_is_file", F.lit(False)), allowMissingColumns=True)
+    facts = asked.groupBy("_key").transformWithState(
+        state.PlanFacts(snapshots.schema), with_field(snapshots.schema, "present", FLAG), outputMode="append", timeMode="none")
+    schema = plan(facts, settings).drop("present").schema
+
+    def one_pass(batch: DataFrame, batch_id: int) -> None:
+        spark, target = batch.sparkSession, f"{location}/plans/batch_id={batch_id}"
+        if not _complete(spark, target):
+            plan(batch, settings, present=F.col("present")).drop("present").write.mode("overwrite").parquet(target)
+        _run_pass(spark.read.schema(schema).parquet(target), batch_id, location, act, name)
+
+    return _start(facts, one_pass, checkpoint, interval, once)
+
+
+def read_current_plan(spark: SparkSession, location: str, schema: StructType, as_of: int | None = None) -> DataFrame:
+    """The last plan of every file, or the one after pass ``as_of``."""
+    stored = read_plans(spark, location, schema)
+    if as_of is not None:
+        stored = stored.filter(F.col("batch_id") <= as_of)
+    columns = [c for c in schema.names if c != "path"]
+    newest = stored.groupBy("path").agg(F.max_by(F.struct(*columns), "batch_id").alias("_row"))
+    return newest.select("path", "_row.*").select(*schema.names)
+
+
 def keep_watching(start: Callable[[], StreamingQuery], pause_s: float = 300.0,
                   stop: Callable[[], bool] = lambda: False) -> None:
     """Run a watch for good: a failed pass is logged and taken up again from the checkpoint."""
