@@ -189,6 +189,17 @@ def rule_violations(programs: DataFrame, rules: str = "rules") -> DataFrame:
     return checked.filter(F.col("problem").isNotNull())
 
 
+def program_violations(programs: DataFrame, rules: str = "rules") -> DataFrame:
+    """All that keeps programs from being stored: (id, rule_ix, cond_ix, problem), in place of the first.
+
+    ``missing_src`` and, where the rules text was no JSON, ``corrupt_rules`` concern the program as a whole.
+    """
+    whole = F.array_compact(F.array(
+        F.when(F.coalesce("src", F.lit("")) == "", F.lit("missing_src")), F.when(F.col(rules).isNull(), F.lit("corrupt_rules"))))
+    of_programs = programs.select("id", F.lit(None).cast("int").alias("rule_ix"), F.lit(None).cast("int").alias("cond_ix"), F.explode(whole).alias("problem"))
+    return of_programs.unionByName(rule_violations(programs, rules).select("id", "rule_ix", "cond_ix", "problem"))
+
+
 def valid_ops(field_name: Column) -> Column:
     """Comma list of the comparisons a field supports, sorted; NULL for an unknown field."""
     picked = None
@@ -276,22 +287,47 @@ def parse_manifest_lines(df: DataFrame, text: str = "line") -> DataFrame:
     return parse_rule_lines(listed.withColumn(text, rule), text)
 
 
+#: Bits of the filter of program roots: a fixed size whatever the number of programs.
+ROOT_BITS = 1 << 16
+
+
+def _bit(root: Column) -> Column:
+    return F.pmod(F.xxhash64(root), F.lit(ROOT_BITS)).cast("int")
+
+
+def _root_filter(roots: DataFrame) -> DataFrame:
+    """One row with a bit for each hash of a root, as an array of 64-bit words."""
+    words = roots.groupBy(F.shiftright(_bit(F.col("_root")), 6).alias("id")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit(F.col("_root")).bitwiseAND(F.lit(63)))).alias("bits"))
+    every = roots.sparkSession.range(ROOT_BITS // 64).select(F.col("id").cast("int").alias("id")).join(words, "id", "left")
+    pairs = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
+    return every.agg(F.transform(pairs, lambda p: p["bits"]).alias("words"))
+
+
 def assign_programs(files: DataFrame, programs: DataFrame) -> DataFrame:
     """Pair each file with every program that scans it.
 
     A program scans the tree under its ``src`` for the extensions in its ``ext``
     array. "Lies under" is turned into equality by listing the directories above
-    each file, so this is an equi-join and not a comparison of all pairs.
+    each file, so this is an equi-join and not a comparison of all pairs. Of those directories only the ones that
+    pass a small filter of all roots become rows, about as many as there are matches; they are joined on root and extension, and the
+    rules are attached to what is left.
     """
-    roots = programs.select(
-        F.col("id").alias("program_id"),
-        paths.normalize_root(F.col("src")).alias("_root"),
-        F.transform("ext", lambda e: F.lower(F.ltrim(F.trim(e), F.lit(".")))).alias("_exts"),
-        prepare_rules(F.col("rules")).alias("rules"),
-    )
-    placed = files.withColumn("_root", F.explode(paths.ancestors(F.col("path"))))
-    paired = lookup_join(placed, roots, ["_root"], spread_by=["path"], how="inner")
-    return paired.filter(F.array_contains("_exts", F.col("ext"))).drop("_root", "_exts")
+    scanned = programs.select(
+        F.col("id").alias("program_id"), paths.normalize_root(F.col("src")).alias("_root"),
+        F.explode(F.array_distinct(F.transform("ext", lambda e: F.lower(F.ltrim(F.trim(e), F.lit("."))))))
+        .alias("_ext"))
+    roots = programs.select(paths.normalize_root(F.col("src")).alias("_root")).filter("_root IS NOT NULL")
+    words = _root_filter(roots).scalar()
+
+    def known(directory: Column) -> Column:
+        word = F.get(F.col("_roots"), F.shiftright(_bit(directory), 6))
+        return F.call_function("shiftright", word, _bit(directory).bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+    placed = files.withColumn("_roots", words).withColumn("_root", F.explode(F.filter(paths.ancestors(F.col("path")), known))).drop("_roots").withColumn("_ext", F.col("ext"))
+    paired = lookup_join(placed, scanned, ["_root", "_ext"], spread_by=["path"], how="inner").drop("_root", "_ext")
+    ruled = programs.select(F.col("id").alias("program_id"), prepare_rules(F.col("rules")).alias("rules"))
+    return lookup_join(paired, ruled, ["program_id"], spread_by=["path"], how="inner")
 
 
 def run_programs(files: DataFrame, programs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import ArrayType, DataType
 
 from .. import schemas
 from ..functions import codecs
@@ -34,6 +34,8 @@ TEXT_SETTINGS = {
 }
 INTEGER_SETTINGS = {"crf": True, "decode_threads": False}
 BOOLEAN_SETTINGS = ["inplace", "force", "skip_hardlinked", "allow_hdr_loss"]
+#: Lists that a layer replaces as a whole, and what holds when none gives one; profiles have none of them.
+LIST_SETTINGS = {"ext": ["mkv", "mp4", "avi"], "skip_source_codecs": []}
 #: applied when no layer sets a value
 DEFAULTS = {
     "codec": "h265", "preset": "medium", "audio_codec": "copy", "audio_bitrate": "", "container": "", "subs": "copy",
@@ -96,6 +98,18 @@ def _layer(layer: DataFrame, key: str, prefix: str) -> DataFrame:
     return layer.select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in layer.columns if c != key])
 
 
+def listed(df: DataFrame, name: str, empty_is_unset: bool = False) -> Column:
+    """A list setting of a layer as an array: an array as it is, text (and an array of one text, as a variable gives it) cut at its commas.
+
+    Blanks around items and empty items are dropped. An empty list is a value; with ``empty_is_unset``, empty text is none.
+    """
+    value = F.col(name)
+    cut = lambda text: F.filter(F.transform(F.split(text, ","), lambda item: F.trim(item)), lambda item: item != "")
+    if isinstance(df.schema[name].dataType, ArrayType):
+        return F.when(F.size(value) == 1, cut(F.get(value, F.lit(0)))).otherwise(value)
+    return cut(F.nullif(value, F.lit("")) if empty_is_unset else value)
+
+
 def resolve_settings(jobs: DataFrame, profiles: DataFrame, *, job_key: str = "job_id",
                      env: tuple[DataFrame, str] | None = None,
                      config: tuple[DataFrame, str] | None = None) -> DataFrame:
@@ -106,7 +120,7 @@ def resolve_settings(jobs: DataFrame, profiles: DataFrame, *, job_key: str = "jo
     carries the explicit settings as columns (NULL = not given) and ``profile``;
     ``env`` and ``config`` are pairs of a layer table and the job column it is
     keyed by; an empty text in ``env`` counts as not given. ``extra_args`` is the profile's list
-    followed by the job's.
+    followed by the job's. ``ext`` and ``skip_source_codecs`` are lists, or text with commas, of which the first layer's replaces the others'.
     """
     given = jobs
     prefixes = ["job"]
@@ -133,6 +147,10 @@ def resolve_settings(jobs: DataFrame, profiles: DataFrame, *, job_key: str = "jo
             picked = F.coalesce(F.nullif(picked, F.lit("")), F.lit(DEFAULTS[name]))
         return picked
 
+    def first_list(name: str) -> Column:
+        given = [listed(layered, f"{p}_{name}", p == "env") for p in prefixes if f"{p}_{name}" in layered.columns]
+        return F.coalesce(*given, F.array(*map(F.lit, LIST_SETTINGS[name])).cast("array<string>"))
+
     none = F.array().cast("array<string>")
     extra = [F.coalesce("profile_extra_args", none)]
     own = [F.col(f"{p}_extra_args") for p in prefixes if f"{p}_extra_args" in layered.columns]
@@ -147,6 +165,7 @@ def resolve_settings(jobs: DataFrame, profiles: DataFrame, *, job_key: str = "jo
         *[first_given(n, p, False).cast("int").alias(n) for n, p in INTEGER_SETTINGS.items()],
         *[first_given(n, False, False).alias(n) for n in BOOLEAN_SETTINGS],
         F.concat(*extra).alias("extra_args"),
+        *[first_list(n).alias(n) for n in LIST_SETTINGS],
     )
 
 

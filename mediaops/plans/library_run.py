@@ -11,6 +11,7 @@ from ..operators.capability import decode_route, resolve_codec, resolve_encoder
 from ..operators.joins import lookup_join
 from ..operators.planning import PlanSettings, plan
 from ..operators.work_orders import work_orders
+from ..sources.inventory import listed_extension
 
 DECIDING_ATTRS = ["probe_ok", "video_codec", "profile", "pix_fmt", "surface_depth", "dolby_vision"]
 
@@ -34,14 +35,18 @@ def library_run(inventory: DataFrame, attrs: DataFrame, settings: DataFrame, cap
     ``inventory`` names each file's ``job_id``; ``settings`` is the output of
     ``resolve_settings`` with the ``host`` of each job. The codec a host can encode
     in hardware is settled before planning, so that the already-in-target test
-    looks for what would really be produced.
+    looks for what would really be produced. Files whose ``ext`` is not among those of their job are not part of the run.
     """
     jobs = resolve_jobs(settings, capability, platform)
     # Files and settings both have an audio_codec and a profile. Of the files only what the
     # decisions need is taken, of the settings all but the name of their profile.
     jobs = jobs.drop("profile", "profile_known")
     known = attach_attrs(inventory, attrs.select("path", *DECIDING_ATTRS))
+    if "ext" in jobs.columns:
+        jobs = jobs.withColumnRenamed("ext", "_exts")
     files = lookup_join(known, jobs, ["job_id"], spread_by=["path"], how="inner")
+    if "_exts" in files.columns:
+        files = (files.filter(listed_extension(F.col("ext"), F.col("_exts"))) if "ext" in inventory.columns else files).drop("_exts")
     planned = plan(files, PlanSettings.from_columns(files), history=history, listing=listing)
     routed = decode_route(planned, verdicts)
     ready = routed.withColumns({

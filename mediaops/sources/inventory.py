@@ -6,7 +6,7 @@ import os
 import stat
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -23,6 +23,11 @@ def filter_extensions(inventory: DataFrame, extensions: list[str]) -> DataFrame:
     return inventory.filter(F.col("ext").isin(wanted))
 
 
+def listed_extension(ext: Column, extensions: Column) -> Column:
+    """Whether a row's own list (an array) allows its extension."""
+    return F.array_contains(F.transform(extensions, lambda e: F.regexp_replace(F.lower(F.trim(e)), r"^\.", "")), F.lower(ext))
+
+
 def read_inventory(spark: SparkSession, location: str, fmt: str = "parquet", extensions: list[str] | None = None,
                    **options) -> DataFrame:
     """An inventory table or manifest (parquet, csv, json, orc)."""
