@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import progress
 from ..functions.columns import format_epoch
+from ..sources.ledger import history_months, read_history
 
 
 def recent_history(history: DataFrame, limit: int = 20, *, failed_only: bool = False,
@@ -20,6 +21,23 @@ def recent_history(history: DataFrame, limit: int = 20, *, failed_only: bool = F
     return with_display(newest, zone)
 
 
+def recent_stored_history(spark: SparkSession, location: str, limit: int = 20, *, failed_only: bool = False,
+                          tie_break: tuple[str, ...] = ("source_path",), zone: str = "UTC") -> DataFrame:
+    """``recent_history`` of the ledger, reading the newest months only.
+
+    Months are taken from the newest on, twice as many each time, until they hold enough rows: no row of an earlier month
+    can then be among the newest. If even all months hold fewer, all are read. Rows without completion time come last.
+    """
+    stored, months = read_history(spark, location), history_months(spark, location)
+    taken = 1
+    while True:
+        chosen = stored if taken >= len(months) else stored.filter(F.col("completed_month").isin(months[:taken]))
+        newest = chosen.filter(F.col("status") == "failed") if failed_only else chosen
+        if taken >= len(months) or newest.select("status").limit(limit).count() == limit:
+            return recent_history(chosen, limit, failed_only=failed_only, tie_break=tie_break, zone=zone)
+        taken *= 2
+
+
 def with_display(history: DataFrame, zone: str = "UTC") -> DataFrame:
     """Add completion time as text, elapsed time as text and the encoder's label."""
     return history.withColumns({

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import codecs, paths, probe, progress
+from ..functions.packing import packed_order
 from ..operators import attributes, capability, history, planning, rules, runs, settings, work_orders
 from ..operators.planning import PlanSettings
 from ..operators.rules import Cond, Rule
-from ..sources import inventory, ledger, probes
+from ..sources import inventory, ledger, listing, manifests, probes
 from ..sources.inventory import filter_extensions, list_paths
 from ..sources.programs import list_programs, read_programs
 from ..sources.workspace import work_dir
@@ -60,6 +62,11 @@ def _text(array: str | Column) -> Column:
     return F.array_join(array, " ")
 
 
+def _rule_text(column: str) -> Column:
+    line = lambda r: rules.render_rule_line(r["when"], r["do"]["cmd"], r["do"]["args"])
+    return F.array_join(F.transform(column, line), "; ")
+
+
 # --- inventory and probe ---------------------------------------------------
 
 @query
@@ -76,6 +83,34 @@ def inventory_read(v: Views) -> DataFrame:
     return inventory.read_inventory(v.spark, location, extensions=["MKV", ".mp4"]).select("path", "ext", "size", "mtime", "links")
 
 
+def _grow_tree(rows: DataFrame, root: str) -> None:
+    """Makes files, links and hard links of the rows below ``root``; making them again changes nothing."""
+    def make(some) -> None:
+        for row in some:
+            path = f"{root}/{row.rel_path}"
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as file:
+                file.write(b"x" * row.bytes)
+            os.utime(path, (row.mtime, row.mtime))
+            for name, link in ((row.symlink, os.symlink), (row.hard_link, os.link)):
+                if name and not os.path.lexists(f"{root}/{name}"):
+                    link(path, f"{root}/{name}")
+            if row.broken_link and not os.path.lexists(f"{root}/{row.broken_link}"):
+                os.symlink(f"{path}.gone", f"{root}/{row.broken_link}")
+            if row.loop and not os.path.lexists(f"{root}/{row.loop}"):
+                os.symlink(root, f"{root}/{row.loop}")
+
+    rows.foreach(lambda row: make([row]))
+
+
+@query
+def inventory_live(v: Views) -> DataFrame:
+    """A tree made of the customers, with links, broken links and loops, listed by the data source."""
+    root = work_dir(v.spark, "tree").removeprefix("file://").removeprefix("file:")
+    _grow_tree(t.select(v.table("customer"), t.TREE), root)
+    return listing.live_inventory(v.spark, root, ["mkv", ".MP4"]).select("rel_path", "ext", "size", "mtime", "links", "is_symlink")
+
+
 @query
 def each_path(v: Views) -> DataFrame:
     return list_paths(filter_extensions(v.library(), ["mkv", "mp4", "avi"]))
@@ -160,6 +195,38 @@ def rule_violations(v: Views) -> DataFrame:
     return rules.rule_violations(read_programs(v.draft_programs()))
 
 
+@query
+def program_violations(v: Views) -> DataFrame:
+    """All that is wrong with stored programs, a third of which name no root."""
+    part = F.col("id").cast("bigint")
+    src = F.when(part % 3 == 0, "").when(part % 7 != 1, F.col("src"))
+    return rules.program_violations(read_programs(v.draft_programs().withColumn("src", src)))
+
+
+def _manifests(v: Views) -> DataFrame:
+    return manifests.parse_manifests(v.scripts())
+
+
+@query
+def manifest_programs(v: Views) -> DataFrame:
+    return _manifests(v).select(
+        "script_id", "name", "schedule", "src", F.array_join("ext", "|").alias("ext"), _rule_text("rules").alias("rules"), F.size("errors").alias("n_errors"))
+
+
+@query
+def manifest_errors(v: Views) -> DataFrame:
+    return manifests.manifest_errors(_manifests(v))
+
+
+@query
+def manifest_round_trip(v: Views) -> DataFrame:
+    """The stored programs written as manifests and read again; conditions on values with blanks or none would not survive."""
+    stored = read_programs(v.programs())
+    text = manifests.render_manifest(F.col("name"), F.col("schedule"), F.col("src"), F.col("ext"), F.col("rules"))
+    again = manifests.parse_manifests(stored.select("id", F.concat(F.lit("set -e\n"), text, F.lit("\nexit 0")).alias("text")), "id")
+    return again.select("id", "name", "schedule", "src", F.array_join("ext", "|").alias("ext"), _rule_text("rules").alias("rules"), F.size("errors").alias("n_errors"))
+
+
 @query
 def rule_lines(v: Views) -> DataFrame:
     parsed = rules.parse_rule_lines(v.rule_lines())
@@ -263,7 +330,7 @@ def profile_catalog(v: Views) -> DataFrame:
 
 @query
 def settings_resolve(v: Views) -> DataFrame:
-    return _settings(v).withColumn("extra_args", _text("extra_args"))
+    return _settings(v).withColumns({c: _text(c) for c in ("extra_args", "ext", "skip_source_codecs")})
 
 
 @query
@@ -336,7 +403,7 @@ def command_manifest(v: Views) -> DataFrame:
 @query
 def library_run(v: Views) -> DataFrame:
     """Whole runs: probe text parsed, jobs settled on their hosts, files planned and routed, commands built."""
-    inventory = v.library().select("file_id", "path", "rel_path", "mtime", "links", (F.col("file_id") % 10).alias("job_id"))
+    inventory = v.library().select("file_id", "path", "rel_path", "ext", "mtime", "links", (F.col("file_id") % 10).alias("job_id"))
     attrs = attributes.parse_attrs(v.probe_text())
     done = run_library(
         inventory, attrs, v.host_jobs(), v.capability(), capability.shape_verdict(v.evidence()),
@@ -460,7 +527,7 @@ def run_documents(v: Views) -> DataFrame:
 
 
 def _attempts(v: Views) -> DataFrame:
-    order = F.struct("completed_at", "l_linenumber", "l_partkey", "l_suppkey")
+    order = packed_order(F.col("completed_at"), *[(F.col(c), 9) for c in ("l_linenumber", "l_partkey", "l_suppkey")])
     return v.transcodes().withColumn("attempt_no", order)
 
 
@@ -502,6 +569,15 @@ def recent_history(v: Views) -> DataFrame:
     return history.recent_history(v.transcodes(), tie_break=tuple(t.TIE_BREAK)).select(*_REPORT)
 
 
+@query
+def recent_history_stored(v: Views) -> DataFrame:
+    """The newest attempts of a ledger, of which only the last months are read."""
+    location = work_dir(v.spark, "recent-history")
+    ledger.append_history(v.transcodes(), location)
+    newest = history.recent_stored_history(v.spark, location, tie_break=("source_path", "source_size", "crf", "elapsed_ms", "output_size"))
+    return newest.select("completed_at", "source_path", "source_size", "crf", "output_size", "status", "completed", "elapsed", "encoder_label")
+
+
 @query
 def recent_failed(v: Views) -> DataFrame:
     newest = history.recent_history(v.transcodes(), 50, failed_only=True, tie_break=tuple(t.TIE_BREAK))
@@ -602,7 +678,7 @@ def changed_files_stream(v: Views) -> DataFrame:
 
 @query
 def watch_twice(v: Views) -> DataFrame:
-    """Two passes in place: the first does everything, the second only what changed since."""
+    """Two passes in place: the first does everything, the second plans what changed since. The plan of all files after each."""
     spark = v.spark
     location, done, inbox = work_dir(spark, "watch"), work_dir(spark, "watch-history"), work_dir(spark, "watch-inbox")
     checkpoint = work_dir(spark, "watch-checkpoint")
@@ -617,8 +693,7 @@ def watch_twice(v: Views) -> DataFrame:
 
     v.transcodes().select("source_path", "source_mtime", "status").write.parquet(f"{done}/batch_id=-1")
 
-    def attempts() -> DataFrame:
-        return spark.read.parquet(done)
+    attempts = v.transcodes().select("source_path", "source_mtime", "status").schema
 
     for n in range(2):
         changed = F.when((F.col("file_id") % 20 == 1) & F.lit(n == 1), 7).otherwise(0)
@@ -626,15 +701,15 @@ def watch_twice(v: Views) -> DataFrame:
 
         def start():
             snapshots = watch.snapshot_stream(spark, f"{inbox}/s=*", rows.schema)
-            return watch.watch_plan(
-                snapshots, chosen, location, checkpoint, history=attempts, act=act, once=True, name="watch-twice"
+            history = spark.readStream.schema(attempts).parquet(f"{done}/batch_id=*")
+            return watch.maintain_plan(
+                snapshots, chosen, location, checkpoint, history=history, act=act, once=True, name="watch-twice"
             )
 
         _to_the_end(spark, start)
     planned = planning.plan(rows, chosen).schema
-    return watch.read_plans(spark, location, planned).select(
-        "file_id", F.col("seen_at").alias("pass"), "mtime", "decision", "reason"
-    )
+    passes = [watch.read_current_plan(spark, location, planned, as_of=n).withColumn("pass", F.lit(n).cast("bigint")) for n in range(2)]
+    return passes[0].unionByName(passes[1]).select("file_id", "pass", "mtime", "decision", "reason")
 
 
 def _event_stream(v: Views) -> DataFrame:
@@ -646,11 +721,26 @@ def _event_stream(v: Views) -> DataFrame:
     return reader.parquet(location)
 
 
+def _to_the_end_of_runs(v: Views, write) -> None:
+    """Stream the job events, restart, and close every run a minute after its last event.
+
+    The files of events may be read in any order, so rows are late only after the month they span; a last row moves time on beyond that.
+    """
+    location = work_dir(v.spark, "closings")
+    events = _event_stream(v)
+    ended = _job_events(v.progress()).groupBy("run_id").agg((F.max("ts") + 60).cast("bigint").alias("ts"))
+    closings = v.spark.readStream.schema(ended.schema).parquet(f"{location}/s=*")
+    changes = job_streams.open_job_states(events, closings, _registered(v), late="31 days")
+    _to_the_end(v.spark, lambda: write(changes))
+    after = ended.agg((F.max("ts") + 32 * 86400).alias("ts")).select(F.lit(None).cast(ended.schema["run_id"].dataType).alias("run_id"), "ts")
+    ended.unionByName(after).write.parquet(f"{location}/s=1")
+    _to_the_end(v.spark, lambda: write(changes))
+
+
 @query
 def job_state_stream(v: Views) -> DataFrame:
     out, checkpoint = work_dir(v.spark, "states"), work_dir(v.spark, "states-checkpoint")
-    states = job_streams.job_state_stream(_event_stream(v), _registered(v))
-    _to_the_end(v.spark, lambda: job_streams.write_job_state(states, out, checkpoint, availableNow=True))
+    _to_the_end_of_runs(v, lambda changes: job_streams.write_job_state(job_streams.job_updates(changes), out, checkpoint, availableNow=True))
     stored = v.spark.read.option("basePath", out).parquet(f"{out}/batch_id=*")
     return job_streams.newest_state(stored)
 
@@ -658,6 +748,5 @@ def job_state_stream(v: Views) -> DataFrame:
 @query
 def queue_counters_stream(v: Views) -> DataFrame:
     out, checkpoint = work_dir(v.spark, "counters"), work_dir(v.spark, "counters-checkpoint")
-    states = job_streams.job_state_stream(_event_stream(v), _registered(v))
-    _to_the_end(v.spark, lambda: job_streams.write_queue_counters(states, out, checkpoint, availableNow=True))
+    _to_the_end_of_runs(v, lambda changes: job_streams.write_open_counters(changes, out, checkpoint, availableNow=True))
     return job_streams.newest_counters(v.spark.read.parquet(f"{out}/counters"))

@@ -18,6 +18,7 @@ _VIEWS = {
     "programs": t.sql_select(t.PROGRAMS, "customer"),
     "region_programs": t.sql_select(t.REGION_PROGRAMS, "region"),
     "rule_text": t.sql_select(t.RULE_LINES, "orders"),
+    "tree": t.sql_select(t.TREE, "customer"),
     "user_profiles": t.sql_select(t.USER_PROFILES, "supplier"),
     "job_specs": t.sql_select(t.JOB_SPECS, "orders"),
     "env_layer": t.sql_select(t.ENV_LAYER, "customer"),
@@ -47,12 +48,13 @@ _VIEWS = {
            UNION ALL SELECT host, codec, backend, backend, main10, 0 FROM usable) GROUP BY ALL) b
           ON b.host = r.host AND b.codec = a.probe_name AND b.mode = r.hwaccel""",
     "job_files": f"""SELECT s.file_id, s.path, s.stem, s.links, s.mtime, s.video_codec, s.dolby_vision, s.profile, s.pix_fmt,
-          j.job_id, j.codec, j.inplace, j.skip_hardlinked, j.allow_hdr_loss, j.hwdecode, j.main10, j.job_backend, j.probe_name, j.software,
+          j.job_id, j.skip_text, j.codec, j.inplace, j.skip_hardlinked, j.allow_hdr_loss, j.hwdecode, j.main10, j.job_backend, j.probe_name, j.software,
           CASE WHEN pix_fmt IN ('yuv420p', 'nv12') THEN 8 WHEN pix_fmt = 'yuv420p10le' THEN 10 WHEN pix_fmt IS NOT NULL THEN 0 END AS depth,
           coalesce(j.job_backend <> '' AND s.pix_fmt <> '', false) AS known, dotted,
           CASE WHEN inplace THEN path ELSE regexp_replace(path, '\\.[^./]*$', '') || '.out'
             || CASE WHEN container = '' THEN dotted ELSE '.' || container END END AS output_path
-        FROM stems s JOIN settled j ON j.job_id = s.file_id % 10""",
+        FROM stems s JOIN settled j ON j.job_id = s.file_id % 10
+        WHERE list_contains(list_transform(string_split(lower(j.ext_text), ' '), lambda x: ltrim(x, '.')), s.ext)""",
     # planning
     "stems": """SELECT *, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^./]*$', '') AS stem,
         regexp_extract(path, '(\\.[^./]*)$', 1) AS dotted FROM library""",
@@ -110,7 +112,10 @@ _VIEWS = {
           ltrim(coalesce(j.container, c.container, nullif(p.container, ''), ''), '.') AS container,
           coalesce(j.crf, e.crf, p.crf, 23) AS crf, coalesce(j.decode_threads, 0) AS decode_threads,
           coalesce(j.inplace, false) AS inplace, false AS force, false AS skip_hardlinked, false AS allow_hdr_loss,
-          concat_ws(' ', nullif(p.extra_args, ''), nullif(j.extra_text, '')) AS extra_args
+          concat_ws(' ', nullif(p.extra_args, ''), nullif(j.extra_text, '')) AS extra_args,
+          coalesce(replace(j.ext_text, ',', ' '), CASE WHEN e.ext <> '' THEN array_to_string(list_filter(list_transform(string_split(e.ext, ','), lambda x: trim(x)), lambda x: x <> ''), ' ') END,
+            c.ext_text, 'mkv mp4 avi') AS ext,
+          coalesce(j.skip_text, replace(nullif(e.skip_source_codecs, ''), ',', ' '), c.skip_text, '') AS skip_source_codecs
         FROM job_specs j LEFT JOIN env_layer e ON e.owner = j.owner LEFT JOIN config_layer c ON c.site = j.site
         LEFT JOIN profiles p ON p.name = j.profile""",
 }
@@ -259,6 +264,10 @@ def oracle_sql() -> dict[str, str]:
     add("inventory_read", ["library"], "SELECT path, ext, size, mtime, links FROM library WHERE ext IN ('mkv', 'mp4')")
     add("probe_read", ["library"], """SELECT path, probe_ok, video_codec, audio_codec, height,
         CASE WHEN probe_ok THEN CASE WHEN file_id % 23 = 0 THEN 0 WHEN file_id % 37 = 0 THEN 1000000000000000 ELSE bitrate END END AS bitrate FROM library""")
+    add("inventory_live", ["tree"], """SELECT f.rel_path, regexp_extract(lower(f.rel_path), '([^.]*)$', 1) AS ext, CAST(bytes AS BIGINT) AS size, mtime,
+        CASE WHEN hard_link IS NULL THEN 1 ELSE 2 END::BIGINT AS links, is_symlink
+        FROM (SELECT *, false AS is_symlink FROM tree UNION ALL SELECT * REPLACE (symlink AS rel_path), true FROM tree WHERE symlink IS NOT NULL
+              UNION ALL SELECT * REPLACE (hard_link AS rel_path), false FROM tree WHERE hard_link IS NOT NULL) f WHERE regexp_matches(f.rel_path, '\\.(mkv|mp4)$', 'i')""")
     add("each_path", ["library"], "SELECT path FROM library WHERE ext IN ('mkv', 'mp4', 'avi')")
     add("probe_attrs", ["library"], """SELECT file_id, path, probe_ok, video_codec, audio_codec,
         CASE WHEN probe_ok THEN profile END AS profile, pix_fmt,
@@ -298,6 +307,27 @@ def oracle_sql() -> dict[str, str]:
         LEFT JOIN (VALUES ('codec', ['eq', 'ne']), ('audio', ['eq', 'ne']), ('ext', ['eq', 'ne']), ('height', ['ge', 'gt', 'le', 'lt']),
           ('width', ['gt', 'lt']), ('bitrate', ['gt', 'lt']), ('duration', ['gt', 'lt'])) v(name, ops) ON v.name = d.field
         WHERE v.ops IS NULL OR NOT list_contains(v.ops, op)""")
+    add("program_violations", [], f"""SELECT CAST(p_partkey AS STRING) AS id, CAST(NULL AS INTEGER) AS rule_ix, CAST(NULL AS INTEGER) AS cond_ix, 'missing_src' AS problem
+        FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 7 = 1
+        UNION ALL SELECT id, rule_ix, cond_ix, problem FROM ({sql["rule_violations"]})""")
+    both = "'when height gt ' || script_id || ' and codec ne hevc do transcode --crf 20; do skip'"
+    add("manifest_programs", [], f"""SELECT script_id, CASE WHEN kind IN (0, 1, 3, 4, 6, 7) THEN '' ELSE c_name END AS name,
+        CASE WHEN kind > 7 THEN '0 ' || (script_id % 24) || ' * * *' ELSE '' END AS schedule,
+        CASE WHEN kind IN (0, 1, 2, 6, 7) THEN '' ELSE '/lib/' || c_nationkey END AS src,
+        CASE WHEN kind = 5 THEN '.MP4|avi' WHEN kind > 7 THEN 'mkv|mp4' ELSE 'mkv|mp4|avi' END AS ext,
+        CASE WHEN kind IN (2, 3) OR kind > 7 THEN {both} ELSE '' END AS rules,
+        CASE kind WHEN 3 THEN 3 WHEN 4 THEN 3 WHEN 5 THEN 0 ELSE CASE WHEN kind > 7 THEN 0 ELSE 1 END END AS n_errors
+        FROM (SELECT c_custkey AS script_id, c_custkey % 12 AS kind, c_name, c_nationkey FROM customer)""")
+    add("manifest_errors", [], """SELECT c_custkey AS script_id, line_no, error, text FROM customer JOIN (VALUES
+        (0, NULL, 'no_block', NULL), (1, NULL, 'block_not_closed', NULL), (2, NULL, 'missing_src', NULL), (3, 5, 'invalid_op', 'when codec gt hevc do transcode'),
+        (3, 8, 'unknown_field', 'when size eq 1 do skip'), (3, 9, 'expected_do', 'do'), (4, 3, 'missing_do', 'when codec ne hevc transcode'),
+        (4, 4, 'bad_condition', 'when codec ne do skip'), (4, 5, 'expected_do', 'transcode'), (6, NULL, 'missing_src', NULL), (7, NULL, 'no_block', NULL)
+        ) e(kind, line_no, error, text) ON c_custkey % 12 = kind""")
+    add("manifest_round_trip", ["programs"], """SELECT id, name, schedule, src, CASE WHEN ext = '' THEN 'mkv|mp4|avi' ELSE replace(ext, ',', '|') END AS ext,
+        CASE CAST(id AS BIGINT) % 5 WHEN 2 THEN 'when codec ne hevc do transcode --codec h265; do skip'
+          WHEN 3 THEN 'when height ge ' || (c_nationkey * 100) || ' and ext eq MKV do check'
+          WHEN 4 THEN 'when duration lt ' || (c_nationkey * 100) || '.5 do transcode --crf 20; when bitrate gt fast do check' ELSE '' END AS rules, 0 AS n_errors
+        FROM programs JOIN customer ON CAST(c_custkey AS STRING) = id""")
     add("rule_lines", ["rule_text"], _rule_line_sql().lstrip())
     region = lambda what: _stored_rule("(r_regionkey + 2)", "(r_regionkey * 4)", what)
     add("program_assign", ["library"], f"""SELECT file_id, CAST(r_regionkey AS STRING) AS program_id, {region('ix')} AS rule_ix, {region('cmd')} AS cmd,
@@ -369,7 +399,7 @@ def oracle_sql() -> dict[str, str]:
         (SELECT *, {_mapped('route_backend', 'route_encoder', 'route_preset')} AS mapped, regexp_extract(path, '(\\.[^./]*)$', 1) AS dotted,
           regexp_replace(path, '\\.[^./]*$', '') || '.transcoded' || regexp_extract(path, '(\\.[^./]*)$', 1) AS working_path FROM routes)""", _ROUTE)
 
-    add("library_run", ["job_files", "transcodes", "listing", "verdicts"], f"""SELECT file_id, job_id, codec, output_path, {_DECISION}, reason,
+    add("library_run", ["codec_alias", "job_files", "transcodes", "listing", "verdicts"], f"""SELECT file_id, job_id, codec, output_path, {_DECISION}, reason,
         CASE WHEN sw OR job_backend = '' THEN software ELSE probe_name || '_' || job_backend END AS encoder,
         CASE WHEN sw THEN '' ELSE job_backend END AS backend,
         CASE WHEN known AND NOT sw AND hwdecode = 'auto' AND verdict THEN job_backend ELSE '' END AS decode_backend,
@@ -381,6 +411,8 @@ def oracle_sql() -> dict[str, str]:
               WHEN f.video_codec = probe_name THEN 'already_target' END
             WHEN {_OWN} THEN 'own_output'
             WHEN EXISTS (SELECT 1 FROM listing x WHERE x.path = f.output_path) THEN 'output_exists' END,
+            CASE WHEN f.video_codec IN (SELECT coalesce(a.probe_name, i.item) FROM (SELECT unnest(string_split(lower(f.skip_text), ' ')) AS item) i
+              LEFT JOIN codec_alias a ON a.alias = i.item) AND f.video_codec <> '' THEN 'source_denylist' END,
             CASE WHEN dolby_vision AND NOT allow_hdr_loss THEN 'dolby_vision' END) AS reason
           FROM job_files f LEFT JOIN verdicts v ON v.backend = f.job_backend AND v.codec = f.video_codec AND v.profile = f.profile AND v.pix_fmt = f.pix_fmt)""")
     add("run_register", ["stems", "listing"], "SELECT 'run-1' AS run_id, path AS source_path, 'queued' AS status, 0.0::DOUBLE AS pct, '' AS speed, 1000000000::BIGINT AS ts, (-1)::BIGINT AS seq FROM alongside WHERE reason IS NULL", _ALONGSIDE)
@@ -433,6 +465,8 @@ def oracle_sql() -> dict[str, str]:
 
     order = "ORDER BY completed_at DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey"
     add("recent_history", ["transcodes"], f"{_REPORT} {order} LIMIT 20")
+    add("recent_history_stored", ["transcodes"], _REPORT.replace("source_path, completed_at", "source_path, completed_at, source_size, output_size")
+        + " ORDER BY completed_at DESC, source_path, source_size, crf, elapsed_ms, output_size LIMIT 20")
     add("recent_failed", ["transcodes"], f"{_REPORT} WHERE status = 'failed' {order} LIMIT 50")
     add("space_saved", ["transcodes"], f"SELECT {_SAVED} FROM transcodes")
     add("savings_rollup", ["transcodes"], f"SELECT encoder, target_codec, CAST(grouping(encoder, target_codec) AS INT) AS level, count(*) AS attempts, {_SAVED} FROM transcodes GROUP BY ROLLUP (encoder, target_codec)")

@@ -184,6 +184,44 @@ RULE_LINES = [
         ELSE 'when nosuchfield eq ' || CAST(o_orderkey AS STRING) || ' do transcode' END"""),
 ]
 
+_FOLDER = "'n' || CAST(c_nationkey AS STRING) || '/m' || CAST(c_custkey % 4 AS STRING) || '/'"
+#: a file of a tree per customer, some with links
+TREE = [
+    ("rel_path", f"{_FOLDER} || CAST(c_custkey AS STRING) || CASE c_custkey % 5 WHEN 0 THEN '.mkv' WHEN 1 THEN '.MP4' WHEN 2 THEN '.txt' WHEN 3 THEN '.a.mkv' ELSE '' END"),
+    ("bytes", "CAST(c_custkey % 100 AS INT)"), ("mtime", "1600000000 + c_custkey"),
+    ("symlink", f"CASE WHEN c_custkey % 20 = 0 THEN {_FOLDER} || 'link-' || CAST(c_custkey AS STRING) || '.mp4' END"),
+    ("hard_link", f"CASE WHEN c_custkey % 30 = 10 THEN {_FOLDER} || 'hard-' || CAST(c_custkey AS STRING) || '.mkv' END"),
+    ("broken_link", f"CASE WHEN c_custkey % 50 = 0 THEN {_FOLDER} || 'broken-' || CAST(c_custkey AS STRING) || '.mkv' END"),
+    ("loop", f"CASE WHEN c_custkey % 60 = 0 THEN {_FOLDER} || 'loop-' || CAST(c_custkey AS STRING) || '.mkv' END"),
+]
+
+
+def _lines(*texts: str) -> str:
+    """SQL for these lines; what stands in braces is an expression."""
+    spelled = [re.sub(r"\{(.*?)\}", r"' || CAST(\1 AS STRING) || '", x) for x in texts]
+    return " || ".join(f"'{x}' || chr(10)" for x in spelled)
+
+
+_HEAD, _OPEN, _SRC = ("#!/bin/sh", "# name: outside"), "# >>> mediaops:manifest v1 >>>", "#src:  /lib/{c_nationkey} "
+_CLOSE = ("# <<< mediaops:manifest <<<", "echo done # rule: do check")
+_BOTH_RULES = ("# rule: when height gt {c_custkey} and codec ne hevc do transcode --crf 20", "# rule: do skip")
+_NAME = "# name: {c_name}"
+#: scripts with a manifest block, one per customer: whole ones, ones with other lines and repeated fields, and one for each thing that can be wrong
+SCRIPTS = [
+    ("script_id", "c_custkey"),
+    ("text", f"""CASE c_custkey % 12
+        WHEN 0 THEN {_lines(*_HEAD, "echo none")}
+        WHEN 1 THEN {_lines(*_HEAD, _OPEN, _NAME, _SRC, *_BOTH_RULES)}
+        WHEN 2 THEN {_lines(*_HEAD, _OPEN, _NAME, "# src:", *_BOTH_RULES, *_CLOSE)}
+        WHEN 3 THEN {_lines(*_HEAD, _OPEN, _SRC, "# rule: when codec gt hevc do transcode", *_BOTH_RULES, "# rule: when size eq 1 do skip", "# rule: do", *_CLOSE)}
+        WHEN 4 THEN {_lines(_OPEN, _SRC, "# rule: when codec ne hevc transcode", "# rule: when codec ne do skip", "# rule: transcode", *_CLOSE)}
+        WHEN 5 THEN {_lines(*_HEAD, _OPEN, _NAME, "rule: do check", "", "#", "# note: 1:2", "# ext: mkv", "# ext: .MP4,avi", "# ext:", "# src: /other", _SRC,
+                            *_CLOSE, _OPEN, *_BOTH_RULES, *_CLOSE)}
+        WHEN 6 THEN {_lines(_OPEN, *_CLOSE)}
+        WHEN 7 THEN CAST(NULL AS STRING)
+        ELSE {_lines(*_HEAD, _OPEN, _NAME, "# schedule: 0 {c_custkey % 24} * * *", _SRC, "  # ext: mkv,mp4", *_BOTH_RULES, *_CLOSE)} END"""),
+]
+
 #: user profiles, one per supplier; three of them named like built-in ones
 USER_PROFILES = [
     ("name", "CASE s_suppkey WHEN 0 THEN 'web' WHEN 1 THEN 'archive' WHEN 2 THEN 'mobile' ELSE 'team-' || CAST(s_suppkey AS STRING) END"),
@@ -214,12 +252,16 @@ JOB_SPECS = [
     ("decode_threads", "CASE o_orderkey % 40 WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN 4 END"),
     ("inplace", "CASE WHEN o_orderkey % 16 = 0 THEN true END"),
     ("extra_text", "CASE WHEN o_orderkey % 6 = 0 THEN '-vf scale=1280:-2' END"),
+    ("ext_text", "CASE o_orderkey % 11 WHEN 0 THEN 'mkv webm' WHEN 1 THEN '' WHEN 2 THEN 'ts,m2ts' END"),
+    ("skip_text", "CASE o_orderkey % 13 WHEN 0 THEN 'av1' WHEN 1 THEN '' WHEN 2 THEN 'avc VP9' END"),
 ]
 ENV_LAYER = [
     ("owner", "c_custkey"),
     ("hwaccel", "CASE c_nationkey % 4 WHEN 0 THEN 'nvenc' WHEN 1 THEN '' WHEN 2 THEN 'none' WHEN 3 THEN 'cuda' END"),
     ("crf", "CASE WHEN c_nationkey % 5 = 0 THEN CAST(20 + c_nationkey AS INT) END"),
     ("preset", "CASE c_nationkey % 5 WHEN 1 THEN '' WHEN 2 THEN 'slow' END"),
+    ("ext", "CASE c_nationkey % 6 WHEN 0 THEN 'mp4, mov,,' WHEN 1 THEN '' WHEN 2 THEN ',' END"),
+    ("skip_source_codecs", "CASE c_nationkey % 7 WHEN 0 THEN 'hevc,av1' WHEN 1 THEN '' WHEN 2 THEN 'vp9' END"),
 ]
 CONFIG_LAYER = [
     ("site", "CAST(n_nationkey AS BIGINT)"),
@@ -227,6 +269,8 @@ CONFIG_LAYER = [
     ("hwdecode", "CASE n_nationkey % 4 WHEN 0 THEN 'off' WHEN 1 THEN 'never' END"),
     ("audio_codec", "CASE WHEN n_nationkey % 5 = 0 THEN 'opus' END"),
     ("container", "CASE WHEN n_nationkey % 7 = 0 THEN '.mkv' END"),
+    ("ext_text", "CASE n_nationkey % 8 WHEN 0 THEN 'avi' WHEN 1 THEN '' WHEN 2 THEN 'mkv .MP4' END"),
+    ("skip_text", "CASE n_nationkey % 9 WHEN 0 THEN 'h264' WHEN 1 THEN 'av1 hevc' END"),
 ]
 
 REQUESTS = [
@@ -263,6 +307,8 @@ HOST_JOBS = [
     ("subs", "'copy'"), ("decode_threads", "0"), ("inplace", "s_suppkey % 2 = 1"), ("skip_hardlinked", "s_suppkey % 3 = 1"),
     ("force", "false"), ("allow_hdr_loss", "s_suppkey % 10 = 9"), ("output_dir", "''"), ("suffix", "'.out'"),
     ("container", "CASE WHEN s_suppkey % 10 = 4 THEN 'mkv' ELSE '' END"),
+    ("ext_text", "CASE s_suppkey % 10 WHEN 5 THEN 'mkv .MP4' ELSE 'mkv mp4 avi txt' END"),
+    ("skip_text", "CASE s_suppkey % 10 WHEN 0 THEN 'VP9' WHEN 3 THEN 'AVC' WHEN 6 THEN 'av1 hevc' WHEN 7 THEN 'libx264' ELSE '' END"),
 ]
 
 _SPARK_EPOCH = ("(CAST(unix_date(CAST({x} AS DATE)) AS BIGINT) * 86400 + hour({x}) * 3600 + minute({x}) * 60"

@@ -61,17 +61,20 @@ class Views:
     def rule_lines(self) -> DataFrame:
         return t.select(self.table("orders"), t.RULE_LINES)
 
+    def scripts(self) -> DataFrame:
+        return t.select(self.table("customer"), t.SCRIPTS)
+
     def user_profiles(self) -> DataFrame:
         return _with_extra_args(t.select(self.table("supplier"), t.USER_PROFILES))
 
     def job_specs(self) -> DataFrame:
-        return _with_extra_args(t.select(self.table("orders"), t.JOB_SPECS))
+        return _with_lists(t.select(self.table("orders"), t.JOB_SPECS), extra_text="extra_args", ext_text="ext", skip_text="skip_source_codecs")
 
     def env_layer(self) -> DataFrame:
         return t.select(self.table("customer"), t.ENV_LAYER)
 
     def config_layer(self) -> DataFrame:
-        return t.select(self.table("nation"), t.CONFIG_LAYER)
+        return _with_lists(t.select(self.table("nation"), t.CONFIG_LAYER), ext_text="ext", skip_text="skip_source_codecs")
 
     def capability(self) -> DataFrame:
         """What was tested on each host (supplier): every codec on every backend."""
@@ -86,7 +89,8 @@ class Views:
         )
 
     def host_jobs(self) -> DataFrame:
-        return t.select(self.table("supplier"), t.HOST_JOBS).withColumn("extra_args", F.array().cast("array<string>"))
+        jobs = _with_lists(t.select(self.table("supplier"), t.HOST_JOBS), ext_text="ext", skip_text="skip_source_codecs")
+        return jobs.withColumn("extra_args", F.array().cast("array<string>"))
 
     def requests(self) -> DataFrame:
         return t.select(self.table("lineitem"), t.REQUESTS)
@@ -100,6 +104,10 @@ class Views:
 
 
 def _with_extra_args(df: DataFrame) -> DataFrame:
-    """The words of ``extra_text`` as ``extra_args``: NULL stays NULL, '' is an empty list."""
-    words = F.filter(F.split("extra_text", " "), lambda w: w != "")
-    return df.withColumn("extra_args", words).drop("extra_text")
+    return _with_lists(df, extra_text="extra_args")
+
+
+def _with_lists(df: DataFrame, **names: str) -> DataFrame:
+    """The words of text columns as lists under other names: NULL stays NULL, '' is an empty list."""
+    words = {name: F.filter(F.split(text, " "), lambda w: w != "") for text, name in names.items()}
+    return df.withColumns(words).drop(*names)

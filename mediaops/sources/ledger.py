@@ -45,6 +45,14 @@ def read_history(spark: SparkSession, location: str) -> DataFrame:
     return spark.read.schema(schema).parquet(location)
 
 
+def history_months(spark: SparkSession, location: str) -> list[str]:
+    """The months of the stored history, newest first, by the names of its folders; no data is read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [entry.getPath().getName() for entry in found]
+    return sorted((n.partition("=")[2] for n in names if n.startswith("completed_month=")), reverse=True)
+
+
 def append_job_events(events: DataFrame, location: str, batch_id: int | None = None) -> None:
     """Append job events; a streaming batch replaces its own folder when it is repeated."""
     _append(conform(events, schemas.JOB_EVENTS), location, batch_id)
