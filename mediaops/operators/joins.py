@@ -34,15 +34,16 @@ def lookup_join(facts: DataFrame, table: DataFrame, on: list[str], *, spread_by:
     return dealt.join(repeated, [*on, "_sub_key"], how).drop("_sub_key")
 
 
-def owners_with_facts(owners: DataFrame, facts: DataFrame, on: list[str], *, spread_by: list[str]) -> DataFrame:
+def owners_with_facts(owners: DataFrame, facts: DataFrame, on: list[str], *, spread_by: list[str],
+                      present: DataFrame | None = None) -> DataFrame:
     """``owners`` left join ``facts`` where one owner may have most of the facts.
 
     As a plain left join the facts would be the side that cannot be split. Here
     they look up their owner, and owners without facts are added from an anti join
-    with the distinct keys.
+    with the distinct keys; ``present`` gives these where they are at hand, so that the facts are not worked out again.
     """
     found = lookup_join(facts, owners, on, spread_by=spread_by, how="inner")
-    missing = owners.join(facts.select(*on).distinct(), on, "left_anti")
+    missing = owners.join(facts.select(*on).distinct() if present is None else present.select(*on), on, "left_anti")
     columns = [*owners.columns, *[c for c in facts.columns if c not in on]]
     return found.select(*columns).unionByName(missing, allowMissingColumns=True)
 

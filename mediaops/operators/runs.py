@@ -236,7 +236,7 @@ def run_documents(runs: DataFrame, jobs: DataFrame, page_size: int = 1000) -> Da
     job = F.struct("source_path", *[c for c in jobs.columns if c not in JOB])
     nested = paged.groupBy("run_id", "page").agg(F.sort_array(F.collect_list(job)).alias("jobs"))
     empty = F.array().cast(nested.schema["jobs"].dataType)
-    return owners_with_facts(runs, nested, ["run_id"], spread_by=["page"]).withColumns({
+    return owners_with_facts(runs, nested, ["run_id"], spread_by=["page"], present=pages).withColumns({
         "page": F.coalesce("page", F.lit(0).cast("bigint")), "jobs": F.coalesce("jobs", empty),
     })
 
