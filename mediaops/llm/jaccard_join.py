@@ -153,6 +153,15 @@ def _parts_possible(percent: int) -> Column:
     return fits("a", "b") & fits("b", "a")
 
 
+def _of_node(width: int):
+    """Keep the rows whose text has the set that the node stands for."""
+    def run(batches):
+        for batch in slices(batches, "text"):
+            node = np.array([_set_hash(s) for s in shingles(*strings(batch.column("text")), width)], np.uint64).view(np.int64)
+            yield batch.select(["node", "text"]).filter(pa.array(node == batch.column("node").to_numpy()))
+    return run
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int, purpose: str) -> DataFrame:
     """The pairs (a, b) of nodes that are similar, by exact intersection of their shingle sets."""
     both = (keep(pairs, f"{purpose}-pairs").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -192,8 +201,9 @@ def jaccard_classes(documents: DataFrame, *, id_column: str = "doc_id", text_col
     meetings = (postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
                 .where("low < high").select("token"))
     met = keep(postings.join(meetings, "token"), "met")
-    texts = keep(docs.join(nodes.join(met.select("node").distinct(), "node", "left_semi").select("id", "node"), "id")
-                 .dropDuplicates(["node"]).select("node", "text"), "texts")
+    # Rows of one id may have other texts than the one that made it a node.
+    texts = keep(docs.join(nodes.join(met.select("node").distinct(), "node", "left_semi").select("id", "node"), "id").select("node", "text")
+                 .mapInArrow(_of_node(width), "node long, text string").dropDuplicates(["node"]), "texts")
     links = spark.createDataFrame([], "a long, b long")
     part_of = spark.createDataFrame([], "node long, component long")
 
