@@ -45,19 +45,18 @@ def text_statistics(documents: DataFrame, text_column: str = "text") -> DataFram
     }).drop("_words")
 
 
-def _row_key(documents: DataFrame, id_column: str, text_column: str, host_column: str) -> DataFrame:
-    """Rows with equal keys have the same id, host and text, so they get the same verdict."""
-    return documents.withColumns({
-        "_host": F.coalesce(F.concat(F.lit("="), F.col(host_column).cast("string")), F.lit("")),
-        "_id": F.coalesce(F.concat(F.lit("="), F.col(id_column).cast("string")), F.lit("")),
-        "_hash": F.xxhash64(_text(text_column)),
-    })
+def _keys(id_column: str, text_column: str, host_column: str) -> list[Column]:
+    """Columns ``KEY``: rows with equal ones have the same id, host and text, so they get the same verdict.
+
+    To be selected from the documents themselves, among whose columns may be some of these names.
+    """
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    return [named(host_column).alias("_host"), named(id_column).alias("_id"), F.xxhash64(_text(text_column)).alias("_hash")]
 
 
 def _found_lines(documents: DataFrame, id_column: str, text_column: str, host_column: str, share: float, least: int) -> DataFrame:
     """(_host, _id, _hash, at, line, words): the lines of documents that their host repeats."""
-    keyed = _row_key(documents, id_column, text_column, host_column)
-    rows = keyed.select(*KEY, F.posexplode(F.split(_text(text_column), "\n")).alias("at", "line"))
+    rows = documents.select(*_keys(id_column, text_column, host_column), F.posexplode(F.split(_text(text_column), "\n")).alias("at", "line"))
     lines = keep(rows.select(*KEY, "at", normal_line(F.col("line")).alias("line")).where("line <> ''")
                  .select(*KEY, "at", F.xxhash64("line").alias("line"), word_count(F.col("line")).alias("words")), "lines")
     hosts = lines.groupBy("_host").agg(F.countDistinct("_hash").alias("texts"))
@@ -73,12 +72,12 @@ def _removals(found: DataFrame) -> DataFrame:
 
 
 def line_removals(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
-                  host_column: str = "source", share: float = 0.01, least: int = 20) -> DataFrame:
+                  host_column: str = "source", share: float = 0.01, least: int = 3) -> DataFrame:
     """(_host, _id, _hash, lines, n_removed_words): what documents lose to lines their host repeats.
 
     A line (normalised: spaces squeezed, A-Z lowered, compared by a 64-bit hash) goes when more than
-    ``share`` of the host's documents hold it and more than ``least`` do. Documents are counted as
-    distinct texts, so copies of a text count once. Rows without host are a host of their own.
+    ``share`` of the host's documents hold it and more than ``least`` do, which small hosts reach as large ones do. Documents are counted as
+    distinct texts, so copies of a text count once: a text repeated as a whole is for deduplication, not for this rule. Rows without host are a host of their own.
     """
     return _removals(_found_lines(documents, id_column, text_column, host_column, share, least))
 
@@ -91,8 +90,8 @@ def _spared(documents: DataFrame, found: DataFrame, id_column: str, text_column:
     group of near copies survives, and what it shares with earlier, unlike documents still counts against it.
     """
     lost = found.groupBy(*KEY).agg(F.sum("words").alias("n_removed_words"))
-    order = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "_hash").alias("_order")
-    keyed = _row_key(documents, id_column, text_column, host_column).select(*KEY, order, _text(text_column).alias("text"))
+    order = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.xxhash64(_text(text_column)).alias("hash")).alias("_order")
+    keyed = documents.select(*_keys(id_column, text_column, host_column), order, _text(text_column).alias("text"))
     measured = _judged(text_statistics(keyed.join(lost, KEY)), depleted).where("not base_failed and not kept")
     held = keep(found.join(measured.select(*KEY, "_order", "n_words", "n_removed_words").dropDuplicates(KEY), KEY), "depleted")
     first = held.groupBy("_host", "line").agg(F.min("_order").alias("_first"))
@@ -102,7 +101,7 @@ def _spared(documents: DataFrame, found: DataFrame, id_column: str, text_column:
 
 
 def quality_verdicts(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source",
-                     share: float = 0.01, least: int = 20, depleted: float = 0.7) -> DataFrame:
+                     share: float = 0.01, least: int = 3, depleted: float = 0.7) -> DataFrame:
     """Per row: the id, the statistics, ``base_failed``, ``n_removed_words`` and ``kept``.
 
     ``base_failed``: under 50 words, or over half of the words in repeated 3-word windows. ``kept``:
@@ -111,13 +110,14 @@ def quality_verdicts(documents: DataFrame, *, id_column: str = "doc_id", text_co
     """
     removals = line_removals(documents, id_column=id_column, text_column=text_column, host_column=host_column,
                              share=share, least=least)
-    keyed = _row_key(documents, id_column, text_column, host_column).select(F.col(id_column), *KEY, _text(text_column).alias("_body"))
-    measured = text_statistics(keyed, "_body").select(id_column, *KEY, *STATISTICS)
-    return _judged(measured.join(removals.select(*KEY, "n_removed_words"), KEY, "left"), depleted).drop(*KEY)
+    keyed = documents.select(F.col(id_column).alias("_own"), *_keys(id_column, text_column, host_column), _text(text_column).alias("_body"))
+    measured = text_statistics(keyed, "_body").select("_own", *KEY, *STATISTICS)
+    judged = _judged(measured.join(removals.select(*KEY, "n_removed_words"), KEY, "left"), depleted).drop(*KEY)
+    return judged.select(F.col("_own").alias(id_column), *[c for c in judged.columns if c != "_own"])
 
 
 def quality_filter(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source",
-                   share: float = 0.01, least: int = 20, depleted: float = 0.7) -> DataFrame:
+                   share: float = 0.01, least: int = 3, depleted: float = 0.7) -> DataFrame:
     """The rows of ``documents`` that are kept, without the lines their host repeats too often.
 
     One more document of each group of near copies than ``quality_verdicts`` keeps stays: see ``_spared``.
@@ -127,7 +127,7 @@ def quality_filter(documents: DataFrame, *, id_column: str = "doc_id", text_colu
     removals = _removals(found.join(spared, [*KEY, "line"], "left_anti"))
     # The rows travel as one column, so that no column of theirs meets one of the statistics.
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
-    keyed = _row_key(documents, id_column, text_column, host_column).select(*KEY, row, _text(text_column).alias("text"))
+    keyed = documents.select(*_keys(id_column, text_column, host_column), row, _text(text_column).alias("text"))
     kept = _judged(text_statistics(keyed.join(removals, KEY, "left"), "text"), depleted).where("kept")
     rest = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("lines", F.xxhash64(normal_line(x))))
     text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))

@@ -6,7 +6,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def quality_rules(documents: str = "documents", share: float = 0.01, least: int = 20, depleted: float = 0.7) -> str:
+def quality_rules(documents: str = "documents", share: float = 0.01, least: int = 3, depleted: float = 0.7) -> str:
     return rf"""
 WITH base AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM {documents}
