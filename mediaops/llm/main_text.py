@@ -30,7 +30,9 @@ OUTSIDE_NAMES = frozenset(
 #: Names of what consists of small articles itself: an article element within is no reason to leave it.
 SMALL_ARTICLES = frozenset("ad ads adv advert adverts advertisement comment comments comentarios kommentare disqus promo related replies reply respond sponsored".split())
 #: Parts of a name that say what holds the named thing, and first parts by which a name is about something else.
-_HOLDERS = frozenset("area bar block body box container content group inner items links list section wrap wrapper".split())
+_HOLDERS = frozenset("area bar block body box container content group inner items links list section slot unit wrap wrapper".split())
+#: Parts that say where or of what kind the named thing is, or of what it is a list: they leave an outside first part the main one.
+_KINDS = frozenset("articles bottom buttons desktop entries form icons left lower main mobile news nested posts primary right secondary stories sticky topics top upper".split())
 _ABOUT = frozenset("has have hide is no not show with without".split())
 _OWN_HEADERS = frozenset("article content entry news page post story title".split())
 #: Frequent words of the languages at hand.
@@ -70,7 +72,7 @@ class Block:
 
 
 def _names(value: str) -> set[str]:
-    """The outside names that are the main part of a class or id: its first part, or its last that is no holder."""
+    """The outside names that are the main part of a class or id: its last part that is no holder, or its first if the others only describe it."""
     found = set()
     for name in value.lower().split():
         parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
@@ -78,7 +80,10 @@ def _names(value: str) -> set[str]:
             parts.pop()
         if not parts or parts[0] in _ABOUT or (parts[-1] == "header" and not _OWN_HEADERS.isdisjoint(parts[:-1])):
             continue
-        found |= {parts[0], parts[-1]} & OUTSIDE_NAMES
+        if parts[-1] in OUTSIDE_NAMES:
+            found.add(parts[-1])
+        elif parts[0] in OUTSIDE_NAMES and all(x in _HOLDERS or x in _KINDS or x in OUTSIDE_NAMES or x.isdigit() for x in parts[1:]):
+            found.add(parts[0])
     return found
 
 
@@ -187,7 +192,8 @@ def decided(block: Block, rules: Rules, known: bool = True) -> bool | None:
         return False
     size = len(block.text)
     if block.linked > rules.links * size:
-        return None if block.heading and block.region else False
+        # The article's own elements say where it is: there, links are its author's.
+        return None if block.region else False
     if size < rules.short:
         return None
     if not known:
@@ -242,7 +248,10 @@ def _inherited(blocks: list[Block], labels: list[bool | None], i: int) -> bool:
 
 
 def extract(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", rules: Rules = Rules()) -> DataFrame:
-    """(id, url, text, n_chars) per page: the main text of its whole html. A null page has an empty text; every row is kept."""
+    """(id, url, text, n_chars) per page: the main text of its whole html.
+
+    A null or empty page has an empty text; every row is kept, repeated ones each; other columns play no part.
+    """
     rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(html_column).cast("string").alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     names = [id_column, url_column, "text", "n_chars"]
