@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import keep
+from .work import spread
 
 #: Vectors of a packed shard, queries of a packed block.
 SHARD_ROWS, BLOCK_ROWS = 2048, 1024
@@ -47,6 +47,16 @@ def _packed(rows: int):
     return run
 
 
+def _block(table: pa.Table) -> pa.Table:
+    """The queries of a block and a length as one row."""
+    size = table.column("size")[0].as_py()
+    ids = table.column("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    matrix = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), size)
+    return pa.table({"block": table.column("block")[:1], "size": pa.array([size], pa.int32()),
+                     "query_ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), "queries": pa.array([matrix[order].astype("<f8").tobytes()], pa.binary())})
+
+
 def _products(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
     """Inner products of rows. Doubles hold them exactly below 2**53; beyond, whole numbers of any size do."""
     largest = (np.abs(queries).max(initial=0) * np.abs(shard).max(initial=0)) * max(1, queries.shape[1])
@@ -93,21 +103,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Both tables have (id, vector of whole numbers as doubles). A row of the query's own id is no candidate; equal scores go to
     the smaller id; fewer candidates give fewer rows. Only vectors of equal length are compared. Candidates are packed
-    where they lie, queries into blocks; each tile of both is one matrix product that hands on ``k`` rows per query, merged in
+    where they lie, queries into blocks, and both meet on a grid; each tile of both is one matrix product that hands on ``k`` rows per query, merged in
     two levels. Rows without id take no part, repeated queries of an id are one (of the greatest
     vector), repeated candidates are listed each. No candidates or no queries: no rows.
     """
     packed = "size int, ids binary, matrix binary"
     asked = queries.where("id is not null").groupBy("id").agg(F.max("vector").alias("vector"))
-    count = asked.count()
-    blocks = (asked.repartition(max(1, -(-count // BLOCK_ROWS)), F.xxhash64("id")).mapInArrow(_packed(BLOCK_ROWS), packed)
-              .select("size", F.col("ids").alias("query_ids"), F.col("matrix").alias("queries"),
-                      F.concat_ws(":", F.spark_partition_id(), F.monotonically_increasing_id()).alias("block")))
-    blocks = keep(blocks, "queries")
-    names = [r.block for r in blocks.select("block").collect()]
-    shards = vectors.where("id is not null").select("id", "vector").mapInArrow(_packed(SHARD_ROWS), packed)
-    grid = shards.withColumn("block", F.explode(F.array(*map(F.lit, names)).cast("array<string>")))
-    found = grid.join(blocks, ["block", "size"]).mapInArrow(_tiles(k), "query_id long, vec_id long, score long, tile int")
+    count = max(1, -(-asked.count() // BLOCK_ROWS))
+    blocks = (asked.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"), "size": F.size("vector")})
+              .groupBy("block", "size").applyInArrow(_block, "block int, size int, query_ids binary, queries binary"))
+    # A task of the grid has a block and a group of shards, so none reads all of either.
+    groups = max(1, -(-spread(vectors) // count))
+    place = F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(groups)).cast("int")
+    shards = vectors.where("id is not null").select("id", "vector").mapInArrow(_packed(SHARD_ROWS), packed).withColumn("group", place)
+    grid = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    placed = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    found = (grid.join(placed, ["block", "group", "size"]).select("size", "ids", "matrix", "query_ids", "queries")
+             .mapInArrow(_tiles(k), "query_id long, vec_id long, score long, tile int"))
 
     def merged(df: DataFrame, *by: str) -> DataFrame:
         order = Window.partitionBy(*by).orderBy(F.col("score").desc(), "vec_id")
