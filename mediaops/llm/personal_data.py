@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .native_text import evaluated_once
+from .native_text import evaluated_once, running_sums
 
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id")
 
@@ -89,8 +89,7 @@ def _spans(kind: str, text: Column) -> Column:
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,score:double>>")
 
     def located(parts: Column) -> Column:
-        ends = evaluated_once(F.transform(parts, lambda p: F.length(p)), lambda lengths: F.aggregate(
-            lengths, F.array(F.lit(0)), lambda seen, n: F.concat(seen, F.array(F.element_at(seen, -1) + n))))
+        ends = running_sums(F.transform(parts, lambda p: F.length(p)))
         return evaluated_once(ends, lambda at: F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), lambda i: F.struct(
             F.lit(kind).alias("kind"), at[i].alias("start"), at[i + 1].alias("end"), parts[i].alias("value"),
             (F.lit(SCORES[kind]) + F.when(F.lower(F.right(parts[i - 1], F.lit(CONTEXT_CHARACTERS))).rlike(CONTEXT[kind]), CONTEXT_BONUS)
@@ -101,9 +100,7 @@ def _spans(kind: str, text: Column) -> Column:
         before = lambda i: F.right(F.array_join(F.slice(parts, F.greatest(i - _NEAR_PIECES, F.lit(0)) + 1, F.least(i, F.lit(_NEAR_PIECES))), ""), F.lit(CONTEXT_CHARACTERS))
         after = lambda i: F.left(F.array_join(F.slice(parts, i + 2, F.lit(_NEAR_PIECES)), ""), F.lit(CONTEXT_CHARACTERS))
         told = lambda i: F.lower(before(i)).rlike(CONTEXT[kind]) | F.lower(after(i)).rlike(CONTEXT[kind])
-        number = lambda spans: F.aggregate(
-            F.sequence(F.lit(1), F.size(spans)), F.array(F.lit(0)), lambda seen, k: F.concat(seen, F.array(F.element_at(seen, -1) + F.when(
-                F.element_at(spans, k).start - F.get(spans, k - 2).end > NEIGHBOUR_CHARACTERS, 1).otherwise(0))))
+        number = lambda spans: running_sums(F.transform(spans, lambda s, k: F.when(s.start - F.get(spans, k - 1).end > NEIGHBOUR_CHARACTERS, 1).otherwise(0)))
         spans = F.transform(located(parts), lambda s, k: s.withField("told", told(2 * k + 1)))
 
         def shared(spans: Column, lists: Column) -> Column:
@@ -125,7 +122,7 @@ def find_personal_data(documents: DataFrame, *, text_column: str = "text") -> Da
 
     A pattern proposes a span, a checksum or a bound on digits confirms it, and words shortly before it
     raise its score; spans below the least score go (national ids need such a word). Spans come by
-    kind as listed in ``KINDS`` and then by place; kinds may overlap. A null text has none; every row is kept.
+    kind as listed in ``KINDS`` and then by place; kinds may overlap. A null text has none; every row is kept, a column named ``personal`` is replaced.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     return documents.withColumn("personal", F.concat(*[_spans(kind, text) for kind in KINDS]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .native_text import word_count
+from .native_text import evaluated_once, in_parts, word_count
 from .work import keep
 
 #: Weights of the sources in the order of their names, repeating.
@@ -116,8 +116,13 @@ def _dealt(rows: Column, start: Column, most: int) -> Column:
         n = F.greatest(F.least(F.floor(due / x.size + 0.5), F.lit(most)), F.lit(0)).cast("long")
         return F.struct((due - n * x.size).alias("owed"), F.concat(state.copies, F.array(n)).alias("copies"))
 
-    begin = F.struct(start.cast("long").alias("owed"), F.array().cast("array<bigint>").alias("copies"))
-    return F.aggregate(rows, begin, deal)
+    # Lists grow by copying: rows are dealt in parts, so that what is copied stays short.
+    none = F.array().cast("array<bigint>")
+    begin = F.struct(start.cast("long").alias("owed"), F.array().cast("array<array<bigint>>").alias("copies"))
+    part = lambda state, some: evaluated_once(
+        F.aggregate(some, F.struct(state.owed.alias("owed"), none.alias("copies")), deal),
+        lambda dealt: F.struct(dealt.owed.alias("owed"), F.concat(state.copies, F.array(dealt.copies)).alias("copies")))
+    return F.aggregate(in_parts(rows), begin, part, lambda state: F.struct(state.owed.alias("owed"), F.flatten(state.copies).alias("copies")))
 
 
 def mixed_documents(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
