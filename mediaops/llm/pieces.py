@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .hashing import slices
 
@@ -107,7 +108,7 @@ def encode_pieces(documents: DataFrame, model: str, *, text_column: str = "text"
     A null text is empty and has no ids; every row is kept, columns of these names are replaced.
     """
     documents = documents.drop("ids", "decoded")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in documents.schema)}, ids array<int>, decoded string"
+    schema = StructType([*documents.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
 
     def run(batches):
         table = pieces(model)

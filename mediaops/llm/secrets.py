@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .hashing import slices
 
@@ -26,7 +27,7 @@ KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _AT = {c: i for i, c in enumerate(ALPHABET)}
-SPAN_TYPES = "array<struct<kind:string,start:int,end:int>>"
+SPAN_TYPES = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
 @dataclass(frozen=True)
@@ -50,12 +51,14 @@ def random_strings(count: int, seed: int = 7) -> Iterator[str]:
 
 
 def ordinary_strings(texts: DataFrame, text_column: str = "text", rows: int = 20_000) -> DataFrame:
-    """(token): words of at most ``rows`` rows and identifiers made of them, as examples that are no secrets."""
+    """(token): words of at most ``rows`` rows, drawn by a hash of the text, and identifiers made of them, as examples that are no secrets."""
     words = F.regexp_extract_all(F.col(text_column).cast("string"), F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))
     word = F.col("word")
     number = F.pmod(F.xxhash64(word), F.lit(2100)).cast("string")
     made = F.array(word, F.upper(word), F.concat(word, F.initcap(word)), F.concat(word, F.lit("_"), number), F.concat(F.upper(word), F.lit("-"), number))
-    return texts.limit(rows).select(F.explode(words).alias("word")).select(F.explode(made).alias("token"))
+    # Of more rows than that, those of the least hashes: the same ones in every run.
+    some = texts.orderBy(F.xxhash64(F.col(text_column).cast("string")), F.col(text_column).cast("string")).limit(rows)
+    return some.select(F.explode(words).alias("word")).select(F.explode(made).alias("token"))
 
 
 def train(samples: DataFrame, threshold: float = 0.8) -> Models:
@@ -110,7 +113,7 @@ def find_secrets(documents: DataFrame, models: Models | None, *, text_column: st
     threshold per character. A null text has no secrets; every row is kept, a column named ``secrets`` is replaced.
     """
     documents = documents.drop("secrets")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in documents.schema)}, secrets {SPAN_TYPES}"
+    schema = StructType([*documents.schema.fields, StructField("secrets", SPAN_TYPES)])
 
     def run(batches):
         for batch in slices(batches, text_column):
