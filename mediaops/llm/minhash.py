@@ -17,6 +17,8 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: Bytes of two signatures that must agree: at a similarity of 0.8 fewer do once in ten billion.
 AGREE = 70
+#: Bytes of text that a task works on at a time.
+SLICE = 1 << 20
 #: Rounds in which nodes are compared with hubs before all that is left is compared in tiles of so many nodes.
 ROUNDS, TILE = 2, 256
 
@@ -43,15 +45,42 @@ def buckets(least: np.ndarray) -> np.ndarray:
     return mix((bands * _MIXED).sum(axis=2, dtype=np.uint64) + mix(np.arange(BANDS, dtype=np.uint64)))
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each element's hash, about eight bits for each element; a larger map folds to a smaller one by halves."""
+    size = max(64, 1 << (len(s) - 1).bit_length())
+    bits = np.zeros(8 * size, np.uint8)
+    bits[((s >> np.uint64(20)) & np.uint64(8 * size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def folded(maps: np.ndarray, size: int) -> np.ndarray:
+    """Rows of bitmaps as rows of ``size`` bytes, no more than they have."""
+    while maps.shape[1] > size:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] | maps[:, half:]
+    return maps
+
+
+def may_be_similar(n: int, bits: np.ndarray, others: np.ndarray, maps: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes ``others`` with bitmaps ``maps`` can have the similarity to one of size ``n`` with ``bits``, all maps of one size.
+
+    A bit that one side alone has stands for an element that the other lacks, which bounds the overlap from above.
+    """
+    own = np.bitwise_count(bits & ~maps).sum(axis=1, dtype=np.int64)
+    theirs = np.bitwise_count(maps & ~bits).sum(axis=1, dtype=np.int64)
+    most = np.minimum(n - own, others - theirs)
+    return 100 * most >= percent * (n + others - most)
+
+
 def set_hash(s: np.ndarray) -> int:
     """A 64-bit hash of a whole set."""
     return int(mix(np.array([np.add.reduce(mix(s + np.uint64(0x2545F4914F6CDD1D)))]) + np.uint64(len(s)))[0])
 
 
 def _profiles(width: int):
-    """Per document its set's size and hash, the keys of its bands, and a byte of each minimum."""
+    """Per document its set's size, hash and bitmap, the keys of its bands, and a byte of each minimum."""
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             sets = list(shingles(*strings(batch.column("text")), width))
             some = [i for i, s in enumerate(sets) if len(s)]
             keys, marks = [None] * len(sets), [None] * len(sets)
@@ -61,8 +90,8 @@ def _profiles(width: int):
                     keys[i], marks[i] = key, mark.tobytes()
             yield pa.RecordBatch.from_arrays([
                 batch.column("id"), batch.column("print"), pa.array(np.array([set_hash(s) for s in sets], np.uint64).view(np.int64)),
-                pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                names=["id", "print", "node", "n", "buckets", "marks"])
+                pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()),
+                pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())], names=["id", "print", "node", "n", "buckets", "marks", "bits"])
     return run
 
 
@@ -77,23 +106,41 @@ def _alike(batches):
         yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
+class _Tile:
+    """The nodes of a packed tile."""
+
+    def __init__(self, rows: pa.StructArray) -> None:
+        self.node, self.part, self.n = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "part", "n"))
+        self.marks, self.bits = _marks(rows.field("marks")), rows.field("bits").to_pylist()
+        self._sizes = np.array([len(x) for x in self.bits])
+        self._maps: dict[tuple[int, int], np.ndarray] = {}
+
+    def close_to(self, n: int, bits: bytes, at: np.ndarray, percent: int) -> np.ndarray:
+        """Those of the rows ``at`` that can be similar to a set of this size and bitmap."""
+        out, own = [], np.frombuffer(bits, np.uint8)[None, :]
+        for size in np.unique(self._sizes[at]).tolist():
+            some, least = at[self._sizes[at] == size], min(size, len(bits))
+            if (size, least) not in self._maps:
+                rows = np.flatnonzero(self._sizes == size)
+                place = np.zeros(len(self._sizes), np.int64)
+                place[rows] = np.arange(len(rows))
+                self._maps[size, least] = folded(np.frombuffer(b"".join([self.bits[i] for i in rows]), np.uint8).reshape(len(rows), size), least), place
+            maps, place = self._maps[size, least]
+            out.append(some[may_be_similar(n, folded(own, least)[0], self.n[some], maps[place[some]], percent)])
+        return np.concatenate(out) if out else at[:0]
+
+
 def _alike_in_tiles(percent: int):
-    """Pairs of two packed tiles: of different parts, of sizes that allow the similarity, and of signatures that agree enough."""
+    """Pairs of two packed tiles: of different parts, and of sizes, signatures and bitmaps that allow the similarity."""
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                sides = []
-                for x in "ab":
-                    rows = batch.column(f"rows_{x}")[i].values
-                    node, part, n = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "part", "n"))
-                    sides.append((node, part, n, _marks(rows.field("marks"))))
-                (node_a, part_a, n_a, marks_a), (node_b, part_b, n_b, marks_b) = sides
-                for k in range(len(node_a)):
-                    fit = (part_b != part_a[k]) & (100 * np.minimum(n_b, n_a[k]) >= percent * np.maximum(n_b, n_a[k]))
-                    at = np.flatnonzero(fit)
-                    at = at[(marks_b[at] == marks_a[k]).sum(axis=1) >= AGREE]
-                    if len(at):
-                        low, high = np.minimum(node_a[k], node_b[at]), np.maximum(node_a[k], node_b[at])
+                a, b = (_Tile(batch.column(f"rows_{x}")[i].values) for x in "ab")
+                for k in range(len(a.node)):
+                    at = np.flatnonzero((b.part != a.part[k]) & (100 * np.minimum(b.n, a.n[k]) >= percent * np.maximum(b.n, a.n[k])))
+                    at = at[(b.marks[at] == a.marks[k]).sum(axis=1) >= AGREE]
+                    if len(at) and len(at := b.close_to(int(a.n[k]), a.bits[k], at, percent)):
+                        low, high = np.minimum(a.node[k], b.node[at]), np.maximum(a.node[k], b.node[at])
                         yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
     return run
 
@@ -114,7 +161,7 @@ def _similar(width: int, percent: int):
 def _same_node(width: int):
     """Keep the rows whose text has the set that the node stands for."""
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             node = np.array([set_hash(s) for s in shingles(*strings(batch.column("text")), width)], np.uint64).view(np.int64)
             yield batch.select(["node", "text"]).filter(pa.array(node == batch.column("node").to_numpy()))
     return run
@@ -133,7 +180,8 @@ def minhash_classes(documents: DataFrame, *, id_column: str = "doc_id", text_col
     * documents with equal sets are one node, named by a 64-bit hash of the set;
     * ``MINIMA`` minima of universal hashes stand for a set; nodes with equal minima in a whole band meet in a bucket;
     * in ``ROUNDS`` rounds each node is compared with two of the hubs its buckets draw, which connects most of a group of near copies;
-    * in buckets that still hold more than one connected part, the largest part and the rest are compared in tiles of bounded size;
+    * in buckets that still hold more than one connected part, the largest part and the rest are compared in tiles of bounded size, where bitmaps
+      of the sets bound the overlap from above, so that of a large group of copies just below the limit hardly a pair goes on;
     * a pair goes on only if the signatures agree, and is a link only if the full sets overlap enough;
     * components come from alternating large-star and small-star.
 
@@ -144,12 +192,12 @@ def minhash_classes(documents: DataFrame, *, id_column: str = "doc_id", text_col
     docs = documents.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text")).withColumn(
         "print", F.xxhash64("text"))
     spark = docs.sparkSession
-    profiles = keep(docs.mapInArrow(_profiles(width), "id long, print long, node long, n long, buckets array<long>, marks binary"), "profiles")
+    profiles = keep(docs.mapInArrow(_profiles(width), "id long, print long, node long, n long, buckets array<long>, marks binary, bits binary"), "profiles")
     sized = profiles.select("id", "node", "n")
     nodes = keep(profiles.where("n > 0").groupBy("node").agg(
         F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("row"),
-        F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("marks").alias("marks"))
-        .select("node", "id", _row_key(F.col("row.id"), F.col("row.print")).alias("key"), F.col("row.print").alias("print"), "n", "buckets", "marks"), "nodes")
+        *[F.first(c).alias(c) for c in ("n", "buckets", "marks", "bits")])
+        .select("node", "id", _row_key(F.col("row.id"), F.col("row.print")).alias("key"), F.col("row.print").alias("print"), "n", "buckets", "marks", "bits"), "nodes")
 
     posted = nodes.select(F.explode("buckets").alias("bucket"), "node")
     meetings = posted.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
@@ -211,8 +259,8 @@ def _tile_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                                           F.ceil((F.col("all") - F.col("main.members")) / TILE).cast("int").alias("rest_tiles")))
     placed = lookup_join(rows, largest, ["bucket"], spread_by=["node"], how="inner").withColumn("in_main", F.col("part") == F.col("main"))
     tiles = F.when(F.col("in_main"), F.col("main_tiles")).otherwise(F.col("rest_tiles"))
-    members = placed.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int")).join(nodes.select("node", "n", "marks"), "node")
-    packed = keep(members.groupBy("bucket", "in_main", "tile", "main_tiles", "rest_tiles").agg(F.collect_list(F.struct("node", "part", "n", "marks")).alias("rows")), "tiles")
+    members = placed.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int")).join(nodes.select("node", "n", "marks", "bits"), "node")
+    packed = keep(members.groupBy("bucket", "in_main", "tile", "main_tiles", "rest_tiles").agg(F.collect_list(F.struct("node", "part", "n", "marks", "bits")).alias("rows")), "tiles")
     rest, main = packed.where("not in_main"), packed.where("in_main")
 
     def against(tile: str, count: str, first: Column | None = None) -> Column:

@@ -89,3 +89,18 @@ def test_minima_estimate_similarity():
     assert 0.65 < (least[0] == least[1]).mean() < 0.93 and (least[2] == least[3]).all()
     keys = minhash.buckets(least)
     assert keys.shape == (4, 32) and (keys[2] == keys[3]).all() and len(set(keys[0])) == 32 and (keys[0] == keys[1]).any()
+
+
+def test_bitmaps_never_rule_out_a_link():
+    draw = np.random.Generator(np.random.PCG64(3))
+    for _ in range(300):
+        pool = np.unique(draw.integers(0, 2**63, int(draw.integers(2, 700)), dtype=np.uint64))
+        x, y = (draw.permutation(pool)[:max(1, int(len(pool) * draw.uniform(0.75, 1)))] for _ in range(2))
+        both = len(np.intersect1d(x, y))
+        maps = [np.frombuffer(minhash.bitmap(s), np.uint8)[None, :] for s in (x, y)]
+        size = min(m.shape[1] for m in maps)
+        near = minhash.may_be_similar(len(x), minhash.folded(maps[0], size)[0], np.array([len(y)]), minhash.folded(maps[1], size), 80)[0]
+        assert near or 100 * both < 80 * (len(x) + len(y) - both)
+    far = np.unique(draw.integers(0, 2**63, 1000, dtype=np.uint64))
+    maps = [np.frombuffer(minhash.bitmap(s), np.uint8)[None, :] for s in (far[:600], far[150:750])]
+    assert not minhash.may_be_similar(600, maps[0][0], np.array([600]), maps[1], 80)[0]
