@@ -20,7 +20,7 @@ AGREE = 70
 #: Bytes of text that a task works on at a time.
 SLICE = 1 << 20
 #: Rounds in which nodes are compared with hubs before all that is left is compared in tiles of so many nodes.
-ROUNDS, TILE = 2, 256
+ROUNDS, TILE = 1, 256
 
 _DRAWN = np.random.Generator(np.random.PCG64(20240613)).integers(0, 2**63, (2, MINIMA), dtype=np.uint64)
 _FACTORS, _SHIFTS = 2 * _DRAWN[0] + np.uint64(1), 2 * _DRAWN[1]
@@ -130,18 +130,28 @@ class _Tile:
         return np.concatenate(out) if out else at[:0]
 
 
-def _alike_in_tiles(percent: int):
-    """Pairs of two packed tiles: of different parts, and of sizes, signatures and bitmaps that allow the similarity."""
+def _alike_in_tiles(percent: int, best: bool):
+    """Pairs of two packed tiles: of different parts, and of sizes, signatures and bitmaps that allow the similarity; all, or the ``best`` for two parts."""
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 a, b = (_Tile(batch.column(f"rows_{x}")[i].values) for x in "ab")
+                found = []
                 for k in range(len(a.node)):
                     at = np.flatnonzero((b.part != a.part[k]) & (100 * np.minimum(b.n, a.n[k]) >= percent * np.maximum(b.n, a.n[k])))
                     at = at[(b.marks[at] == a.marks[k]).sum(axis=1) >= AGREE]
                     if len(at) and len(at := b.close_to(int(a.n[k]), a.bits[k], at, percent)):
-                        low, high = np.minimum(a.node[k], b.node[at]), np.maximum(a.node[k], b.node[at])
-                        yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
+                        own = [np.full(len(at), x[k]) for x in (a.node, a.part)]
+                        found.append([*own, b.node[at], b.part[at], (b.marks[at] == a.marks[k]).sum(axis=1)])
+                if found:
+                    node_a, part_a, node_b, part_b, agreed = (np.concatenate(x) for x in zip(*found, strict=True))
+                    if best:
+                        parts = np.minimum(part_a, part_b), np.maximum(part_a, part_b)
+                        order = np.lexsort((node_b, node_a, -agreed, *parts))
+                        change = (np.diff(parts[0][order]) != 0) | (np.diff(parts[1][order]) != 0)
+                        first = order[np.concatenate([[True], change])]
+                        node_a, node_b = node_a[first], node_b[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node_a, node_b), pa.int64()), pa.array(np.maximum(node_a, node_b), pa.int64())], names=["a", "b"])
     return run
 
 
@@ -179,9 +189,10 @@ def minhash_classes(documents: DataFrame, *, id_column: str = "doc_id", text_col
 
     * documents with equal sets are one node, named by a 64-bit hash of the set;
     * ``MINIMA`` minima of universal hashes stand for a set; nodes with equal minima in a whole band meet in a bucket;
-    * in ``ROUNDS`` rounds each node is compared with two of the hubs its buckets draw, which connects most of a group of near copies;
+    * each node is compared with two of the hubs its buckets draw, which connects most of a group of near copies;
     * in buckets that still hold more than one connected part, the largest part and the rest are compared in tiles of bounded size, where bitmaps
-      of the sets bound the overlap from above, so that of a large group of copies just below the limit hardly a pair goes on;
+      of the sets bound the overlap from above, so that of a large group of copies just below the limit hardly a pair goes on; the likeliest
+      pair of two parts goes first, all pairs only between parts that it did not connect;
     * a pair goes on only if the signatures agree, and is a link only if the full sets overlap enough;
     * components come from alternating large-star and small-star.
 
@@ -238,7 +249,11 @@ def minhash_classes(documents: DataFrame, *, id_column: str = "doc_id", text_col
         links = links.unionByName(linked(pairs, "hub"))
         part_of = star_components(links)
 
-    links = links.unionByName(linked(_tile_pairs(with_part(met, "node"), nodes, percent).distinct(), "tile"))
+    # Between two parts one link is enough: the likeliest pair of each tile goes first, and all pairs only where it is none.
+    for best in (True, False):
+        links = links.unionByName(linked(_tile_pairs(with_part(met, "node"), nodes, percent, best).distinct(), "tile"))
+        if best:
+            part_of = star_components(links)
     final = nodes.select("node", "id").join(star_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = final.groupBy("component").agg(F.min("id").alias("component_id"))
     found = final.join(smallest, "component").select("node", "component_id")
@@ -247,8 +262,8 @@ def minhash_classes(documents: DataFrame, *, id_column: str = "doc_id", text_col
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _tile_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different parts that meet in a bucket and have similar signatures, from ``rows`` (bucket, node, part).
+def _tile_pairs(rows: DataFrame, nodes: DataFrame, percent: int, best: bool) -> DataFrame:
+    """(a, b) of different parts that meet in a bucket and may be similar, from ``rows`` (bucket, node, part); or the ``best`` of two parts in a tile.
 
     In each bucket the largest part is ``main``. The rest is compared with itself and with the main part, in tiles of about
     ``TILE`` nodes each, so a task never holds a whole bucket and no pair leaves a tile untested.
@@ -270,4 +285,4 @@ def _tile_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         rest.select("bucket", F.col("tile").alias("i"), against("j", "main_tiles"), F.lit(True).alias("in_main"), F.col("rows").alias("rows_a")))
     right = rest.select("bucket", F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("i"), F.col("tile").alias("j"), "in_main", F.col("rows").alias("rows_b")).unionByName(
         main.select("bucket", against("i", "rest_tiles"), F.col("tile").alias("j"), "in_main", F.col("rows").alias("rows_b")))
-    return left.join(right, ["bucket", "i", "j", "in_main"]).select("rows_a", "rows_b").mapInArrow(_alike_in_tiles(percent), "a long, b long")
+    return left.join(right, ["bucket", "i", "j", "in_main"]).select("rows_a", "rows_b").mapInArrow(_alike_in_tiles(percent, best), "a long, b long")

@@ -57,7 +57,7 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize("rounds, tile", [(2, 256), (0, 4)])
+@pytest.mark.parametrize("rounds, tile", [(1, 256), (0, 4)])
 def test_classes(spark, odd_documents, odd_rows, monkeypatch, rounds, tile):
     """Also without hubs, all in small tiles."""
     monkeypatch.setattr(minhash, "ROUNDS", rounds)
