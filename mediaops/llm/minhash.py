@@ -130,8 +130,29 @@ class _Tile:
         return np.concatenate(out) if out else at[:0]
 
 
+def forest(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The places of links ``a``-``b`` that, taken in ``order``, connect what those before them did not."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root, left, out = list(range(len(names))), len(names) - 1, []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, x, y in zip(order.tolist(), ends[:len(a)][order].tolist(), ends[len(a):][order].tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x], left = y, left - 1
+            out.append(i)
+            if not left:
+                break
+    return np.array(out, np.int64)
+
+
 def _alike_in_tiles(percent: int, best: bool):
-    """Pairs of two packed tiles: of different parts, and of sizes, signatures and bitmaps that allow the similarity; all, or the ``best`` for two parts."""
+    """Pairs of two packed tiles: of different parts, and of sizes, signatures and bitmaps that allow the similarity; all, or the ``best`` that would connect the tiles' parts."""
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
@@ -146,10 +167,7 @@ def _alike_in_tiles(percent: int, best: bool):
                 if found:
                     node_a, part_a, node_b, part_b, agreed = (np.concatenate(x) for x in zip(*found, strict=True))
                     if best:
-                        parts = np.minimum(part_a, part_b), np.maximum(part_a, part_b)
-                        order = np.lexsort((node_b, node_a, -agreed, *parts))
-                        change = (np.diff(parts[0][order]) != 0) | (np.diff(parts[1][order]) != 0)
-                        first = order[np.concatenate([[True], change])]
+                        first = forest(part_a, part_b, np.lexsort((node_b, node_a, -agreed)))
                         node_a, node_b = node_a[first], node_b[first]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node_a, node_b), pa.int64()), pa.array(np.maximum(node_a, node_b), pa.int64())], names=["a", "b"])
     return run
@@ -192,7 +210,7 @@ def minhash_classes(documents: DataFrame, *, id_column: str = "doc_id", text_col
     * each node is compared with two of the hubs its buckets draw, which connects most of a group of near copies;
     * in buckets that still hold more than one connected part, the largest part and the rest are compared in tiles of bounded size, where bitmaps
       of the sets bound the overlap from above, so that of a large group of copies just below the limit hardly a pair goes on; the likeliest
-      pair of two parts goes first, all pairs only between parts that it did not connect;
+      pairs that would connect a tile's parts go first, no more than it has parts, and all pairs only between parts that these left apart;
     * a pair goes on only if the signatures agree, and is a link only if the full sets overlap enough;
     * components come from alternating large-star and small-star.
 
@@ -249,7 +267,7 @@ def minhash_classes(documents: DataFrame, *, id_column: str = "doc_id", text_col
         links = links.unionByName(linked(pairs, "hub"))
         part_of = star_components(links)
 
-    # Between two parts one link is enough: the likeliest pair of each tile goes first, and all pairs only where it is none.
+    # Parts need to be connected once: in each tile the likeliest pairs that would do so go first, and all pairs only where they did not.
     for best in (True, False):
         links = links.unionByName(linked(_tile_pairs(with_part(met, "node"), nodes, percent, best).distinct(), "tile"))
         if best:
@@ -263,7 +281,7 @@ def minhash_classes(documents: DataFrame, *, id_column: str = "doc_id", text_col
 
 
 def _tile_pairs(rows: DataFrame, nodes: DataFrame, percent: int, best: bool) -> DataFrame:
-    """(a, b) of different parts that meet in a bucket and may be similar, from ``rows`` (bucket, node, part); or the ``best`` of two parts in a tile.
+    """(a, b) of different parts that meet in a bucket and may be similar, from ``rows`` (bucket, node, part); or the ``best`` that would connect the parts of a tile.
 
     In each bucket the largest part is ``main``. The rest is compared with itself and with the main part, in tiles of about
     ``TILE`` nodes each, so a task never holds a whole bucket and no pair leaves a tile untested.

@@ -104,3 +104,9 @@ def test_bitmaps_never_rule_out_a_link():
     far = np.unique(draw.integers(0, 2**63, 1000, dtype=np.uint64))
     maps = [np.frombuffer(minhash.bitmap(s), np.uint8)[None, :] for s in (far[:600], far[150:750])]
     assert not minhash.may_be_similar(600, maps[0][0], np.array([600]), maps[1], 80)[0]
+
+
+def test_forest_connects_once():
+    a, b = np.array([1, 2, 3, 1, 9, 5]), np.array([2, 3, 1, 3, 1, 6])
+    assert minhash.forest(a, b, np.array([5, 0, 1, 2, 3, 4])).tolist() == [5, 0, 1, 4]
+    assert minhash.forest(a[:0], b[:0], np.zeros(0, np.int64)).tolist() == []
