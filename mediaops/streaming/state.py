@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import Column, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+#: Parts over which the paths of a library are dealt by a hash. A call to the state costs more than a hundred paths in memory, so paths are not
+#: read and written one by one. A checkpoint is bound to the number.
+PARTS = 1 << 14
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -20,75 +24,99 @@ def _seen(row) -> tuple:
     return (row["seen_at"] is not None, row["seen_at"])
 
 
+def part_of(key: Column | str) -> Column:
+    """The part of the state that a key belongs to."""
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+
+
+class Part:
+    """What is known of the keys of one part, kept as one value: read and written in one call, however many keys it holds."""
+
+    def __init__(self, handle: StatefulProcessorHandle) -> None:
+        self._value = handle.getValueState("part", "known binary")
+
+    def read(self) -> dict:
+        stored = self._value.get()
+        return {} if stored is None else pickle.loads(stored[0])
+
+    def write(self, known: dict) -> None:
+        self._value.update((pickle.dumps(known, pickle.HIGHEST_PROTOCOL),))
+
+
 class Sightings(StatefulProcessor):
-    """Per path: passes on the sightings whose mtime differs from the one before.
+    """Per part of the paths: passes on the sightings whose mtime differs from the path's one before.
 
-    One row of state per path, written only when it changes. A sighting that arrives late, from before the
-    last change, says nothing about the file as it is now and is ignored.
+    Rows have ``_row``, the sighting. A part holds mtime and time of the last change of each of its paths and is written only when one
+    changes. A sighting that arrives late, from before the last change, says nothing about the file as it is now and is ignored.
     """
 
     def __init__(self, columns: list[str]) -> None:
-        self._columns, self._out = columns, Row(*columns, "change")
+        self._out = Row(*columns, "change")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "mtime bigint, seen_at bigint")
+        self._part = Part(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        last = before = self._last.get()
-        for row in sorted(rows, key=_seen):
+        known, altered = self._part.read(), False
+        for row in sorted((r["_row"] for r in rows), key=_seen):
+            last = known.get(row["path"])
             if last is not None and _seen(row) < (last[1] is not None, last[1]):
                 continue
             if last is None or row["mtime"] != last[0]:
-                yield self._out(*[row[c] for c in self._columns], "new" if last is None else "changed")
-                last = (row["mtime"], row["seen_at"])
-        if last is not before:
-            self._last.update(last)
+                known[row["path"]], altered = (row["mtime"], row["seen_at"]), True
+                yield self._out(*row.values(), "new" if last is None else "changed")
+        if altered:
+            self._part.write(known)
 
     def close(self) -> None:
         pass
 
 
 class PlanFacts(StatefulProcessor):
-    """Per key: files, and marks that bear on their plan. Passes on a file when it is new or changed, or when its mark appears.
+    """Per part of the keys: files, and marks that bear on their plan. Passes on a file when it is new or changed, or when its mark appears.
 
-    Rows have ``_key``, ``_mark`` and ``_is_file``: a sighting of a file, with its columns, asks for the mark; any other row is the mark
-    itself. What comes out is the file and whether its mark is there, for these files alone.
+    Rows have ``_key``, ``_mark`` and ``_file``: a sighting of a file asks for the mark; a row without file is the mark itself. What comes
+    out is the file and whether its mark is there, for these files alone. A part holds for each key its marks and, by path, its files.
     """
 
-    def __init__(self, file: StructType) -> None:
-        self._columns = file.names
-        self._stored = StructType([*file.fields, StructField("_mark", LongType()), StructField("_present", BooleanType())])
-        self._out = Row(*file.names, "present")
+    def __init__(self) -> None:
+        self._out = Row("_file", "present")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._files = handle.getMapState("files", "path string", self._stored)
-        self._marks = handle.getMapState("marks", "mark bigint", "at boolean")
+        self._part = Part(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        newest: dict[str, Row] = {}
-        added = set()
+        newest: dict[tuple, tuple] = {}
+        marked = set()
         for row in rows:
-            if not row["_is_file"]:
-                added.add(row["_mark"])
-            elif row["path"] not in newest or _seen(row) >= _seen(newest[row["path"]]):
-                newest[row["path"]] = row
-        added = {m for m in added if not self._marks.containsKey((m,))}
-        for mark in added:
-            self._marks.updateValue((mark,), (True,))
-        mtime, seen_at = self._columns.index("mtime"), self._columns.index("seen_at")
-        for path, row in newest.items():
-            known = self._files.getValue((path,)) if self._files.containsKey((path,)) else None
-            if known is not None and (_seen(row) < (known[seen_at] is not None, known[seen_at]) or known[mtime] == row["mtime"]):
-                continue
-            file, mark = tuple(row[c] for c in self._columns), row["_mark"]
-            present = mark in added or self._marks.containsKey((mark,))
-            self._files.updateValue((path,), (*file, mark, present))
-            yield self._out(*file, present)
-        if added:
-            for (path,), (*file, mark, present) in list(self._files.iterator()):
-                if mark in added and not present:
-                    self._files.updateValue((path,), (*file, mark, True))
-                    yield self._out(*file, True)
+            name, mark, file = row["_key"], row["_mark"], row["_file"]
+            if file is None:
+                marked.add((name, mark))
+            elif (name, file["path"]) not in newest or _seen(file) >= _seen(newest[name, file["path"]][0]):
+                newest[name, file["path"]] = (file, mark)
+        known, altered = self._part.read(), False
+        added: dict[str, set] = {}
+        for name, mark in marked:
+            marks, _ = known.setdefault(name, (set(), {}))
+            if mark not in marks:
+                marks.add(mark)
+                added.setdefault(name, set()).add(mark)
+        for (name, path), (file, mark) in newest.items():
+            marks, files = known.setdefault(name, (set(), {}))
+            if path in files:
+                before = files[path][0]
+                if _seen(file) < (before["seen_at"] is not None, before["seen_at"]) or before["mtime"] == file["mtime"]:
+                    continue
+            files[path], altered = (file, mark, mark in marks), True
+            yield self._out(file, mark in marks)
+        for name, marks in added.items():
+            files = known[name][1]
+            for path, (file, mark, present) in files.items():
+                if mark in marks and not present:
+                    files[path] = (file, mark, True)
+                    yield self._out(file, True)
+        if altered or added:
+            self._part.write(known)
 
     def close(self) -> None:
         pass

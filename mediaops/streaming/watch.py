@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.planning import PlanSettings, plan, with_output_path
 from ..operators.runs import COUNTERS, finish_run, register_jobs, start_run
-from ..schemas import FLAG, TEXT, with_field
+from ..schemas import FLAG, TEXT, table, with_field
 from ..sources import ledger
 from . import state
 
@@ -51,12 +51,12 @@ def find_changes(sightings: DataFrame, known: DataFrame | None) -> DataFrame:
 def changed_files(snapshots: DataFrame) -> DataFrame:
     """The sightings of a stream whose mtime differs from the path's previous one, with ``change`` (new, changed).
 
-    The memory is keyed state, one row per path on disk: a micro-batch reads its own rows and the state of
-    their paths, however long the stream has run. Rows without path are nobody's and are left out.
+    The memory is keyed state, the last change of every path, in parts on disk: a micro-batch reads its own rows and the parts
+    of their paths, however long the stream has run. Rows without path are nobody's and are left out.
     """
     out = with_field(snapshots.schema, "change", TEXT)
-    return snapshots.filter("path is not null").groupBy("path").transformWithState(
-        state.Sightings(snapshots.columns), out, outputMode="append", timeMode="none")
+    return snapshots.filter("path is not null").select(state.part_of("path").alias("_part"), F.struct(*snapshots.columns).alias("_row")).groupBy(
+        "_part").transformWithState(state.Sightings(snapshots.columns), out, outputMode="append", timeMode="none")
 
 
 def watch_changes(snapshots: DataFrame, location: str, checkpoint: str, *, interval: str = "5 minutes",
@@ -163,7 +163,7 @@ def maintain_plan(snapshots: DataFrame, settings: PlanSettings, location: str, c
 
     ``snapshots``, ``history`` (source_path, source_mtime, status) and ``listing`` (path; the snapshots themselves if none is given)
     are streams. In place, a done attempt of a file's mtime is a fact about the file; alongside, the existence of its
-    output is. Both are kept as state by key, next to the file, so nothing is joined and a pass reads and stores only the files
+    output is. Both are kept as state, next to the file, so nothing is joined and a pass reads and stores only the files
     it plans. ``read_current_plan`` gives the plan of all files. Runs are opened and closed as ``watch_plan`` does.
     Mode and force are plain values here. Files that vanish keep their last plan.
     """
@@ -178,11 +178,12 @@ def maintain_plan(snapshots: DataFrame, settings: PlanSettings, location: str, c
     else:
         keyed = with_output_path(seen, settings).withColumns({"_key": F.col("output_path"), "_mark": F.lit(0).cast("bigint")})
         marks = (seen if listing is None else listing.filter("path is not null")).select(F.col("path").alias("_key"), F.lit(0).cast("bigint").alias("_mark"))
-    asked = keyed.select("_key", "_mark", F.lit(True).alias("_is_file"), *snapshots.columns)
+    asked = keyed.select("_key", "_mark", F.struct(*snapshots.columns).alias("_file"))
     if marks is not None and not settings.force:
-        asked = asked.unionByName(marks.withColumn("_is_file", F.lit(False)), allowMissingColumns=True)
-    facts = asked.groupBy("_key").transformWithState(
-        state.PlanFacts(snapshots.schema), with_field(snapshots.schema, "present", FLAG), outputMode="append", timeMode="none")
+        asked = asked.unionByName(marks, allowMissingColumns=True)
+    answer = table(_file=snapshots.schema, present=FLAG)
+    facts = asked.withColumn("_part", state.part_of("_key")).groupBy("_part").transformWithState(
+        state.PlanFacts(), answer, outputMode="append", timeMode="none").select("_file.*", "present")
     schema = plan(facts, settings).drop("present").schema
 
     def one_pass(batch: DataFrame, batch_id: int) -> None:
