@@ -11,7 +11,7 @@ from ..operators.capability import decode_route, resolve_codec, resolve_encoder
 from ..operators.joins import lookup_join
 from ..operators.planning import PlanSettings, plan
 from ..operators.work_orders import work_orders
-from ..sources.inventory import listed_extension
+from ..sources.inventory import bare_extensions
 
 DECIDING_ATTRS = ["probe_ok", "video_codec", "profile", "pix_fmt", "surface_depth", "dolby_vision"]
 
@@ -43,10 +43,11 @@ def library_run(inventory: DataFrame, attrs: DataFrame, settings: DataFrame, cap
     jobs = jobs.drop("profile", "profile_known")
     known = attach_attrs(inventory, attrs.select("path", *DECIDING_ATTRS))
     if "ext" in jobs.columns:
-        jobs = jobs.withColumnRenamed("ext", "_exts")
+        # Spelled once per job, not once per file.
+        jobs = jobs.withColumn("_exts", bare_extensions(F.col("ext"))).drop("ext")
     files = lookup_join(known, jobs, ["job_id"], spread_by=["path"], how="inner")
     if "_exts" in files.columns:
-        files = (files.filter(listed_extension(F.col("ext"), F.col("_exts"))) if "ext" in inventory.columns else files).drop("_exts")
+        files = (files.filter(F.array_contains("_exts", F.lower("ext"))) if "ext" in inventory.columns else files).drop("_exts")
     planned = plan(files, PlanSettings.from_columns(files), history=history, listing=listing)
     routed = decode_route(planned, verdicts)
     ready = routed.withColumns({

@@ -23,9 +23,14 @@ def filter_extensions(inventory: DataFrame, extensions: list[str]) -> DataFrame:
     return inventory.filter(F.col("ext").isin(wanted))
 
 
+def bare_extensions(extensions: Column) -> Column:
+    """A list of extensions in lower case, without blanks and leading dots."""
+    return F.transform(extensions, lambda e: F.regexp_replace(F.lower(F.trim(e)), r"^\.", ""))
+
+
 def listed_extension(ext: Column, extensions: Column) -> Column:
     """Whether a row's own list (an array) allows its extension."""
-    return F.array_contains(F.transform(extensions, lambda e: F.regexp_replace(F.lower(F.trim(e)), r"^\.", "")), F.lower(ext))
+    return F.array_contains(bare_extensions(extensions), F.lower(ext))
 
 
 def read_inventory(spark: SparkSession, location: str, fmt: str = "parquet", extensions: list[str] | None = None,
