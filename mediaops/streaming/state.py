@@ -9,8 +9,8 @@ from pyspark.sql import Column, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: Parts over which the paths of a library are dealt by a hash. A call to the state costs more than a hundred paths in memory, so paths are not
-#: read and written one by one. A checkpoint is bound to the number.
+#: Parts over which the paths of a library are dealt by a hash. Calls to the state for every path took most of a pass, so
+#: paths are not read and written one by one. A checkpoint is bound to the number.
 PARTS = 1 << 14
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
