@@ -5,97 +5,199 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .hashing import mix, slices
+from .hashing import mix, slices, strings
 from .work import spread
 
 #: Token ids a shard holds before the next one begins (a longer document is a shard of its own).
 SHARD_IDS = 1 << 20
 END_ID = 0
-#: Chunks after which a worker begins a new table; the one before is still asked.
-REMEMBERED = 150_000
-
-_BREAKS = re.compile(r"\s\x20")
-_CHUNKS = re.compile(r"\s*\S+|\s+")
-_MARKS = r"[.,;:!?#*$%&|()]"
-_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]"
-#: A word with marks after it, perhaps a line end, and a word with marks again.
-_PARTED = re.compile(rf"({_LETTERS}+)({_MARKS}+)(?:(\n)({_LETTERS}*)({_MARKS}*))?")
+#: Chunks a worker remembers (one a slot), and their longest bytes and most ids; other chunks are remembered by a small table of their own.
+SLOTS = 1 << 19
+CHUNK_BYTES, CHUNK_IDS = 16, 6
+OTHERS, OTHER_BYTES = 50_000, 64
+
+_MARKS = b".,;:!?#*$%&|()"
+#: White space is cut before only where the character before it surely is none, and letters are those of ASCII and Latin-1.
+_LETTER, _MARK, _SOLID = (np.zeros(256, bool) for _ in range(3))
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[list(_MARKS)] = True
+_SOLID[0x21:0x7F] = True
+_CLEAR = np.ones(256, bool)
+_CLEAR[[0xC2, 0x80, 0x81, 0x9A]] = False
+_LATIN = np.zeros(256, bool)
+_LATIN[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_PLAIN = re.compile(r" ?\S+")
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _GAMMA = 2
 _NONE = np.int64(-0x6A09E667F3BCC909)
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level tokenizers write bytes as."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per byte whether a chunk begins there: at rows, at a space or line end after other characters, between letters and marks, after a lone line end.
+
+    At these places the tokenizer cuts whatever else the text holds.
+    """
+    two_byte = np.zeros(len(data), bool)
+    two_byte[1:] = (data[:-1] == 0xC3) & _LATIN[data[1:]]
+    solid = _SOLID[data]
+    high = data >= 0x80
+    if high.any():
+        solid[1:] |= high[1:] & _CLEAR[data[:-1]]
+    letter_ends = _LETTER[data] | two_byte
+    letter_begins = _LETTER[data]
+    letter_begins[:-1] |= two_byte[1:]
+    mark, line = _MARK[data], data == 0x0A
+    out = np.zeros(len(data), bool)
+    out[1:] = solid[:-1] & (line[1:] | (data[1:] == 0x20))
+    out[1:] |= (letter_ends[:-1] & mark[1:]) | (mark[:-1] & letter_begins[1:])
+    out[2:] |= line[1:-1] & solid[:-2] & (_SOLID[data[2:]] | (data[2:] == 0xC3))
+    out[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    return out
+
+
 class Encoder:
-    """Ids of texts, as little-endian 32-bit bytes.
+    """Ids of texts, as little-endian 32-bit numbers.
 
     The string of a special token in a text is ordinary text, or with ``special_as_text`` off, the library's default, that token.
 
-    The tokenizer cuts texts before it merges anything: where white space follows other characters, between
-    letters and marks, and around a lone line end. The chunks between such places are encoded each on its own, by the library,
-    once as long as they are remembered; a chunk is forgotten when it was not used while the table was filled anew.
+    The tokenizer cuts texts before it merges anything (:func:`chunk_starts` finds such places). The chunks between them are encoded each on
+    its own, by the library, once as long as they are remembered: in a table of fixed size, whole columns looked up at a time, each
+    slot of which holds the last chunk that fell there with its bytes, so that a chunk is known by all of them.
     """
 
     def __init__(self, path: str, special_as_text: bool = True) -> None:
         from tokenizers import Tokenizer
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = special_as_text
-        self._known: dict[str, bytes] = {}
-        self._before: dict[str, bytes] = {}
-        words = self._library.get_vocab()
-        self._begins = np.zeros(max(words.values()) + 1, bool)
-        self._begins[[i for word, i in words.items() if word.startswith("Ġ")]] = True
+        self._model = self._library.model
+        added = self._library.get_added_tokens_decoder().values()
+        self._whole = [t.content.encode() for t in added if t.content and not (special_as_text and t.special)]
+        self._line = self._library.token_to_id(chr(_BYTE_LETTERS[0x0A]))
+        # The bytes of a chunk as two numbers, its length and count of ids, and the ids.
+        self._slots = np.zeros((SLOTS, 3 + CHUNK_IDS // 2), np.uint64)
+        self._others: dict[bytes, list[int]] = {}
+
+    def _by_library(self, chunks: list[bytes]) -> list[list[int]]:
+        """Ids of distinct chunks."""
+        words = [c for c in chunks if _WORD.fullmatch(c)]
+        letters = b"\n".join(words).decode("latin-1").translate(_BYTE_LETTERS).split(chr(_BYTE_LETTERS[0x0A])) if words else []
+        found = {c: [t.id for t in self._model.tokenize(x)] for c, x in zip(words, letters, strict=True)}
+        others = [c for c in chunks if c not in found]
+        if others:
+            texts = [c.decode() for c in others]
+            # Between line ends, chunks without further white space stay what they are.
+            plain = [self._line is not None and _PLAIN.fullmatch(t) is not None and not any(w in c for w in self._whole) for c, t in zip(others, texts, strict=True)]
+            joined = [t for t, p in zip(texts, plain, strict=True) if p]
+            ids = np.array(self._library.encode("\n".join(joined), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(ids == self._line) if joined else np.zeros(0, np.int64)
+            if joined and len(cuts) == len(joined) - 1:
+                parts = zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)
+                found.update((c, ids[slice(*next(parts))].tolist()) for c, p in zip(others, plain, strict=True) if p)
+            for c, t in zip(others, texts, strict=True):
+                if c not in found:
+                    found[c] = self._library.encode(t, add_special_tokens=False).ids
+        return [found[c] for c in chunks]
 
     @staticmethod
-    def _chunks(text: str) -> list[str]:
-        if _BREAKS.search(text):
-            return _CHUNKS.findall(text)
-        first, *rest = text.split(" ")
-        out = [first] if first else []
-        for word in rest:
-            if word.isalpha():
-                out.append(" " + word)
-            elif parted := _PARTED.fullmatch(word):
-                out.append(" " + parted[1])
-                out += [x for x in parted.groups()[1:] if x]
-            else:
-                out.append(" " + word)
-        return out
+    def _slot(keys: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return (mix(keys[:, 0] ^ mix(keys[:, 1] + lengths.astype(np.uint64))) % np.uint64(SLOTS)).astype(np.int64)
 
-    def _look_up(self, chunks: set[str]) -> None:
-        """Put the chunks into the table, from the one before or by the library."""
-        known, before = self._known, self._before
-        missing = []
-        for chunk in chunks:
-            if (ids := before.get(chunk)) is not None:
-                known[chunk] = ids
-            else:
-                missing.append(chunk)
-        # Words with their space can be encoded as one text: each begins with the only tokens that hold a space.
-        words = [c for c in missing if c[0] == " " and c[1:].isalpha()]
-        ids = np.array(self._library.encode("".join(words), add_special_tokens=False).ids, "<u4") if words else np.zeros(0, "<u4")
-        at = np.flatnonzero(self._begins[ids])
-        others = missing
-        if words and len(at) == len(words):
-            raw = ids.tobytes()
-            known.update((c, raw[4 * a:4 * b]) for c, a, b in zip(words, at.tolist(), [*at[1:].tolist(), len(ids)], strict=True))
-            others = [c for c in missing if c not in known]
-        for chunk, found in zip(others, self._library.encode_batch(others, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(found.ids, "<u4").tobytes()
+    @staticmethod
+    def _keys(data: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The first 16 bytes of each chunk as two numbers; ``data`` goes 16 bytes on."""
+        keys = np.lib.stride_tricks.sliding_window_view(data, CHUNK_BYTES)[start].view(np.uint64)
+        keys[:, 0] &= _HEAD[np.minimum(lengths, 8)]
+        keys[:, 1] &= _HEAD[np.clip(lengths - 8, 0, 8)]
+        return keys
+
+    def _rows(self, keys: np.ndarray, lengths: np.ndarray, ids: list[list[int]]) -> np.ndarray:
+        rows = np.zeros((len(keys), self._slots.shape[1]), np.uint64)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        rows[:, :2] = keys
+        rows[:, 2] = lengths + (counts << 32)
+        places = np.zeros((len(keys), CHUNK_IDS), np.uint32)
+        places[np.arange(CHUNK_IDS) < counts[:, None]] = np.fromiter(chain.from_iterable(ids), np.uint32)
+        rows[:, 3:] = places.view(np.uint64)
+        return rows
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and where each text's ids begin (with an end); null is empty."""
+        data, offsets = strings(texts)
+        raw, data = data.tobytes(), np.concatenate([data, np.zeros(CHUNK_BYTES, np.uint8)])
+        begins = chunk_starts(data[:len(raw)], offsets)
+        for whole in self._whole:
+            at = raw.find(whole)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                begins[offsets[row] + 1:offsets[row + 1]] = False
+                at = raw.find(whole, int(offsets[row + 1]))
+        start = np.flatnonzero(begins)
+        lengths = np.diff(np.append(start, len(raw)))
+        keys = self._keys(data, start, lengths)
+        rows = self._slots[self._slot(keys, lengths)]
+        known = (rows[:, 0] == keys[:, 0]) & (rows[:, 1] == keys[:, 1]) & ((rows[:, 2] & np.uint64(0xFFFFFFFF)) == lengths.astype(np.uint64))
+        counts = (rows[:, 2] >> np.uint64(32)).astype(np.int64)
+        missed = np.flatnonzero(~known)
+        long: dict[int, list[int]] = {}
+        if len(missed):
+            chunks = [raw[a:a + n] for a, n in zip(start[missed].tolist(), lengths[missed].tolist(), strict=True)]
+            distinct = dict.fromkeys(chunks)
+            ids_of = {c: ids for c in distinct if (ids := self._others.get(c)) is not None}
+            new = [c for c in distinct if c not in ids_of]
+            ids_of.update(zip(new, self._by_library(new), strict=True))
+            short = [c for c in new if len(c) <= CHUNK_BYTES and len(ids_of[c]) <= CHUNK_IDS]
+            number = {c: i for i, c in enumerate(short)}
+            place = np.array([number.get(c, -1) for c in chunks], np.int64)
+            if short:
+                sizes = np.array([len(c) for c in short], np.int64)
+                flat = np.frombuffer(b"".join(short) + bytes(CHUNK_BYTES), np.uint8)
+                short_keys = self._keys(flat, np.cumsum(sizes) - sizes, sizes)
+                filled = self._rows(short_keys, sizes, [ids_of[c] for c in short])
+                self._slots[self._slot(short_keys, sizes)] = filled
+                rows[missed[place >= 0]] = filled[place[place >= 0]]
+                counts[missed] = (rows[missed, 2] >> np.uint64(32)).astype(np.int64)
+            for k in np.flatnonzero(place < 0).tolist():
+                long[int(missed[k])] = ids_of[chunks[k]]
+            if len(self._others) > OTHERS:
+                self._others = {}
+            self._others.update((c, ids_of[c]) for c in new if c not in number and len(c) <= OTHER_BYTES)
+        places = np.ascontiguousarray(rows[:, 3:]).view(np.uint32)
+        if long:
+            at = np.array(list(long), np.int64)
+            counts[at] = 0
+            out = places[np.arange(CHUNK_IDS) < counts[:, None]]
+            counts[at] = [len(x) for x in long.values()]
+            in_slot = np.ones(len(counts), bool)
+            in_slot[at] = False
+            held, ids = np.repeat(in_slot, counts), np.zeros(int(counts.sum()), np.uint32)
+            ids[held], ids[~held] = out, np.fromiter(chain.from_iterable(long.values()), np.uint32)
+        else:
+            ids = places[np.arange(CHUNK_IDS) < counts[:, None]]
+        before = np.concatenate([[0], np.cumsum(counts)])
+        return ids, before[np.searchsorted(start, offsets)]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        parts = [self._chunks(t) for t in texts]
-        if missing := set().union(*parts) - self._known.keys():
-            self._look_up(missing)
-        look = self._known.__getitem__
-        out = [b"".join(map(look, p)) for p in parts]
-        if len(self._known) > REMEMBERED:
-            self._before, self._known = self._known, {}
-        return out
+        ids, at = self.encode_column(pa.array(texts, pa.string()))
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * a:4 * b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -210,7 +312,7 @@ FILE_TYPES = "part int, shard int, first_id long, last_id long, n_docs long, n_i
 def _shards(path: str, shard_ids: int, end_id: int):
     def run(batches):
         from pyspark import TaskContext
-        encode, part, shard = encoder(path).encode_all, TaskContext.get().partitionId(), 0
+        encode, part, shard = encoder(path).encode_column, TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         ids: list[int | None] = []
         texts: list[bytes] = []
@@ -224,10 +326,11 @@ def _shards(path: str, shard_ids: int, end_id: int):
             kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in FILE_TYPES.split(", ")])
 
-        for batch in slices(batches, "text", 1 << 20):
-            blobs = encode([t or "" for t in batch.column("text").to_pylist()])
-            for i, ids_of in zip(batch.column("id").to_pylist(), blobs, strict=True):
-                blob = ids_of + end
+        for batch in slices(batches, "text", 1 << 19):
+            tokens, at = encode(batch.column("text"))
+            raw = tokens.astype("<u4").tobytes()
+            for i, a, b in zip(batch.column("id").to_pylist(), at.tolist(), at[1:].tolist(), strict=False):
+                blob = raw[4 * a:4 * b] + end
                 # Rows of one id stay together, so that their keys can count them.
                 if ids and size + len(blob) // 4 > shard_ids and i != ids[-1]:
                     yield written()
@@ -251,8 +354,10 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str, *, id_col
     """
     rows = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     ordered = rows.repartitionByRange(spread(documents), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    # Row groups of a few shards: neither writer nor reader holds a whole file of them.
     (ordered.mapInArrow(_shards(tokenizer, shard_ids, end_id), FILE_TYPES).write
-     .option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path))
+     .options(**{"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"})
+     .parquet(path))
 
 
 def _starts(files: DataFrame) -> DataFrame:
