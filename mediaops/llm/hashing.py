@@ -111,7 +111,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> Iterator[
     total = mix(total)
     for a, b in zip(rows.tolist(), rows[1:].tolist(), strict=False):
         if b - a >= width:
-            yield np.unique(total[a:b - width + 1])
+            found = np.sort(total[a:b - width + 1])
+            yield found[np.append(True, found[1:] != found[:-1])]
         elif b > a:
             short = np.uint64(b - a)
             for k in range(b - a):

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -18,6 +18,8 @@ SKETCH_CELLS = 1 << 21
 _BLOCK = 1 << 16
 #: 64-bit words of a document's bitmap signature.
 SIGNATURE_WORDS = 8
+#: 64-bit words of the wider bitmap that pairs must pass before their texts are fetched.
+WIDE_WORDS = 64
 #: Rounds in which nodes are compared with a few hubs before all that is left is joined.
 ROUNDS = 2
 
@@ -52,7 +54,8 @@ def _profiles(width: int, percent: int):
                 bits = np.zeros(SIGNATURE_WORDS * 64, np.uint8)
                 bits[(s >> np.uint64(40)).astype(np.int64) % len(bits)] = 1
                 signatures.append(np.packbits(bits).view(np.int64))
-                cells = np.unique(_cell(s))
+                # A cell that comes twice is counted once, as the sum is made before it is put back.
+                cells = _cell(s)
                 sketch[cells] += sketch[cells] < 255
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([
@@ -109,7 +112,8 @@ def _prefixes(width: int, percent: int, common):
                 length = n - -(-percent * n // 100) + 1 if n else 0
                 nodes.append(_set_hash(s))
                 counts.append(length)
-                tokens.append(s[np.lexsort((s, rank[_cell(s)]))[:length]] if length < n else s)
+                # The set is in order, so shingles of one rank stay in order.
+                tokens.append(s[np.argsort(rank[_cell(s)], kind="stable")[:length]] if length < n else s)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(tokens).view(np.int64)),
                 pa.array(np.repeat(np.array(nodes, np.uint64), counts).view(np.int64))], names=["token", "node"])
@@ -153,18 +157,51 @@ def _parts_possible(percent: int) -> Column:
     return fits("a", "b") & fits("b", "a")
 
 
+def _wide(s: np.ndarray) -> bytes:
+    """The wider bitmap of a set."""
+    bits = np.zeros(WIDE_WORDS * 64, np.uint8)
+    bits[(s >> np.uint64(24)).astype(np.int64) % len(bits)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def _of_node(width: int):
-    """Keep the rows whose text has the set that the node stands for."""
+    """Keep the rows whose text has the set that the node stands for, with the set's size and wider bitmap."""
     def run(batches):
         for batch in slices(batches, "text"):
-            node = np.array([_set_hash(s) for s in shingles(*strings(batch.column("text")), width)], np.uint64).view(np.int64)
-            yield batch.select(["node", "text"]).filter(pa.array(node == batch.column("node").to_numpy()))
+            node, size, wide = [], [], []
+            for s in shingles(*strings(batch.column("text")), width):
+                node.append(_set_hash(s))
+                size.append(len(s))
+                wide.append(_wide(s))
+            rows = pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text"), pa.array(size, pa.int64()), pa.array(wide, pa.binary())],
+                                              names=["node", "text", "n", "wide"])
+            yield rows.filter(pa.array(np.array(node, np.uint64).view(np.int64) == batch.column("node").to_numpy()))
+    return run
+
+
+def _wide_possible(percent: int):
+    """Keep the pairs that the wider bitmaps allow: each bit that only one side has is an element the other lacks."""
+    def bitmaps(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                a, b = (bitmaps(batch.column(f"wide_{x}")) for x in "ab")
+                n_a, n_b = (batch.column(f"n_{x}").to_numpy() for x in "ab")
+                most = np.minimum(n_a - np.bitwise_count(a & ~b).sum(1, np.int64), n_b - np.bitwise_count(b & ~a).sum(1, np.int64))
+                yield batch.select(["a", "b"]).filter(pa.array(100 * most >= percent * (n_a + n_b - most)))
     return run
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int, purpose: str) -> DataFrame:
     """The pairs (a, b) of nodes that are similar, by exact intersection of their shingle sets."""
-    both = (keep(pairs, f"{purpose}-pairs").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    near = keep(pairs, f"{purpose}-pairs")
+    for x in "ba":
+        near = near.join(texts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}")), x)
+    near = keep(near.select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(_wide_possible(percent), "a long, b long"), f"{purpose}-near")
+    both = (near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"))
     return keep(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(width, percent), "a long, b long"), f"{purpose}-links")
 
@@ -198,12 +235,13 @@ def jaccard_classes(documents: DataFrame, *, id_column: str = "doc_id", text_col
 
     common = spark.sparkContext.broadcast(_commonness(profiles.where("block is not null").select("block", "counts")))
     postings = docs.where("id is not null").select("text").mapInArrow(_prefixes(width, percent, common), "token long, node long")
-    meetings = (postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-                .where("low < high").select("token"))
-    met = keep(postings.join(meetings, "token"), "met")
+    # One shuffle of the postings, which are made once.
+    of_token = Window.partitionBy("token")
+    met = keep(postings.withColumns({"low": F.min("node").over(of_token), "high": F.max("node").over(of_token)})
+               .where("low < high").select("token", "node"), "met")
     # Rows of one id may have other texts than the one that made it a node.
     texts = keep(docs.join(nodes.join(met.select("node").distinct(), "node", "left_semi").select("id", "node"), "id").select("node", "text")
-                 .mapInArrow(_of_node(width), "node long, text string").dropDuplicates(["node"]), "texts")
+                 .mapInArrow(_of_node(width), "node long, text string, n long, wide binary").dropDuplicates(["node"]), "texts")
     links = spark.createDataFrame([], "a long, b long")
     part_of = spark.createDataFrame([], "node long, component long")
 
