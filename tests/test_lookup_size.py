@@ -1,4 +1,4 @@
-from mediaops.operators import runs, settings
+from mediaops.operators import joins, runs, settings
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,20 @@ def test_copies_of_owners_are_not_broadcast_by_the_size_of_one(spark):
     assert paths == {(i % 1500, f"r{i % 1500}", f"/f/{i}") for i in range(40_000)} | {(i, f"r{i}", None) for i in range(1500, 2000)}
     assert {k: sum(v) for k, v in sizes.items()} == {(i, f"r{i}"): len(range(i, 40_000, 1500)) if i < 1500 else 0 for i in range(2000)}
     assert all(min(v) > 0 for (i, _), v in sizes.items() if i < 1500) and all(sizes[i, f"r{i}"] == [0] for i in range(1500, 2000))
+
+
+def test_copies_of_stored_programs_are_not_broadcast_by_the_size_of_one(spark):
+    files = spark.range(40_000).select((F.col("id") % 1500).alias("owner"), F.concat(F.lit("/f/"), "id").alias("path"))
+    programs = spark.range(1000, 3000).select(F.col("id").alias("owner"), F.concat(F.lit("p"), "id").alias("program"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        owned = joins.facts_with_owners(files, programs, ["owner"], spread_by=["path"])
+        plan = owned._jdf.queryExecution().executedPlan().toString()
+        rows = [(r.owner, r.path, r.program) for r in owned.collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert owned.columns == ["owner", "path", "program"] and "BroadcastHashJoin" not in plan
+    assert sorted(rows) == sorted((i % 1500, f"/f/{i}", f"p{i % 1500}") for i in range(40_000) if i % 1500 >= 1000)
