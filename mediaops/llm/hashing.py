@@ -83,6 +83,15 @@ class Spans:
         return mix(self.raw(start, end) + (end - start).astype(np.uint64))
 
 
+class Sequences(Spans):
+    """Hash of any sequence of neighbours among 64-bit hashes."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        up, self._down = _powers.to(len(hashes) + 1)
+        self._sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * up[:-1], out=self._sums[1:])
+
+
 def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and each row's first word (with an end). Bytes ``between`` words: ``[\\x20\\x09-\\x0D]``."""
     space = between[data]
