@@ -5,13 +5,20 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from . import packed
+
 #: Parts over which the paths of a library are dealt by a hash. Calls to the state for every path took most of a pass, so
 #: paths are not read and written one by one. A checkpoint is bound to the number.
 PARTS = 1 << 14
+#: The most parts for packed rows: there the call of a part costs far more than a row in it.
+PACKED_PARTS = 1 << 12
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -24,9 +31,9 @@ def _seen(row) -> tuple:
     return (row["seen_at"] is not None, row["seen_at"])
 
 
-def part_of(key: Column | str) -> Column:
+def part_of(key: Column | str, parts: int | None = None) -> Column:
     """The part of the state that a key belongs to."""
-    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+    return F.pmod(F.xxhash64(key), F.lit(parts or PARTS)).cast("int")
 
 
 class Part:
@@ -75,53 +82,86 @@ class Sightings(StatefulProcessor):
 class PlanFacts(StatefulProcessor):
     """Per part of the keys: files, and marks that bear on their plan. Passes on a file when it is new or changed, or when its mark appears.
 
-    Rows have ``_key``, ``_mark`` and ``_file``: a sighting of a file asks for the mark; a row without file is the mark itself. What comes
-    out is the file and whether its mark is there, for these files alone. A part holds for each key its marks and, by path, its files.
+    Rows are packed tables: sightings of files, with the ``_mark`` that each asks for, or, where ``is_mark``, marks alone. What comes out is
+    packed too: files and whether their mark is there (``present``), for these files alone. A part holds its files as they were last
+    passed on and its marks, each as one table, and is written only when one of them changes. Files of one path are one file, unless
+    ``by_mark``: then the mark they ask for tells them apart as well.
     """
 
-    def __init__(self) -> None:
-        self._out = Row("_file", "present")
+    def __init__(self, by_mark: bool) -> None:
+        self._by_mark, self._out = by_mark, Row("_rows")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._part = Part(handle)
+        self._part = handle.getValueState("facts", "files binary, marks binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        newest: dict[tuple, tuple] = {}
-        marked = set()
+        seen, told = [], []
         for row in rows:
-            name, mark, file = row["_key"], row["_mark"], row["_file"]
-            if file is None:
-                marked.add((name, mark))
-            elif (name, file["path"]) not in newest or _seen(file) >= _seen(newest[name, file["path"]][0]):
-                newest[name, file["path"]] = (file, mark)
-        known, altered = self._part.read(), False
-        added: dict[str, set] = {}
-        for name, mark in marked:
-            marks, _ = known.setdefault(name, (set(), {}))
-            if mark not in marks:
-                marks.add(mark)
-                added.setdefault(name, set()).add(mark)
-        for (name, path), (file, mark) in newest.items():
-            marks, files = known.setdefault(name, (set(), {}))
-            if path in files:
-                before = files[path][0]
-                if _seen(file) < (before["seen_at"] is not None, before["seen_at"]) or before["mtime"] == file["mtime"]:
-                    continue
-            files[path], altered = (file, mark, mark in marks), True
-            yield self._out(file, mark in marks)
-        for name, marks in added.items():
-            files = known[name][1]
-            for path, (file, mark, present) in files.items():
-                if mark in marks and not present:
-                    files[path] = (file, mark, True)
-                    yield self._out(file, True)
-        if altered or added:
-            self._part.write(known)
+            (told if row["is_mark"] else seen).append(packed.load(row["_rows"]))
+        known, marks = (packed.load(table) if table else None for table in self._part.get() or (None, None))
+        added = _new_marks(told, marks) if told else None
+        if added:
+            marks = packed.joined([marks, added]) if marks else added
+        passed = found = None
+        if seen:
+            passed = self._newest(packed.joined(seen))
+            if known:
+                passed, known = self._changes(passed, known)
+            passed = passed.append_column("present", _asked(passed, marks))
+        if known and added:
+            appeared = pc.and_(_asked(known, added), pc.invert(known["present"]))
+            known = known.set_column(known.column_names.index("present"), "present", pc.or_(known["present"], appeared))
+            found = known.filter(appeared)
+        if passed or added:
+            files = [files for files in (known, passed) if files]
+            self._part.update(tuple(packed.dump(packed.joined(t), "zstd") if t else None for t in (files, [marks] if marks else [])))
+        for files in (passed, found):
+            if files:
+                yield self._out(packed.dump(files))
+
+    def _names(self, files: pa.Table) -> pa.Array:
+        if not self._by_mark:
+            return files["path"].combine_chunks()
+        mark = files["_mark"]
+        size = pc.utf8_length(mark).cast(pa.string())
+        return pc.binary_join_element_wise(size, mark, files["path"], ":", null_handling="replace", null_replacement="-").combine_chunks()
+
+    def _newest(self, files: pa.Table) -> pa.Table:
+        """The newest sighting of every file; of equally new ones the last."""
+        names = self._names(files).dictionary_encode()
+        if len(names.dictionary) == len(files):
+            return files
+        order = pc.sort_indices(files, [("seen_at", "ascending")], null_placement="at_start").to_numpy()
+        last = np.empty(len(names.dictionary), np.int64)
+        last[names.indices.to_numpy()[order]] = order
+        return files.take(last)
+
+    def _changes(self, files: pa.Table, known: pa.Table) -> tuple[pa.Table, pa.Table]:
+        """The files that are new or changed, and the known ones without these."""
+        place = pc.index_in(self._names(files), value_set=self._names(known))
+        before = known.select(["seen_at", "mtime"]).take(place)
+        (at, mtime), (at_before, mtime_before) = ([t[name].combine_chunks() for name in ("seen_at", "mtime")] for t in (files, before))
+        earlier = pc.or_(pc.and_(pc.is_null(at), pc.is_valid(at_before)), pc.less(at, at_before).fill_null(False))
+        same = pc.or_(pc.and_(pc.is_null(mtime), pc.is_null(mtime_before)), pc.equal(mtime, mtime_before).fill_null(False))
+        altered = pc.or_(pc.is_null(place), pc.invert(pc.or_(earlier, same)))
+        stays = np.ones(len(known), bool)
+        stays[place.filter(altered).drop_null().to_numpy()] = False
+        return files.filter(altered), known.filter(pa.array(stays))
 
     def close(self) -> None:
         pass
 
 
+def _asked(files: pa.Table, marks: pa.Table | None) -> pa.ChunkedArray:
+    """Whether the mark that each file asks for is among the marks."""
+    return pc.is_in(files["_mark"], value_set=marks["_mark"] if marks else pa.array([], pa.string()))
+
+
+def _new_marks(told: list[pa.Table], marks: pa.Table | None) -> pa.Table:
+    told = packed.distinct(packed.joined(told))
+    return told.filter(pc.invert(_asked(told, marks))) if marks else told
+
+
 class OpenJobs(StatefulProcessor):
     """Per part of a run: the state of its jobs, until the run is closed.
 

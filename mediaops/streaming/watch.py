@@ -11,16 +11,16 @@ import logging
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructType
 
 from ..operators.planning import PlanSettings, plan, with_output_path
 from ..operators.runs import COUNTERS, finish_run, register_jobs, start_run
 from ..schemas import FLAG, TEXT, table, with_field
 from ..sources import ledger
-from . import state
+from . import packed, state
 
 log = logging.getLogger(__name__)
 
@@ -172,18 +172,23 @@ def maintain_plan(snapshots: DataFrame, settings: PlanSettings, location: str, c
     state.use_rocksdb(snapshots.sparkSession)
     seen = snapshots.filter("path is not null")
     if settings.inplace:
-        keyed = seen.withColumns({"_key": F.col("path"), "_mark": F.col("mtime")})
+        files = seen.withColumns({"_key": F.col("path"), "_mark": _attempt("path", "mtime")})
         marks = None if history is None else history.filter("status = 'done' and source_path is not null and source_mtime is not null").select(
-            F.col("source_path").alias("_key"), F.col("source_mtime").alias("_mark"))
+            F.col("source_path").alias("_key"), _attempt("source_path", "source_mtime").alias("_mark"))
     else:
-        keyed = with_output_path(seen, settings).withColumns({"_key": F.col("output_path"), "_mark": F.lit(0).cast("bigint")})
-        marks = (seen if listing is None else listing.filter("path is not null")).select(F.col("path").alias("_key"), F.lit(0).cast("bigint").alias("_mark"))
-    asked = keyed.select("_key", "_mark", F.struct(*snapshots.columns).alias("_file"))
+        files = with_output_path(seen, settings).withColumns({"_key": F.col("output_path"), "_mark": F.col("output_path")})
+        marks = (seen if listing is None else listing.filter("path is not null")).select(F.col("path").alias("_key"), F.col("path").alias("_mark"))
+
+    def dealt(rows: DataFrame, *columns: str, **how) -> DataFrame:
+        part = state.part_of("_key", min(state.PARTS, state.PACKED_PARTS))
+        return packed.pack(rows.select(part.alias("_part"), *columns), **how)
+
+    asked = dealt(files, *snapshots.columns, "_mark").withColumn("is_mark", F.lit(False))
     if marks is not None and not settings.force:
-        asked = asked.unionByName(marks, allowMissingColumns=True)
-    answer = table(_file=snapshots.schema, present=FLAG)
-    facts = asked.withColumn("_part", state.part_of("_key")).groupBy("_part").transformWithState(
-        state.PlanFacts(), answer, outputMode="append", timeMode="none").select("_file.*", "present")
+        asked = asked.unionByName(dealt(marks, "_mark", once=True).withColumn("is_mark", F.lit(True)))
+    passed = asked.groupBy("_part").transformWithState(
+        state.PlanFacts(by_mark=not settings.inplace), table(_rows=BinaryType()), outputMode="append", timeMode="none")
+    facts = packed.unpack(passed, with_field(snapshots.schema, "present", FLAG))
     schema = plan(facts, settings).drop("present").schema
 
     def one_pass(batch: DataFrame, batch_id: int) -> None:
@@ -195,6 +200,11 @@ def maintain_plan(snapshots: DataFrame, settings: PlanSettings, location: str, c
     return _start(facts, one_pass, checkpoint, interval, once)
 
 
+def _attempt(path: str, mtime: str) -> Column:
+    """The text that stands for an attempt at a file as it was at that time."""
+    return F.concat(F.col(mtime).cast("string"), F.lit(" "), F.col(path))
+
+
 def read_current_plan(spark: SparkSession, location: str, schema: StructType, as_of: int | None = None) -> DataFrame:
     """The last plan of every file, or the one after pass ``as_of``."""
     stored = read_plans(spark, location, schema)
