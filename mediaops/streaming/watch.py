@@ -215,6 +215,15 @@ def read_current_plan(spark: SparkSession, location: str, schema: StructType, as
     return newest.select("path", "_row.*").select(*schema.names)
 
 
+def read_plan_history(spark: SparkSession, location: str, schema: StructType, passes: list[int]) -> DataFrame:
+    """The last plan of every file after each of the passes, with ``pass``. The stored plans are read and grouped once, however many passes."""
+    stored = read_plans(spark, location, schema).filter(F.col("batch_id") <= max(passes))
+    row = F.struct(*[c for c in schema.names if c != "path"])
+    newest = stored.groupBy("path").agg(*[F.max_by(row, F.when(F.col("batch_id") <= n, F.col("batch_id"))).alias(f"_{n}") for n in passes])
+    each = F.explode(F.array(*[F.struct(F.lit(n).cast("bigint").alias("pass"), F.col(f"_{n}").alias("_row")) for n in passes])).alias("_each")
+    return newest.select("path", each).filter("_each._row is not null").select("path", "_each.pass", "_each._row.*").select(*schema.names, "pass")
+
+
 def keep_watching(start: Callable[[], StreamingQuery], pause_s: float = 300.0,
                   stop: Callable[[], bool] = lambda: False) -> None:
     """Run a watch for good: a failed pass is logged and taken up again from the checkpoint."""

@@ -144,3 +144,16 @@ def test_a_pass_keeps_every_column_of_a_file(spark, tmp_path):
     stored = watch.read_current_plan(spark, location, plan(files, settings).schema)
     assert sorted(map(str, stored.select(*files.columns).collect())) == sorted(map(str, files.collect()))
     assert {r.path for r in stored.filter("reason = 'history_done'").collect()} == {"/1", "/3"}
+
+
+def test_plans_after_each_pass_are_read_at_once(spark, tmp_path):
+    schema = table(path=TEXT, mtime=BIG, reason=TEXT)
+    steps = [[("/a", 1, None), ("/b", 1, "x")], [("/a", 2, "y"), ("/c", None, None)], [], [("/b", 3, None)]]
+    for n, rows in enumerate(steps):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/plans/batch_id={n}")
+    found = watch.read_plan_history(spark, str(tmp_path), schema, [0, 1, 2])
+    wanted = [(*r, n) for n in (0, 1, 2) for r in watch.read_current_plan(spark, str(tmp_path), schema, as_of=n).collect()]
+    assert found.columns == ["path", "mtime", "reason", "pass"] and len(wanted) == 8
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str)
+    scans = found._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert scans == 1
